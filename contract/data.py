@@ -4,9 +4,20 @@ from pyspark.sql import functions as F
 
 from plantpulse.functions.numbers import dp
 from plantpulse.operators import control, policy, prep
+from plantpulse.operators.series import largest_key
 from plantpulse.schemas import BUFFER, DEVICE, DROP, EPOCH_MS, GAUGES, PROTOCOL, ROW_ID, RTT, TEMP, THROUGHPUT
 
 
+_LARGEST = {}
+
+
+def largest(spark, sf):
+    """Rows of the largest device, an upper bound for every table derived from ``events``."""
+    if sf not in _LARGEST:
+        _LARGEST[sf] = largest_key(events(spark, sf), ["user_id"])
+    return _LARGEST[sf]
+
+
 def events(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf}/events.parquet")
@@ -42,8 +53,7 @@ RAW = [DEVICE, PROTOCOL, ROW_ID, EPOCH_MS, *GAUGES, RTT]
 
 def frames(spark, sf):
     """Canonical frames."""
-    valid, _ = prep.split_quality(telemetry(spark, sf).select(*RAW))
-    return prep.canonical(valid)
+    return prep.canonical(prep.valid_frames(telemetry(spark, sf).select(*RAW)))
 
 
 def faulty(spark, sf):
@@ -94,7 +104,7 @@ def commands(spark, sf):
 
 
 def decided(spark, sf):
-    return control.debounce(commands(spark, sf))
+    return control.debounce(commands(spark, sf), largest=largest(spark, sf))
 
 
 def captures(spark, sf):
@@ -109,7 +119,7 @@ def captures(spark, sf):
 
 
 def replayed(spark, sf):
-    return policy.replay(frames(spark, sf))
+    return policy.replay(frames(spark, sf), largest=largest(spark, sf))
 
 
 def scored(spark, sf):

@@ -105,7 +105,7 @@ def a10(spark, sf):
 
 def a11(spark, sf):
     path = scratch_folder(spark, "soe-csv")
-    log = alarms.sequence_of_events(d.replayed(spark, sf))
+    log = alarms.sequence_of_events(d.replayed(spark, sf), largest=d.largest(spark, sf))
     tables.export_log(log, path)
     return tables.read_csv(spark, path, log.schema)
 
@@ -123,7 +123,7 @@ def b2(spark, sf):
 
 
 def b3(spark, sf):
-    valid, _ = prep.split_quality(d.faulty(spark, sf))
+    valid = prep.valid_frames(d.faulty(spark, sf))
     probes = kpis.probe_summary(d.probes(spark, sf)).select(
         F.upper(F.col("target")).alias(DEVICE), F.when(F.col("valid_samples") % 2 == 0, F.col("median_rtt_ms")).alias("probe_rtt")
     )
@@ -145,14 +145,14 @@ def b5(spark, sf):
 
 
 def b6(spark, sf):
-    return r6(features.prediction_request(features.serving_features(d.frames(spark, sf)), 1))
+    return r6(features.prediction_request(features.serving_features(d.frames(spark, sf), largest=d.largest(spark, sf)), 1))
 
 
 # --- preparation -------------------------------------------------------------------------------------------
 
 
 def c1(spark, sf):
-    return r6(prep.forward_fill(d.telemetry(spark, sf).select(DEVICE, ROW_ID, EPOCH_MS, *GAUGES)))
+    return r6(prep.forward_fill(d.telemetry(spark, sf).select(DEVICE, ROW_ID, EPOCH_MS, *GAUGES), largest=d.largest(spark, sf)))
 
 
 def c1_global(spark, sf):
@@ -174,7 +174,7 @@ def c3(spark, sf):
 
 
 def _features(spark, sf, profile, *cols):
-    return r6(features.PROFILES[profile](d.frames(spark, sf)).select(ROW_ID, *cols))
+    return r6(features.PROFILES[profile](d.frames(spark, sf), largest=d.largest(spark, sf)).select(ROW_ID, *cols))
 
 
 def d1(spark, sf):
@@ -198,7 +198,7 @@ def labeled(spark, sf):
 
 
 def training(spark, sf):
-    return features.training_features(labeled(spark, sf))
+    return features.training_features(labeled(spark, sf), largest=d.largest(spark, sf))
 
 
 def d5(spark, sf):
@@ -282,7 +282,7 @@ def f9(spark, sf):
 
 
 def f10(spark, sf):
-    rows = policy.analytic_score(features.console_features(d.frames(spark, sf)))
+    rows = policy.analytic_score(features.console_features(d.frames(spark, sf), largest=d.largest(spark, sf)))
     return r6(
         rows.select(ROW_ID, F.explode(lt.horizons(PRED, "throughput_slope", DROP, 60.0)).alias("h")).select(ROW_ID, "h.*")
     )
@@ -392,7 +392,7 @@ def h10(spark, sf):
 
 def h11(spark, sf):
     rows = d.compressed(d.frames(spark, sf))
-    return control.route_of_frames(rows, d.decided(spark, sf)).select(ROW_ID, "active_route")
+    return control.route_of_frames(rows, d.decided(spark, sf), largest=2 * d.largest(spark, sf)).select(ROW_ID, "active_route")
 
 
 def h11_current(spark, sf):
@@ -404,7 +404,7 @@ def h12(spark, sf):
 
 
 def h13(spark, sf):
-    return control.heartbeat_gaps(d.compressed(d.frames(spark, sf)))
+    return control.heartbeat_gaps(d.compressed(d.frames(spark, sf)), largest=d.largest(spark, sf))
 
 
 def h13_now(spark, sf):
@@ -412,7 +412,7 @@ def h13_now(spark, sf):
 
 
 def h14(spark, sf):
-    return r6(policy.sustained_breaches(d.scored(spark, sf)))
+    return r6(policy.sustained_breaches(d.scored(spark, sf), largest=d.largest(spark, sf)))
 
 
 def h15(spark, sf):
@@ -435,7 +435,7 @@ def i2(spark, sf):
 
 
 def soe(spark, sf):
-    return alarms.sequence_of_events(d.replayed(spark, sf))
+    return alarms.sequence_of_events(d.replayed(spark, sf), largest=d.largest(spark, sf))
 
 
 def i4(spark, sf):
@@ -459,14 +459,12 @@ def j1(spark, sf):
 
 
 def j2(spark, sf):
-    _, bad = prep.split_quality(d.faulty(spark, sf))
-    return kpis.errors_total(bad)
+    return kpis.errors_total(prep.quarantine(d.faulty(spark, sf)))
 
 
 def j2_decode(spark, sf):
     decoded = decoders.decode_json(json_payloads(spark, sf)).withColumn(RTT, F.lit(None).cast("double"))
-    _, bad = prep.split_quality(decoded)
-    return kpis.errors_total(bad)
+    return kpis.errors_total(prep.quarantine(decoded))
 
 
 def j3(spark, sf):
@@ -495,7 +493,7 @@ def j8(spark, sf):
 
 
 def j8_running(spark, sf):
-    return r6(kpis.running_totals(d.scored(spark, sf), PRED).drop(EPOCH_MS))
+    return r6(kpis.running_totals(d.scored(spark, sf), PRED, largest=d.largest(spark, sf)).drop(EPOCH_MS))
 
 
 def j9(spark, sf):
@@ -527,7 +525,7 @@ def k2(spark, sf):
 def flagship(spark, sf):
     from plantpulse.plans import online
 
-    return r6(online.device_risk(d.telemetry(spark, sf).select(*d.RAW)))
+    return r6(online.device_risk(d.telemetry(spark, sf).select(*d.RAW), largest=d.largest(spark, sf)))
 
 
 SQL_CHECKED = {

@@ -52,6 +52,14 @@ def frame_errors():
     return F.filter(F.array(*checks), lambda e: e.isNotNull())
 
 
+def frame_ok():
+    """The same rules as one plain predicate, which the scan can use."""
+    ok = normal_device().isNotNull() & F.col(PROTOCOL).isNotNull()
+    for gauge, (low, high) in RAW_BOUNDS.items():
+        ok = ok & F.col(gauge).isNotNull() & (F.col(gauge) >= low) & (F.col(gauge) <= high)
+    return ok & (F.col(RTT).isNull() | F.col(RTT).between(*RTT_BOUNDS))
+
+
 def request_ok():
     """True when a row meets the scoring contract."""
     ok = F.lit(True)
@@ -82,6 +90,7 @@ __all__ = [
     "RAW_BOUNDS",
     "correlation_id",
     "frame_errors",
+    "frame_ok",
     "normal_device",
     "probe_ms",
     "request_ok",

@@ -14,36 +14,27 @@ ANCHORS = [
 
 
 def squared_distance(cols, point):
-    terms = [(F.col(c) - F.lit(float(p))) * (F.col(c) - F.lit(float(p))) for c, p in zip(cols, point)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
+    """SQL text of the squared distance to a fixed point."""
+    return " + ".join(f"({c} - {p}D) * ({c} - {p}D)" for c, p in zip(cols, point))
 
 
 def nearest(cols, points):
     """Index of the nearest of a fixed list of points; ties to the lowest, 0 when a coordinate is missing.
     A chain of comparisons inside the projection: no join and no UDF."""
     dist = [squared_distance(cols, p) for p in points]
-    best = F.least(*dist)
-    missing = F.lit(False)
-    for c in cols:
-        missing = missing | F.col(c).isNull()
-    pick = F.when(missing, F.lit(0))
-    for i, d in enumerate(dist):
-        pick = pick.when(d == best, F.lit(i))
-    return pick.otherwise(F.lit(0))
+    missing = " or ".join(f"{c} is null" for c in cols)
+    cases = " ".join(f"when {d} = least({', '.join(dist)}) then {i}" for i, d in enumerate(dist[:-1]))
+    return F.expr(f"case when {missing} then 0 {cases} else {len(points) - 1} end")
 
 
 def live_regime(drop=DROP, buffer=BUFFER, temp=TEMP, cols=None):
     """Regime id of a live frame: hard limits first, nearest anchor only for the warm band."""
-    cols = cols or GAUGES
     d, b, t = F.col(drop), F.col(buffer), F.col(temp)
     return (
         F.when((d >= 2.5) | (t >= 68.0), F.lit(2))
         .when((b >= 65.0) | (d >= 0.8), F.lit(1))
         .when((d < 0.8) & (b < 65.0) & (t < 60.0), F.lit(0))
-        .otherwise(nearest(cols, ANCHORS))
+        .otherwise(nearest(cols or GAUGES, ANCHORS))
     )
 
 

@@ -91,7 +91,7 @@ def state_maps(codes):
     return maps
 
 
-def sequence_of_events(replayed, fixed_events=None, keys=(DEVICE,), p=DEFAULTS):
+def sequence_of_events(replayed, fixed_events=None, keys=(DEVICE,), p=DEFAULTS, largest=None):
     """At most one event per cycle: failover, else shedding, else breach, each only when the last logged tag is a
     different one. ``fixed_events(keys.., timestamp_epoch_ms, event_id, alarm_id, priority, tag, event, quality)``
     are logged as they are and also become the last tag.
@@ -104,10 +104,10 @@ def sequence_of_events(replayed, fixed_events=None, keys=(DEVICE,), p=DEFAULTS):
         + F.col("mitigation_active").cast("int") * 2
         + (F.col(PRED) >= p.sla_latency_ms).cast("int") * 4
     )
-    cycles = replayed.select(*keys, EPOCH_MS, ROW_ID, DROP, PRED, code.alias("code")).where("code > 0")
+    cycles = replayed.select(*keys, EPOCH_MS, ROW_ID, DROP, PRED, code.alias("code"))
     if fixed_events is not None:
         cycles = cycles.unionByName(fixed_events.withColumn("code", F.lit(8)), allowMissingColumns=True)
-    s = open_series(cycles, keys, EPOCH_MS, ROW_ID, max_rows=p.max_group_rows)
+    s = open_series(cycles, keys, EPOCH_MS, ROW_ID, 0, p.max_group_rows, largest)
     df = s.df
     if s.split:
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)

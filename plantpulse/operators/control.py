@@ -64,7 +64,7 @@ def applied_positions(times, wait, entry):
     return np.array(picked, dtype="int64")
 
 
-def debounce(commands, key="target_device", time=EPOCH_MS, tie=ROW_ID, p=DEFAULTS):
+def debounce(commands, key="target_device", time=EPOCH_MS, tie=ROW_ID, p=DEFAULTS, largest=None):
     """Status of every command: ``rate_limited`` when less than the debounce interval has passed since the last
     *applied* one, then ``pending_approval``, then ``rejected``, else ``applied``. ``key=None`` keeps one timer
     for all commands.
@@ -77,7 +77,7 @@ def debounce(commands, key="target_device", time=EPOCH_MS, tie=ROW_ID, p=DEFAULT
         rows, keys = rows.withColumn("_timer", F.lit(0)), ["_timer"]
     else:
         keys = [key]
-    s = open_series(rows, keys, time, tie, max_rows=p.max_group_rows)
+    s = open_series(rows, keys, time, tie, 0, p.max_group_rows, largest)
     df = s.df
 
     def free_times(table):
@@ -161,7 +161,7 @@ def current_route(decided, key="target_device"):
     )
 
 
-def route_of_frames(frames, decided, time=EPOCH_MS, p=DEFAULTS):
+def route_of_frames(frames, decided, time=EPOCH_MS, p=DEFAULTS, largest=None):
     """Route that was active when each frame arrived; a command at the same time comes first.
 
     As-of join by union and carry-forward: one shuffle on the device, no range join."""
@@ -174,7 +174,7 @@ def route_of_frames(frames, decided, time=EPOCH_MS, p=DEFAULTS):
         F.lit(None).cast("string").alias("active_route"), F.struct(*frames.columns).alias("_frame"),
     )
     merged = changes.unionByName(rows).withColumn("_tie", F.struct("_kind", "_id"))
-    s = open_series(merged, [DEVICE], "_t", "_tie", max_rows=p.max_group_rows)
+    s = open_series(merged, [DEVICE], "_t", "_tie", 0, p.max_group_rows, largest)
     out = s.close(s.carry({"active_route": F.col("active_route")})).where(F.col("_kind") == 1)
     return out.select("_frame.*", F.coalesce("active_route", F.lit(PRIMARY_NODE)).alias("active_route"))
 
@@ -191,9 +191,9 @@ def active_limits(decided):
     )
 
 
-def heartbeat_gaps(frames, time=EPOCH_MS, p=DEFAULTS):
+def heartbeat_gaps(frames, time=EPOCH_MS, p=DEFAULTS, largest=None):
     """Silences longer than the heartbeat timeout; every frame counts as a heartbeat."""
-    s = open_series(frames.select(DEVICE, time, ROW_ID), [DEVICE], time, ROW_ID, 1, p.max_group_rows)
+    s = open_series(frames.select(DEVICE, time, ROW_ID), [DEVICE], time, ROW_ID, 1, p.max_group_rows, largest)
     limit = int(p.heartbeat_timeout_sec * 1000)
     out = s.df.withColumn("gap_start_ms", F.lag(time).over(s.window))
     return (

@@ -13,10 +13,10 @@ from plantpulse.schemas import (
 )
 
 
-def serving_features(frames, p=DEFAULTS, keys=(DEVICE,), time=EPOCH_MS, tie=ROW_ID):
+def serving_features(frames, p=DEFAULTS, keys=(DEVICE,), time=EPOCH_MS, tie=ROW_ID, largest=None):
     """Means, peak, trend slope, lags and sample count over the last ``p.window_rows`` frames of a device.
     One window specification, so one sort."""
-    s = open_series(frames, keys, time, tie, lookback=p.window_rows - 1, max_rows=p.max_group_rows)
+    s = open_series(frames, keys, time, tie, p.window_rows - 1, p.max_group_rows, largest)
     w = s.window
     span = w.rowsBetween(-(p.window_rows - 1), Window.currentRow)
     numbered = s.df.withColumn("_rn", F.row_number().over(w).cast("double"))
@@ -36,11 +36,11 @@ def serving_features(frames, p=DEFAULTS, keys=(DEVICE,), time=EPOCH_MS, tie=ROW_
     return s.close(out).drop("_rn")
 
 
-def training_features(labeled, p=DEFAULTS, keys=(DEVICE,), time=EPOCH_MS, tie=ROW_ID, target=TARGET):
+def training_features(labeled, p=DEFAULTS, keys=(DEVICE,), time=EPOCH_MS, tie=ROW_ID, target=TARGET, largest=None):
     """Lags with back-fill from the first row, one-step slope, rolling peak over ten rows. The target must not
     be null. The first row of a key is among the ten rows that its first frames look back on, so back-fill
     needs no scan of the key."""
-    s = open_series(labeled, keys, time, tie, lookback=9, max_rows=p.max_group_rows)
+    s = open_series(labeled, keys, time, tie, 9, p.max_group_rows, largest)
     w = s.window
     recent = w.rowsBetween(-9, Window.currentRow)
     first = F.first(target).over(recent)
@@ -55,10 +55,10 @@ def training_features(labeled, p=DEFAULTS, keys=(DEVICE,), time=EPOCH_MS, tie=RO
     return s.close(out)
 
 
-def console_features(frames, p=DEFAULTS, keys=(DEVICE,), time=EPOCH_MS, tie=ROW_ID):
+def console_features(frames, p=DEFAULTS, keys=(DEVICE,), time=EPOCH_MS, tie=ROW_ID, largest=None):
     """Lags from the rows before the current one (default 42 ms), one-step slope, peak of the current and the
     last five rows."""
-    s = open_series(frames, keys, time, tie, lookback=5, max_rows=p.max_group_rows)
+    s = open_series(frames, keys, time, tie, 5, p.max_group_rows, largest)
     w = s.window
     lag1 = F.coalesce(F.lag(RTT, 1).over(w), F.lit(DEFAULT_LAG_MS))
     out = s.df.withColumns(
@@ -88,7 +88,7 @@ def latest_features(frames, device=None, p=DEFAULTS):
     if device is not None:
         frames = frames.where(F.col(DEVICE) == device)
     recent = last_n(frames, p.window_rows).drop("recency")
-    return last_n(serving_features(recent, p), 1).drop("recency")
+    return last_n(serving_features(recent, p, largest=p.window_rows), 1).drop("recency")
 
 
 def prediction_request(features, label=0):

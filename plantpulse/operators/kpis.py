@@ -74,10 +74,10 @@ def run_totals(scored, latency, keys=()):
     )
 
 
-def running_totals(scored, latency, p=DEFAULTS):
+def running_totals(scored, latency, p=DEFAULTS, largest=None):
     """The same totals as of every frame of a device."""
     s = open_series(
-        scored.select(DEVICE, EPOCH_MS, ROW_ID, TEMP, latency), [DEVICE], EPOCH_MS, ROW_ID, max_rows=p.max_group_rows
+        scored.select(DEVICE, EPOCH_MS, ROW_ID, TEMP, latency), [DEVICE], EPOCH_MS, ROW_ID, 0, p.max_group_rows, largest
     )
     out = s.running(
         sums={"total_cycles": F.lit(1).cast("long")},

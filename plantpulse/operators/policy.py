@@ -55,12 +55,12 @@ def diagnose(scored, attributions=None, p=DEFAULTS):
     )
 
 
-def replay(frames, scorer=analytic_score, p=DEFAULTS):
+def replay(frames, scorer=analytic_score, p=DEFAULTS, largest=None):
     """Apply thermal, failover and shedding rules to every frame and score before and after shedding.
 
     Lags come from measured latency, so rows do not depend on each other's outcome and the whole replay is a
     projection on top of the console features."""
-    df = console_features(frames, p)
+    df = console_features(frames, p, largest=largest)
     throttled = F.col(TEMP) > p.throttle_temp
     failover = F.col(DROP) > p.failover_drop
     df = df.withColumns(
@@ -112,7 +112,7 @@ def mitigation_counts(replayed, keys=(DEVICE,), p=DEFAULTS):
     )
 
 
-def sustained_breaches(scored, min_cycles=2, p=DEFAULTS):
+def sustained_breaches(scored, min_cycles=2, p=DEFAULTS, largest=None):
     """Runs of at least ``min_cycles`` consecutive frames at or above the latency limit.
 
     The start of a run travels forward with the rows and the runs are then an ordinary aggregate, so a long
@@ -120,7 +120,7 @@ def sustained_breaches(scored, min_cycles=2, p=DEFAULTS):
     rows = scored.select(
         DEVICE, EPOCH_MS, ROW_ID, (F.col(PRED) >= p.sla_latency_ms).alias("_breach"), PRED
     )
-    s = open_series(rows, [DEVICE], EPOCH_MS, ROW_ID, lookback=1, max_rows=p.max_group_rows)
+    s = open_series(rows, [DEVICE], EPOCH_MS, ROW_ID, 1, p.max_group_rows, largest)
     begins = F.col("_breach") & ~F.coalesce(F.lag("_breach").over(s.window), F.lit(False))
     s.df = s.df.withColumn("_start", F.when(begins, F.struct(EPOCH_MS, ROW_ID)))
     runs = s.close(s.carry({"_run": F.col("_start")})).where("_breach")

@@ -13,13 +13,14 @@ def check(raw):
     return raw.withColumn("errors", fr.frame_errors())
 
 
-def split_quality(raw):
-    """``(valid, quarantine)``. Both are filters over the same scan."""
-    checked = check(raw)
-    return (
-        checked.where(F.size("errors") == 0).drop("errors"),
-        checked.where(F.size("errors") > 0),
-    )
+def valid_frames(raw):
+    """Frames that pass the quality gate: a plain predicate that reaches the file scan."""
+    return raw.where(fr.frame_ok())
+
+
+def quarantine(raw):
+    """Frames that fail the quality gate, with their list of errors."""
+    return check(raw.where(~F.coalesce(fr.frame_ok(), F.lit(False))))
 
 
 def canonical(valid, probes=None, event_time=EPOCH_MS, row_id=ROW_ID):
@@ -37,13 +38,13 @@ def canonical(valid, probes=None, event_time=EPOCH_MS, row_id=ROW_ID):
     ).withColumn("correlation_id", fr.correlation_id(DEVICE, EPOCH_MS, ROW_ID))
 
 
-def forward_fill(df, cols=tuple(GAUGES), keys=(DEVICE,), time=EPOCH_MS, tie=ROW_ID, p=DEFAULTS):
+def forward_fill(df, cols=tuple(GAUGES), keys=(DEVICE,), time=EPOCH_MS, tie=ROW_ID, p=DEFAULTS, largest=None):
     """Replace missing gauges by the last known value of the key; leading gaps stay missing. ``keys=()`` fills
     over the whole table as one series."""
     one_series = not keys
     if one_series:
         df, keys = df.withColumn("_series", F.lit(0)), ("_series",)
-    s = open_series(df, keys, time, tie, max_rows=p.max_group_rows)
+    s = open_series(df, keys, time, tie, 0, p.max_group_rows, largest)
     filled = s.close(s.carry({f"_f_{c}": F.col(c) for c in cols}))
     out = filled.withColumns({c: F.col(f"_f_{c}") for c in cols}).drop(*[f"_f_{c}" for c in cols])
     return out.drop("_series") if one_series else out

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plantpulse.functions.regimes import ANCHORS, squared_distance
+from plantpulse.functions.regimes import ANCHORS, nearest
 from plantpulse.schemas import GAUGES
 
 
@@ -16,14 +16,9 @@ def update_centroids(state, batch, cols=tuple(GAUGES)):
     """Assign a batch to the nearest centroid and move each centroid to the weighted mean. The state has one
     row per centroid and is read as literals, so the batch is reduced in one pass without a join."""
     current = state.orderBy("centroid").collect()
-    dist = [squared_distance(cols, [r[c] for c in cols]) for r in current]
-    best = F.least(*dist)
-    pick = F.coalesce(*[F.when(x == best, F.lit(r["centroid"])) for r, x in zip(current, dist)])
-    complete = F.lit(True)
-    for c in cols:
-        complete = complete & F.col(c).isNotNull()
+    pick = nearest(cols, [[r[c] for c in cols] for r in current])
     sums = (
-        batch.where(complete)
+        batch.dropna(subset=list(cols))
         .groupBy(pick.alias("centroid"))
         .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in cols])
     )

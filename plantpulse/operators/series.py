@@ -93,13 +93,21 @@ class Series:
         return joined.withColumns(out).drop(*[f"_{k}_{n}" for n in (sums | maxima) for k in "vc"])
 
 
-def open_series(df, keys, time, tie=None, lookback=0, max_rows=None):
+def largest_key(df, keys):
+    """Rows of the largest key. Measured once on the input, it serves every operator on tables derived from it."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def open_series(df, keys, time, tie=None, lookback=0, max_rows=None, largest=None):
     """Prepare ``df`` for window functions ordered by ``(time, tie)`` within ``keys``.
 
-    ``time`` is a numeric column; rows with equal time stay in one block."""
+    ``time`` is a numeric column; rows with equal time stay in one block. ``largest`` is an upper bound for the
+    rows of a key, if the caller has one; it saves the count when no key needs to be cut."""
     max_rows = max_rows or DEFAULTS.max_group_rows
     keys = list(keys)
     order = [time] + ([tie] if tie else [])
+    if largest is not None and largest <= max_rows:
+        return Series(df, keys, order, split=False)
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
     n_large, largest = large.agg(F.count(F.lit(1)), F.max("_n")).first()
     if not n_large:

@@ -9,18 +9,17 @@ from plantpulse.params import DEFAULTS
 from plantpulse.schemas import DEVICE, LABEL
 
 
-def score_frames(raw, scorer=policy.analytic_score, p=DEFAULTS):
+def score_frames(raw, scorer=policy.analytic_score, p=DEFAULTS, largest=None):
     """Quality gate, canonical form, rolling features, regime, forecast, diagnosis."""
-    valid, _ = prep.split_quality(raw)
-    feats = serving_features(prep.canonical(valid), p).withColumn(LABEL, live_regime())
+    feats = serving_features(prep.canonical(prep.valid_frames(raw)), p, largest=largest).withColumn(LABEL, live_regime())
     scored = scorer(feats.withColumn("cluster_regime", regime_name(F.col(LABEL))))
     return policy.diagnose(scored, p=p)
 
 
-def device_risk(raw, scorer=policy.analytic_score, p=DEFAULTS):
+def device_risk(raw, scorer=policy.analytic_score, p=DEFAULTS, largest=None):
     """Summary per device and risk level."""
     return (
-        score_frames(raw, scorer, p)
+        score_frames(raw, scorer, p, largest)
         .groupBy(DEVICE, "risk_level")
         .agg(
             F.count(F.lit(1)).alias("frames"),

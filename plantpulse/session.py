@@ -23,10 +23,9 @@ def local_session(cores="8", shuffle_partitions=8, memory="16g", app="plantpulse
     )
 
 
-def checkpointed(df):
-    """``df.checkpoint()``. The folder is the one named in ``spark.checkpoint.dir``; a temporary folder is
-    used only in local mode, where no shared folder is configured."""
-    spark = df.sparkSession
+def ensure_checkpoint_dir(spark):
+    """Use the folder named in ``spark.checkpoint.dir``. A temporary folder serves only in local mode, where no
+    shared folder is configured."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,6 +34,11 @@ def checkpointed(df):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="plantpulse-checkpoint-")
         sc.setCheckpointDir(shared)
+
+
+def checkpointed(df):
+    """``df.checkpoint()`` in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -30,7 +30,9 @@ def decode_json(df, payload="payload", default_device=JSON_DEVICE):
     """JSON objects to raw frames. A default applies only when a key is absent; an explicit null or a text that
     is no number becomes null and is rejected by the quality gate. ``decode_ok`` is false for malformed JSON."""
     entries = F.from_json(F.col(payload).cast("string"), "map<string,string>")
-    df = df.withColumn("_m", entries).withColumn("decode_ok", F.col("_m").isNotNull())
+    # The one-element generator keeps the parsed map as a column. In a plain projection the optimizer would
+    # parse the text again for every rule of a later filter.
+    df = df.withColumn("_m", F.explode(F.array(entries))).withColumn("decode_ok", F.col("_m").isNotNull())
     has = lambda k: F.map_contains_key("_m", F.lit(k))
     at = lambda k: F.try_element_at("_m", F.lit(k))
     gauges = {
