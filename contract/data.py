@@ -23,12 +23,17 @@ def events(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet")
 
 
-def telemetry(spark, sf):
+def event_stream(spark, sf):
+    """The same table as a stream of files. The pattern matches one file as well as a folder of files."""
+    return spark.readStream.schema(events(spark, sf).schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parque*")
+
+
+def telemetry(spark, sf, source=None):
     """Raw frames: one device per user, gaps in throughput, some frames without a measured RTT."""
     k = F.get_json_object("props", "$.k").cast("double")
     eid = F.col("event_id")
     return (
-        events(spark, sf)
+        (events(spark, sf) if source is None else source)
         .withColumn("k", k)
         .select(
             F.concat(F.lit("NODE_"), F.col("user_id").cast("string")).alias(DEVICE),
@@ -51,9 +56,9 @@ def telemetry(spark, sf):
 RAW = [DEVICE, PROTOCOL, ROW_ID, EPOCH_MS, *GAUGES, RTT]
 
 
-def frames(spark, sf):
+def frames(spark, sf, source=None):
     """Canonical frames."""
-    return prep.canonical(prep.valid_frames(telemetry(spark, sf).select(*RAW)))
+    return prep.canonical(prep.valid_frames(telemetry(spark, sf, source).select(*RAW)))
 
 
 def faulty(spark, sf):
@@ -79,15 +84,16 @@ def probes(spark, sf):
 
 # Command time runs faster than event time so that the debounce interval matters.
 SPEED_UP = 100_000
+HEARTBEAT_SPEED_UP = 1000
 
 
-def compressed(df):
-    return df.withColumn(EPOCH_MS, F.floor(F.col(EPOCH_MS) / SPEED_UP))
+def compressed(df, factor=SPEED_UP):
+    return df.withColumn(EPOCH_MS, F.floor(F.col(EPOCH_MS) / factor))
 
 
-def commands(spark, sf):
+def commands(spark, sf, source=None):
     eid, kind = F.col(ROW_ID), F.col("event_type")
-    return compressed(telemetry(spark, sf)).select(
+    return compressed(telemetry(spark, sf, source)).select(
         F.when(kind == "purchase", "traffic_shedding").when(kind == "signup", "ha_failover")
         .when(kind == "view", "reset").when(kind == "error", "traffic_shedding").otherwise("thermal_regulation")
         .alias("action"),
@@ -130,11 +136,13 @@ def scored(spark, sf):
 DRIFT_SPLIT_MS = 1_705_363_200_000
 
 
+def shifted(rows):
+    return rows.where(F.col(EPOCH_MS) >= DRIFT_SPLIT_MS).withColumns(
+        {THROUGHPUT: dp(F.col(THROUGHPUT) * 1.2 + 3.0, 6), TEMP: dp(F.col(TEMP) + 0.7, 6)}
+    )
+
+
 def drift_sides(spark, sf):
     """First half of the period as baseline; the second, scaled and shifted, as current values."""
     rows = frames(spark, sf)
-    base = rows.where(F.col(EPOCH_MS) < DRIFT_SPLIT_MS)
-    cur = rows.where(F.col(EPOCH_MS) >= DRIFT_SPLIT_MS).withColumns(
-        {THROUGHPUT: dp(F.col(THROUGHPUT) * 1.2 + 3.0, 6), TEMP: dp(F.col(TEMP) + 0.7, 6)}
-    )
-    return base, cur
+    return rows.where(F.col(EPOCH_MS) < DRIFT_SPLIT_MS), shifted(rows)

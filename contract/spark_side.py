@@ -404,7 +404,7 @@ def h12(spark, sf):
 
 
 def h13(spark, sf):
-    return control.heartbeat_gaps(d.compressed(d.frames(spark, sf)), largest=d.largest(spark, sf))
+    return control.heartbeat_gaps(d.compressed(d.frames(spark, sf), d.HEARTBEAT_SPEED_UP), largest=d.largest(spark, sf))
 
 
 def h13_now(spark, sf):

@@ -344,7 +344,7 @@ SQL = {
       qualify row_number() over (partition by device_id order by t desc, event_id desc) = 1"""),
     "H12_active_limits": w(DECIDED, """select target_interface, rate_mbps from (select * from decided where status = 'applied' and action in ('traffic_shedding', 'reset')
       qualify row_number() over (partition by target_interface order by t desc, event_id desc) = 1) where action = 'traffic_shedding'"""),
-    "H13_heartbeat_gaps": w(CANON + ", fr as (select device_id, event_id, timestamp_epoch_ms // 100000 as t from canon), lg as (select *, lag(t) over (partition by device_id order by t, event_id) as p from fr)",
+    "H13_heartbeat_gaps": w(CANON + ", fr as (select device_id, event_id, timestamp_epoch_ms // 1000 as t from canon), lg as (select *, lag(t) over (partition by device_id order by t, event_id) as p from fr)",
       "select device_id, p as gap_start_ms, t as gap_end_ms, t - p as gap_ms from lg where t - p > 15000"),
     "H13_tripped": w(CANON, "select device_id, max(timestamp_epoch_ms) as last_heartbeat_ms, 1706572800000 - max(timestamp_epoch_ms) > 15000 as tripped from canon group by device_id"),
     "H14_sustained_breach": w(SCORED + f""", g as (select *, row_number() over ({ORD}) as a from scored), br as (select *, a - row_number() over ({ORD}) as isl from g where pred >= 60)""",
@@ -423,3 +423,22 @@ def _centroids():
 
 
 SQL["E6_centroid_update"] = _centroids()
+
+SQL |= {
+    "A9_fan_out": w(CANON, "select protocol, count(*) as n, sink from canon, (values ('first'), ('second')) s(sink) group by protocol, sink"),
+    "L1_stream_frames": w(CANON, f"select {CANON_COLS} from canon"),
+    "L2_stream_features": w(SERVING, f"select event_id, {r6('throughput_mean', 'packet_drop_mean', 'buffer_peak', 'lag_latency_1', 'lag_latency_2')}, samples_in_window, false as late from feat"),
+    "L3_stream_scoring": w(SCORED, f"select event_id, pred as predicted_latency_ms, {RISK} as risk_level, {ACTION} as mitigation_action from scored"),
+    "L4_stream_drift": w(PSI, """select feature, n_current, psi, psi > 0.2 as drift_detected,
+      case when psi < 0.1 then 'STABLE' when psi < 0.25 then 'MODERATE SHIFT' else 'SIGNIFICANT DRIFT' end as drift_band from psi where n_current >= 20"""),
+    "L5_stream_debounce": w(DECIDED, f"select event_id, status, {rd('wait_sec', 2)} as retry_after_sec from decided"),
+    "L5_stream_event_log": w(SOE, "select device_id, timestamp_epoch_ms, event_id, tag from soe"),
+    "L6_stream_heartbeat": w(CANON + ", fr as (select device_id, event_id, timestamp_epoch_ms // 1000 as t from canon), lg as (select *, lag(t) over (partition by device_id order by t, event_id) as p from fr)",
+      """select device_id, p as last_ms, 'gap' as kind, (t - p)::double as gap_ms from lg where t - p > 15000
+      union all select device_id, max(t), 'tripped', null from fr group by device_id having max(t) + 15001 < (select max(t) - 30000 from fr)"""),
+    "L7_stream_counters": w(CANON + ", wn as (select *, timestamp_epoch_ms // 1000 * 1000 as window_start, max(timestamp_epoch_ms) over () - 30000 as mark from canon)",
+      f"""select window_start, protocol, device_id, count(*) as frames_total, {rd(f'max({C})', 6)} as peak_temp,
+      {rd(f'arg_max({R}, (timestamp_epoch_ms - 1700000000000) * 10000000 + event_id)', 6)} as last_rtt_ms from wn group by window_start, protocol, device_id, mark having window_start + 1000 <= mark"""),
+    "L8_stream_centroids": SQL["E6_centroid_update"],
+    "L9_stream_replay": w(CANON, f"select {CANON_COLS} from canon"),
+}

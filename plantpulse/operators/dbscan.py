@@ -64,13 +64,19 @@ class _Run:
         return df.select(*[F.col(n).alias(f"{prefix}{n}") for n in names])
 
     def _children(self, points, parents, level):
-        """Boxes inside ``parents(box, n)`` of the level before."""
+        """Boxes inside ``parents(box, n)`` of the level before. A box that is a single point already has itself
+        as its only child; its key is longer than that of a grid box."""
         rows = parents.count()
         inside = points.withColumn("parent", self._box_at(level - 1)).join(
             broadcast_if_small(parents.select(F.col("box").alias("parent"), F.col("n").alias("_n")), rows), "parent"
         )
-        child = F.when(F.col("_n") <= SMALL_BOX, F.array(F.col("rid"))).otherwise(self._box_at(level))
-        return inside.groupBy("parent", child.alias("box")).agg(*self.stats)
+        point = F.array(F.col("rid").cast("long"), *[F.lit(0).cast("long")] * self.dim)
+        child = F.when(F.col("_n") <= SMALL_BOX, point).otherwise(self._box_at(level))
+        kids = inside.groupBy("parent", child.alias("box")).agg(*self.stats)
+        if "lo0" not in parents.columns:
+            return kids
+        points_again = parents.where(F.size("box") > self.dim)
+        return kids.unionByName(points_again.select(F.col("box").alias("parent"), "box", "n", *self.bounds))
 
     def labels(self, label):
         cells = checkpointed(self.points.groupBy("cell").agg(*self.stats, F.min("rid").alias("first")))
@@ -206,7 +212,9 @@ class _Run:
             if pairs.isEmpty():
                 return groups
             level += 1
-            sides = [pairs.select(F.col(f"{s}_box").alias("box"), F.col(f"{s}_n").alias("n")) for s in "ab"]
+            sides = [
+                pairs.select(*[F.col(f"{s}_{c}").alias(c) for c in ("box", "n", *self.bounds)]) for s in "ab"
+            ]
             parents = checkpointed(sides[0].unionByName(sides[1]).distinct())
             kids = checkpointed(self._children(core_points, parents, level))
             names = ["parent", "box", "n", *self.bounds]

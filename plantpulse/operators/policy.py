@@ -60,7 +60,11 @@ def replay(frames, scorer=analytic_score, p=DEFAULTS, largest=None):
 
     Lags come from measured latency, so rows do not depend on each other's outcome and the whole replay is a
     projection on top of the console features."""
-    df = console_features(frames, p, largest=largest)
+    return apply_policy(console_features(frames, p, largest=largest), scorer, p)
+
+
+def apply_policy(df, scorer=analytic_score, p=DEFAULTS):
+    """The row rules of :func:`replay` for frames that already have their features; also runs on streams."""
     throttled = F.col(TEMP) > p.throttle_temp
     failover = F.col(DROP) > p.failover_drop
     df = df.withColumns(

@@ -37,9 +37,12 @@ def ensure_checkpoint_dir(spark):
 
 
 def checkpointed(df):
-    """``df.checkpoint()`` in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage of an intermediate table by writing it to the shared folder and reading it back. Unlike
+    ``df.checkpoint()`` this gives later joins the true size and does not carry the old plan's constraints along,
+    which in iterative work grow from step to step."""
+    path = scratch_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df, rows, limit=200_000):
