@@ -30,7 +30,8 @@ def event_stream(spark, sf):
 
 def telemetry(spark, sf, source=None):
     """Raw frames: one device per user, gaps in throughput, some frames without a measured RTT."""
-    k = F.get_json_object("props", "$.k").cast("double")
+    # The one-element generator keeps `k` as a column; a projection would parse the text again for every use.
+    k = F.explode(F.array(F.get_json_object("props", "$.k").cast("double")))
     eid = F.col("event_id")
     return (
         (events(spark, sf) if source is None else source)
@@ -129,7 +130,7 @@ def replayed(spark, sf):
 
 
 def scored(spark, sf):
-    return policy.analytic_score(policy.with_regime(frames(spark, sf)))
+    return policy.score(frames(spark, sf))
 
 
 # Frames before this instant (2024-01-16 UTC) form the baseline, later ones the current values.

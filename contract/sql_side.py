@@ -278,7 +278,7 @@ SQL = {
     "C1_forward_fill_one_series": w(TELE, "select event_id, t as timestamp_epoch_ms, " + ", ".join(
       f"round(last_value({g} ignore nulls) over w, 6) as {g}" for g in G) + " from tele window w as (order by t, event_id)"),
     "C2_min_max_scale": w(TELE + ", mm as (select " + ", ".join(f"min({g}) as lo_{i}, max({g}) as hi_{i}" for i, g in enumerate(G)) + " from tele)",
-      "select event_id, " + ", ".join(f"round(({g} - lo_{i}) / (hi_{i} - lo_{i}), 6) as {g}" for i, g in enumerate(G)) + " from tele, mm"),
+      "select event_id, " + ", ".join(rd(f"({g} - lo_{i}) / (hi_{i} - lo_{i})", 6) + f" as {g}" for i, g in enumerate(G)) + " from tele, mm"),
     "C3_invert_scaler": w(TELE, f"select event_id, {r6(*G)} from tele"),
     "D1_rolling": w(SERVING, f"select event_id, {r6('throughput_mean', 'packet_drop_mean', 'buffer_peak')}, samples_in_window from feat"),
     "D2_slope": w(SERVING, "select event_id, throughput_slope from feat"),

@@ -92,17 +92,15 @@ def findings(attributions=None, p=DEFAULTS):
         F.concat(F.lit("Ingress data rate ("), fixed(rate, 1), F.lit(" Mbps) exceeds baseline capacity.")),
         F.lit("MEDIUM"),
     )
-    found = F.filter(
-        F.array(
-            F.when(drop >= p.failover_drop, link),
-            F.when(buf >= QUEUE_LIMIT, queue),
-            F.when(temp >= p.throttle_temp, heat),
-            F.when(rate > SURGE_LIMIT, surge),
-        ),
-        lambda f: f.isNotNull(),
-    )
-    none = F.array(_finding(V_NONE, F.lit(E_NONE), F.lit("INFO")))
-    return F.when(F.size(found) > 0, found).otherwise(none)
+    rules = [
+        (drop >= p.failover_drop, link), (buf >= QUEUE_LIMIT, queue), (temp >= p.throttle_temp, heat),
+        (rate > SURGE_LIMIT, surge),
+    ]
+    nothing = F.lit(True)
+    for broken, _ in rules:
+        nothing = nothing & ~F.coalesce(broken, F.lit(False))
+    rules.append((nothing, _finding(V_NONE, F.lit(E_NONE), F.lit("INFO"))))
+    return F.filter(F.array(*[F.when(c, f) for c, f in rules]), lambda f: f.isNotNull())
 
 
 def action(p=DEFAULTS):

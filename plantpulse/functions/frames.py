@@ -23,12 +23,13 @@ REQUEST_BOUNDS = {
 }
 
 BASE_RTT_MS = 38.0
+WHITESPACE = " \t\n\r\f\v"
 DEFAULT_LAG_MS = 42.0
 
 
 def normal_device(col=DEVICE):
     """Trimmed, upper-case device id; null when blank."""
-    trimmed = F.regexp_replace(F.col(col) if isinstance(col, str) else col, r"^\s+|\s+$", "")
+    trimmed = F.btrim(F.col(col), F.lit(WHITESPACE))
     return F.when(F.length(trimmed) > 0, F.upper(trimmed))
 
 

@@ -20,11 +20,10 @@ def squared_distance(cols, point):
 
 def nearest(cols, points):
     """Index of the nearest of a fixed list of points; ties to the lowest, 0 when a coordinate is missing.
-    A chain of comparisons inside the projection: no join and no UDF."""
-    dist = [squared_distance(cols, p) for p in points]
+    The smallest (distance, index) pair inside the projection: no join, no UDF, each distance computed once."""
+    pairs = ", ".join(f"struct({squared_distance(cols, p)} as d, {i} as i)" for i, p in enumerate(points))
     missing = " or ".join(f"{c} is null" for c in cols)
-    cases = " ".join(f"when {d} = least({', '.join(dist)}) then {i}" for i, d in enumerate(dist[:-1]))
-    return F.expr(f"case when {missing} then 0 {cases} else {len(points) - 1} end")
+    return F.expr(f"case when {missing} then 0 else array_min(array({pairs})).i end")
 
 
 def live_regime(drop=DROP, buffer=BUFFER, temp=TEMP, cols=None):

@@ -77,7 +77,7 @@ def debounce(commands, key="target_device", time=EPOCH_MS, tie=ROW_ID, p=DEFAULT
         rows, keys = rows.withColumn("_timer", F.lit(0)), ["_timer"]
     else:
         keys = [key]
-    s = open_series(rows, keys, time, tie, 0, p.max_group_rows, largest)
+    s = open_series(rows, keys, time, tie, 0, p.max_python_group_rows, largest)
     df = s.df
 
     def free_times(table):

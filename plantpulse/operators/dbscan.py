@@ -110,6 +110,7 @@ class _Run:
             .join(by_group, "group")
             .select(F.col("rid").alias("_rid"), F.col("number").alias("_sparse"))
         )
+        of_point = broadcast_if_small(of_point, sparse.count())
         cell = F.array(*[F.floor(F.col(c).cast("double") * 1.0 / self.side) for c in self.cols])
         return (
             self.df.withColumn("cell", cell)

@@ -8,7 +8,7 @@ from plantpulse.functions.regimes import live_regime, regime_name
 from plantpulse.operators.features import console_features
 from plantpulse.operators.series import open_series
 from plantpulse.params import DEFAULTS
-from plantpulse.schemas import BUFFER, DEVICE, DROP, EPOCH_MS, GAUGES, LABEL, MODEL_FEATURES, ROW_ID, TEMP, THROUGHPUT
+from plantpulse.schemas import BUFFER, DEVICE, DROP, EPOCH_MS, GAUGES, LABEL, ROW_ID, TEMP, THROUGHPUT
 
 PRED = "predicted_latency_ms"
 SHED_MARGIN_MS = 5.0
@@ -20,9 +20,8 @@ SHED_DROP = 0.35
 SHED_BUFFER = 0.70
 
 
-def with_regime(df, p=DEFAULTS):
-    label = live_regime()
-    return df.withColumn(LABEL, label).withColumn("cluster_regime", regime_name(F.col(LABEL)))
+def with_regime(df):
+    return df.withColumn(LABEL, live_regime()).withColumn("cluster_regime", regime_name(F.col(LABEL)))
 
 
 def analytic_score(df, names=None, out=PRED):
@@ -34,6 +33,12 @@ def analytic_score(df, names=None, out=PRED):
     return scored.withColumn(out, lt.analytic_forecast(at(DROP), label, at(TEMP)))
 
 
+def score(df, scorer=analytic_score):
+    """Regime and forecast. A label that came with the rows is ignored; the scorer computes its own."""
+    scored = scorer(df.drop(LABEL)).withColumnRenamed(f"{PRED}_label", LABEL)
+    return scored.withColumn("cluster_regime", regime_name(F.col(LABEL)))
+
+
 def diagnose(scored, attributions=None, p=DEFAULTS):
     """Root-cause columns for scored frames."""
     df = scored.withColumn("findings", dg.findings(attributions, p))
@@ -136,9 +141,3 @@ def sustained_breaches(scored, min_cycles=2, p=DEFAULTS, largest=None):
         .where(F.col("cycles") >= min_cycles)
         .select(DEVICE, F.col(f"_run.{EPOCH_MS}").alias("start_ms"), "end_ms", "cycles", "peak_latency_ms")
     )
-
-
-__all__ = [
-    "MODEL_FEATURES", "PRED", "analytic_score", "diagnose", "mitigation_counts", "replay", "sustained_breaches",
-    "with_regime",
-]

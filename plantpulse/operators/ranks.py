@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plantpulse.params import DEFAULTS
-from plantpulse.session import checkpointed
+from plantpulse.session import broadcast_if_small, checkpointed
 
 
 def value_counts(df, keys, value, weights):
@@ -51,24 +51,26 @@ def exact_quantiles(df, keys, value, probs, max_rows=None, out="quantiles"):
     max_rows = max_rows or DEFAULTS.max_group_rows
     keys = list(keys)
     present = df.where(F.col(value).isNotNull()).select(*keys, value)
-    sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= max_rows:
-        return present.groupBy(*keys).agg(
-            F.percentile(value, F.array(*[F.lit(float(q)) for q in probs])).alias(out)
-        )
-    ranked = running_counts(
-        value_counts(present, keys, value, {"w": F.lit(1)}), keys, value, ["w"], largest, max_rows
-    )
-    wanted = sizes.select(
+    builtin = F.percentile(value, F.array(*[F.lit(float(q)) for q in probs])).alias(out)
+    large = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_rows)
+    n_large, largest = large.agg(F.count(F.lit(1)), F.max("n")).first()
+    if not n_large:
+        return present.groupBy(*keys).agg(builtin)
+    large = checkpointed(large)
+    names = broadcast_if_small(large.select(*keys), n_large)
+    small_keys = present.join(names, keys, "left_anti").groupBy(*keys).agg(builtin)
+    counts = value_counts(present.join(names, keys, "left_semi"), keys, value, {"w": F.lit(1)})
+    ranked = running_counts(counts, keys, value, ["w"], largest, max_rows)
+    wanted = large.select(
         *keys,
         F.posexplode(F.array(*[(F.col("n") - 1) * F.lit(float(q)) for q in probs])).alias("i", "at"),
     ).select(*keys, "i", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
-    hit = wanted.join(ranked, keys).where(
+    hit = ranked.join(broadcast_if_small(wanted, 2 * len(probs) * n_large), keys).where(
         (F.col("rank") >= F.col("cum_w") - F.col("w")) & (F.col("rank") < F.col("cum_w"))
     )
     low, high = F.min(value), F.max(value)
     per_q = hit.groupBy(*keys, "i").agg((low + (high - low) * (F.max("at") - F.floor(F.max("at")))).alias("q"))
-    return per_q.groupBy(*keys).agg(
+    large_keys = per_q.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias(out)
     )
+    return small_keys.unionByName(large_keys)

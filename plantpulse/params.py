@@ -33,6 +33,8 @@ class Params:
     history_rows: int = 30
     # Largest number of rows of one key that a single task may order (see operators/series.py).
     max_group_rows: int = 2_000_000
+    # The same for groups that a Python function receives as one Arrow table.
+    max_python_group_rows: int = 500_000
 
     def __post_init__(self):
         for f in fields(self):

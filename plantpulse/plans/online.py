@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from plantpulse.functions.regimes import live_regime, regime_name
 from plantpulse.operators import policy, prep
 from plantpulse.operators.features import serving_features
 from plantpulse.params import DEFAULTS
@@ -11,9 +10,8 @@ from plantpulse.schemas import DEVICE, LABEL
 
 def score_frames(raw, scorer=policy.analytic_score, p=DEFAULTS, largest=None):
     """Quality gate, canonical form, rolling features, regime, forecast, diagnosis."""
-    feats = serving_features(prep.canonical(prep.valid_frames(raw)), p, largest=largest).withColumn(LABEL, live_regime())
-    scored = scorer(feats.withColumn("cluster_regime", regime_name(F.col(LABEL))))
-    return policy.diagnose(scored, p=p)
+    feats = serving_features(prep.canonical(prep.valid_frames(raw)), p, largest=largest)
+    return policy.diagnose(policy.score(feats, scorer), p=p)
 
 
 def device_risk(raw, scorer=policy.analytic_score, p=DEFAULTS, largest=None):

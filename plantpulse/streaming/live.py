@@ -84,7 +84,7 @@ def rolling_features(frames, p=DEFAULTS):
 
 def scored(features, scorer=policy.analytic_score, p=DEFAULTS):
     """Regime, forecast and diagnosis of feature rows; no state."""
-    return policy.diagnose(scorer(policy.with_regime(features, p)), p=p)
+    return policy.diagnose(policy.score(features, scorer), p=p)
 
 
 def debounced(commands, p=DEFAULTS, key="target_device"):

@@ -15,7 +15,7 @@ from plantpulse.operators.series import open_series
 from plantpulse.params import DEFAULTS
 from plantpulse.schemas import DEVICE, EPOCH_MS, GAUGES, ROW_ID, RTT
 
-CUT = replace(DEFAULTS, max_group_rows=7)
+CUT = replace(DEFAULTS, max_group_rows=7, max_python_group_rows=7)
 
 
 @pytest.fixture(scope="module")
@@ -136,7 +136,7 @@ def test_many_blocks_link_over_levels(spark):
         "requires_approval": rng.random(3000) < 0.2, "approved_by": "", "correlation_id": "c",
         EPOCH_MS: times, ROW_ID: np.arange(3000),
     })
-    got = control.debounce(spark.createDataFrame(pdf), p=replace(DEFAULTS, max_group_rows=10)).toPandas().sort_values(ROW_ID)
+    got = control.debounce(spark.createDataFrame(pdf), p=replace(DEFAULTS, max_python_group_rows=10)).toPandas().sort_values(ROW_ID)
     last, want = -(10**12), []
     for t, action, waits in zip(times, pdf["action"], pdf["requires_approval"]):
         if t - last < 5000:

@@ -72,7 +72,7 @@ def test_late_frames_are_marked(spark, tmp_path):
 
 def test_scoring_equals_batch(spark, frames, folder, tmp_path):
     got = run(live.scored(live.frame_stream(source(spark, folder))).select(ROW_ID, policy.PRED, "risk_level", "mitigation_action"), spark, tmp_path)
-    want = policy.diagnose(policy.analytic_score(policy.with_regime(frames)))
+    want = policy.diagnose(policy.score(frames))
     cols = (ROW_ID, policy.PRED, "risk_level", "mitigation_action")
     assert rows(got, *cols) == rows(want, *cols)
 
