@@ -62,3 +62,24 @@ def positions(df: DataFrame, order: list, key: list[str], sums: dict[str, str])
         same = same & local[k].eqNullSafe(offsets[f"__k_{k}"])
     return local.join(offsets, same).select(
         *df.columns, *[(F.col(f"__l_{new}") + F.col(f"__o_{new}")).alias(new) for new in value])
+
+
+def hash_sample(df: DataFrame, id_col: str, limit: int, rows: int) -> DataFrame:
+    """About ``limit`` rows of ``df``, which has ``rows``: those whose id hash lies below a threshold. The same rows
+    are taken for any partitioning. All rows when there are fewer than ``limit``."""
+    if rows <= limit:
+        return df
+    return df.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < int((1 << 40) * (limit / rows)))
+
+
+def chunks(data: bytes, size: int = 1 << 20):
+    """Cuts a text into parts of about ``size`` bytes, each ending at a blank, so that no word is cut unless it is
+    longer than ``size`` itself (then it stays whole)."""
+    start = 0
+    while len(data) - start > size:
+        cut = data.find(b" ", start + size)
+        if cut < 0:
+            break
+        yield data[start:cut]
+        start = cut
+    yield data[start:] if start else data

@@ -1,8 +1,9 @@
 """Queries of the corpus operators over the given tables, and their SQL where SQL can express them."""
 
-from plantpulse.llm import exact_dedup, sharding
+from plantpulse.llm import exact_dedup, quality, sharding
 
 QUERIES = {
+    "op2_quality": quality.query,
     "op9_sharding": sharding.query,
     "op10_exact_dedup": exact_dedup.query,
 }
