@@ -1,10 +1,11 @@
 """Queries of the corpus operators over the given tables, and their SQL where SQL can express them."""
 
-from plantpulse.llm import exact_dedup, language, quality, sharding
+from plantpulse.llm import byte_bpe, exact_dedup, language, quality, sharding
 
 QUERIES = {
     "op1_language": language.query,
     "op2_quality": quality.query,
+    "op7_byte_bpe": byte_bpe.query,
     "op9_sharding": sharding.query,
     "op10_exact_dedup": exact_dedup.query,
 }
