@@ -68,23 +68,22 @@ def _marks(rest: str):
 def blocks(page: str):
     """(path, text, link characters) of every text block in page order, left-out parts excluded."""
     stack = []  # (name, path of the container, left out, link)
-    parts, links, out, place = [], 0, [], ""
+    parts, links, out, place, blank = [], 0, [], "", True
 
     def flush():
-        nonlocal links
+        nonlocal links, blank
         text = " ".join("".join(parts).split())
         if text:
             out.append((place, text, links))
         parts.clear()
-        links = 0
+        links, blank = 0, True
 
     def add(raw):
-        nonlocal links, place
+        nonlocal links, place, blank
         if raw and not (stack and stack[-1][2]):
             text = html.unescape(raw)
-            here = stack[-1][1] if stack else ""
-            if not parts or not "".join(parts).strip():
-                place = here
+            if blank:
+                place, blank = stack[-1][1] if stack else "", not text.strip()
             parts.append(text)
             if stack and stack[-1][3]:
                 links += len(text.strip())
@@ -144,7 +143,8 @@ def blocks(page: str):
             path = f"{path}/{name}.{first}" if first else f"{path}/{name}"
         # A page may mark its body or article with any class: those two are never left out for it.
         out_here = above[2] or name in SKIPPED or (left_out and name not in ("html", "body", "article", "main"))
-        stack.append((name, path, out_here, above[3] or name == "a"))
+        if name in BLOCKS or name == "a" or out_here != above[2]:  # other inline elements change nothing
+            stack.append((name, path, out_here, above[3] or name == "a"))
     flush()
     return out
 
