@@ -1,5 +1,6 @@
 """Helpers that several corpus operators share: table access, folds, size-checked joins, global positions."""
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +84,20 @@ def chunks(data: bytes, size: int = 1 << 20):
         yield data[start:cut]
         start = cut
     yield data[start:] if start else data
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: float = 1 / 1000) -> DataFrame:
+    """Inner join of ``rows`` with one row per group. Groups that hold at least ``share`` of all ``total`` rows are hot;
+    there are at most 1 / share of them, and they are broadcast. The rest meets by shuffle."""
+    hot = groups.filter(F.col(size) >= max(2.0, total * share))
+    names = F.broadcast(hot.select(key))
+    cold = rows.join(names, key, "left_anti").join(groups.join(names, key, "left_anti"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def mix64(x: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit finaliser (add, multiply, shift) of unsigned values."""
+    with np.errstate(over="ignore"):
+        x = (x + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))

@@ -17,7 +17,7 @@ verdict. Empty tables give empty results. Other columns play no part; ``drop_cop
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantpulse.llm.common import BLANKS
+from plantpulse.llm.common import BLANKS, join_groups, table
 from plantpulse.session import checkpointed
 
 MAX_CELLS = 1 << 27
@@ -31,27 +31,31 @@ def digest_columns(text_col: str):
     return [F.unhex(F.sha2(F.translate(text, BLANKS, ""), 256)).alias("__sha"), F.length(text).cast("long").alias("__length")]
 
 
-def _cell(half: int, cells: int):
+def _cell(key: str, half: int, cells: int):
     """Cells count from 1, as the bitmap functions do."""
-    return F.pmod(F.xxhash64("__sha", F.lit(half)), F.lit(cells)) + 1
+    return F.pmod(F.xxhash64(key, F.lit(half)), F.lit(cells)) + 1
 
 
-def repeated_cells(digests: DataFrame, cells: int) -> DataFrame:
-    """Bitmaps (half, bucket, bits) of the cells that at least two rows hit."""
-    hits = digests.select(F.explode(F.array(*[
-        F.struct(F.lit(half).alias("half"), _cell(half, cells).alias("cell")) for half in (0, 1)])).alias("hit")).select("hit.*")
-    twice = hits.groupBy("half", "cell").count().filter("count >= 2")
-    return twice.groupBy("half", F.bitmap_bucket_number("cell").alias("bucket")).agg(
+def cells_for(rows: int, max_cells: int = MAX_CELLS) -> int:
+    return min(1 << max(16, (CELLS_PER_ROW * rows).bit_length()), max_cells)
+
+
+def hit_cells(df: DataFrame, key: str, cells: int, least: int = 1) -> DataFrame:
+    """Bitmaps (half, bucket, bits) of the cells that at least ``least`` rows hit."""
+    hits = df.select(F.explode(F.array(*[
+        F.struct(F.lit(half).alias("half"), _cell(key, half, cells).alias("cell")) for half in (0, 1)])).alias("hit")).select("hit.*")
+    counted = hits.groupBy("half", "cell").count().filter(F.col("count") >= least) if least > 1 else hits
+    return counted.groupBy("half", F.bitmap_bucket_number("cell").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
 
 
-def marked(df: DataFrame, bitmaps: DataFrame, cells: int) -> DataFrame:
+def marked(df: DataFrame, bitmaps: DataFrame, cells: int, key: str = "__sha") -> DataFrame:
     """Adds the boolean ``__suspect``: both cells of the row are marked."""
     out, tests = df, []
     for half in (0, 1):
         part = bitmaps.filter(F.col("half") == half).select(F.col("bucket").alias(f"__b{half}"), F.col("bits").alias(f"__bits{half}"))
-        out = out.join(F.broadcast(part), F.bitmap_bucket_number(_cell(half, cells)) == F.col(f"__b{half}"), "left")
-        place = F.bitmap_bit_position(_cell(half, cells))
+        out = out.join(F.broadcast(part), F.bitmap_bucket_number(_cell(key, half, cells)) == F.col(f"__b{half}"), "left")
+        place = F.bitmap_bit_position(_cell(key, half, cells))
         byte = F.conv(F.hex(F.substring(F.col(f"__bits{half}"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         tests.append(F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
     return out.select(*df.columns, (tests[0] & tests[1]).alias("__suspect"))
@@ -64,15 +68,13 @@ class Copies:
         self.id_col, self.text_col = id_col, text_col
         self.digests = checkpointed(df.select(F.col(id_col).alias("__id"), *digest_columns(text_col)))
         self.rows = self.digests.count()
-        wanted = 1 << max(16, (CELLS_PER_ROW * self.rows).bit_length())
-        self.cells = min(wanted, max_cells)
-        self.bitmaps = checkpointed(repeated_cells(self.digests, self.cells))
+        self.cells = cells_for(self.rows, max_cells)
+        self.bitmaps = checkpointed(hit_cells(self.digests, "__sha", self.cells, least=2))
         best = F.min(F.struct((-F.col("__length")).alias("l"), F.col("__id").isNull().alias("n"), F.col("__id").alias("id")))
         suspects = marked(self.digests, self.bitmaps, self.cells).filter("__suspect")
         self.groups = checkpointed(
             suspects.groupBy("__sha").agg(best.alias("best"), F.count("*").alias("__size"))
             .select("__sha", F.col("best.id").alias("__keep"), (-F.col("best.l")).alias("__best_length"), "__size"))
-        self.hot = self.groups.filter(F.col("__size") >= F.lit(max(2.0, self.rows * HOT_SHARE)))
 
     def judged(self, df: DataFrame) -> DataFrame:
         """``df`` (with ``__id``, ``__sha``, ``__length``) plus ``__keep``, ``__best_length`` and ``__size``. Hot groups
@@ -81,14 +83,11 @@ class Copies:
         passed = flagged.filter(~F.col("__suspect")).select(
             *df.columns, F.col("__id").alias("__keep"), F.col("__length").alias("__best_length"), F.lit(1).cast("long").alias("__size"))
         suspects = flagged.filter("__suspect").drop("__suspect")
-        hot = suspects.join(F.broadcast(self.hot), "__sha")
-        cold = suspects.join(F.broadcast(self.hot.select("__sha")), "__sha", "left_anti").join(
-            self.groups.join(F.broadcast(self.hot.select("__sha")), "__sha", "left_anti"), "__sha")
-        names = passed.columns
-        return passed.unionByName(hot.select(*names)).unionByName(cold.select(*names))
+        return passed.unionByName(join_groups(suspects, self.groups, "__sha", "__size", self.rows, HOT_SHARE).select(*passed.columns))
 
 
-_KEPT = F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__length") == F.col("__best_length"))
+def _kept():
+    return F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__length") == F.col("__best_length"))
 
 
 def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS) -> DataFrame:
@@ -96,18 +95,17 @@ def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     copies = Copies(df, id_col, text_col, max_cells)
     return copies.judged(copies.digests).select(
         F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"),
-        _KEPT.alias("kept"), F.lower(F.hex("__sha")).alias("text_sha256"))
+        _kept().alias("kept"), F.lower(F.hex("__sha")).alias("text_sha256"))
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS) -> DataFrame:
     """The rows of ``df`` that stay, with the columns of ``df``. Texts that cannot have a copy are not shuffled."""
     copies = Copies(df, id_col, text_col, max_cells)
     rows = df.select("*", F.col(id_col).alias("__id"), *digest_columns(text_col))
-    return copies.judged(rows).filter(_KEPT).select(*[F.col(f"`{c}`") for c in df.columns])
+    return copies.judged(rows).filter(_kept()).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def query(spark, sf_dir):
-    from plantpulse.llm.common import table
     return verdicts(table(spark, sf_dir, "documents"))
 
 

@@ -1,10 +1,11 @@
 """Queries of the corpus operators over the given tables, and their SQL where SQL can express them."""
 
-from plantpulse.llm import byte_bpe, exact_dedup, html_text, language, quality, sharding
+from plantpulse.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language, quality, sharding
 
 QUERIES = {
     "op1_language": language.query,
     "op2_quality": quality.query,
+    "op5_jaccard_join": jaccard_join.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_html_text": html_text.query,
     "op9_sharding": sharding.query,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_jaccard_join": jaccard_join.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }

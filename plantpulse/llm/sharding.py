@@ -18,19 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantpulse.llm.common import positions, table
+from plantpulse.llm.common import mix64, positions, table
 
 ROUNDS = 6
 
 
-def _mix(x: np.ndarray, key: int) -> np.ndarray:
-    """Round function: a 64-bit finaliser (multiply and shift) of value and key."""
-    with np.errstate(over="ignore"):
-        x = (x + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
 def _keys(seed: int) -> list[int]:
     return [int(k) for k in np.random.default_rng(seed).integers(0, 1 << 63, ROUNDS)]
 
@@ -45,9 +37,9 @@ def _pass(x, bits, keys, backwards):
     left, right = x >> np.uint64(bits), x & mask
     for key in reversed(keys) if backwards else keys:
         if backwards:
-            left, right = right ^ (_mix(left, key) & mask), left
+            left, right = right ^ (mix64(left, key) & mask), left
         else:
-            left, right = right, left ^ (_mix(right, key) & mask)
+            left, right = right, left ^ (mix64(right, key) & mask)
     return (left << np.uint64(bits)) | right
 
 
