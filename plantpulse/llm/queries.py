@@ -1,11 +1,12 @@
 """Queries of the corpus operators over the given tables, and their SQL where SQL can express them."""
 
-from plantpulse.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language, quality, sharding
+from plantpulse.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language, quality, sharding, toxicity
 
 QUERIES = {
     "op1_language": language.query,
     "op2_quality": quality.query,
     "op5_jaccard_join": jaccard_join.query,
+    "op6_toxicity": toxicity.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_html_text": html_text.query,
     "op9_sharding": sharding.query,
