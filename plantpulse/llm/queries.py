@@ -1,11 +1,12 @@
 """Queries of the corpus operators over the given tables, and their SQL where SQL can express them."""
 
-from plantpulse.llm import byte_bpe, exact_dedup, fuzzy_hash, html_text, jaccard_join, language, quality, sharding, toxicity
+from plantpulse.llm import byte_bpe, exact_dedup, fuzzy_hash, html_text, jaccard_join, language, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_language": language.query,
     "op2_quality": quality.query,
     "op3_fuzzy_hash": fuzzy_hash.query,
+    "op4_mixing": mixing.query,
     "op5_jaccard_join": jaccard_join.query,
     "op6_toxicity": toxicity.query,
     "op7_byte_bpe": byte_bpe.query,
