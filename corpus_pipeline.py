@@ -1,22 +1,57 @@
-"""Corpus pipeline: quality, exact copies, near copies, mix, token counts. Each stage reads what its predecessor wrote."""
+"""Corpus pipeline: quality filter, exact copies, near copies, source mix, token counts.
 
-from plantpulse.llm import exact_dedup
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the runner writes it as Parquet and the next stage reads
+that. All stages but the last return the columns of ``documents``. The first stage learns from ``labels``. Its operator
+keeps its model out of the result, so every stage judges only the rows it is given."""
+
+from plantpulse.llm import byte_bpe, exact_dedup, jaccard_join, mixing, quality
+from plantpulse.llm.common import table, without_ids
+from plantpulse.session import checkpointed
+
+
+def keep_quality(spark, docs, sf_dir):
+    """Documents that the quality classifier rejects go."""
+    scored = checkpointed(quality.score_quality(docs, table(spark, sf_dir, "labels")))
+    return without_ids(docs, scored.filter("predicted = 0").select("doc_id").distinct(), "doc_id").select(*docs.columns)
 
 
 def drop_exact_copies(spark, docs, sf_dir):
+    """Of equal texts the longest original stays, then the smallest id."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
+def drop_near_copies(spark, docs, sf_dir):
+    """Of each component of linked documents the one with the smallest id stays."""
+    marked = checkpointed(jaccard_join.near_duplicates(docs))
+    return without_ids(docs, marked.filter("component_id != doc_id").select("doc_id").distinct(), "doc_id").select(*docs.columns)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Documents as often as the mix takes their words."""
+    return mixing.mixed_documents(docs)
+
+
+def count_tokens(spark, docs, sf_dir):
+    """Number and digest of the tokens of each document, and digest of the decoded text."""
+    import public_tokenizers
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.token_digests(docs, ranks, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_exact_copies),
+    ("near-duplicate join", drop_near_copies),
+    ("source mix", mix_sources),
+    ("byte-level BPE", count_tokens),
+]
 
+# The fitted classifier of the first stage has no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    from plantpulse.session import checkpointed
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = checkpointed(docs)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
