@@ -10,7 +10,7 @@ Learning uses a bounded hash sample of labelled rows of the training folds. Word
 table of bounded size.
 
 Defined cases: a null or empty text has no features and gets the base score. Rows that repeat an id are scored each.
-Without labelled training rows the score is 0; with one class only, the smoothed share of that class. Of several labels of one
+Without labelled training rows the score is 0.5; with one class only, the smoothed share of that class. Of several labels of one
 id the largest counts; null labels are ignored. Texts are split in chunks of about 1 MB at blanks; a run of single
 letters is joined within a chunk. An empty table gives an empty result. Other columns play no part.
 """
@@ -174,7 +174,7 @@ class LinearModel:
 
     def fit(self, rows: list[list[int]], y: np.ndarray, steps=400, rate=0.3, penalty=0.3) -> "LinearModel":
         share = (y.sum() + 0.5) / (len(y) + 1.0)
-        self.bias = float(np.log(share / (1 - share))) if len(y) else -np.inf
+        self.bias = float(np.log(share / (1 - share))) if len(y) else 0.0
         if not len(y) or not self.place:
             return self
         doc = np.repeat(np.arange(len(rows)), list(map(len, rows)))
