@@ -13,7 +13,7 @@ Steps: 1. set size, set hash and sketch of every document; documents with equal
 nodes; shingles that only one node has are dropped by a bitmap filter. 3. Each node is verified against the node that
 leads most of its shingle lists, and linked nodes are joined into components. This settles groups of near copies with
 one comparison a member. 4. Lists that still hold several components yield all pairs across components that the
-sizes, the multi-match count and the triangle inequality to a common leader allow; these are verified too. No pair
+sizes, the number of shared prefix shingles and the triangle inequality to a common leader allow; these are verified too. No pair
 within one component is ever listed, so no link between components is lost and no group is squared.
 
 Defined cases: words are runs of non-blank characters, A-Z lower-cased. Fewer than ``width`` words form one shingle; a
@@ -202,6 +202,14 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(run, "node long, tokens array<long>")
 
 
+def _least_shared(percent: int):
+    """Smallest number of prefix shingles that a linked pair shares. Of the two prefixes the one that ends first holds all
+    common shingles up to its end, so the sets share at most these and what lies behind that prefix."""
+    together = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / (100 + percent))
+    own = lambda x: F.col(f"{x}_need") - F.ceil(percent * F.col(f"{x}_n") / 100)
+    return F.greatest(together + F.least(own("a"), own("b")), F.least("a_need", "b_need"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Adds ``near`` (similarity reached) and ``apart`` (one minus similarity) to pairs (a, b)."""
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("__x"))
@@ -212,6 +220,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.select("a", "b", (100 * F.col("both") >= percent * union).alias("near"), (1 - F.col("both") / union).alias("apart"))
 
 
+def _sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """Shingle sets of the nodes in ``pairs``, read again from one document of each, written once."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = checkpointed(nodes.join(classes, "node").select("first").filter("first is not null").distinct().withColumnRenamed("first", "id"))
+    sets = _sets(with_ids(docs, first, "id").unionByName(docs.filter(F.col("id").isNull())), width)
+    return checkpointed(sets.dropDuplicates(["node"]) if repeated else sets)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): label is the smallest node that links reach. Labels spread along
     the links and jump to the label of the label, so long chains take a logarithmic number of rounds."""
@@ -246,15 +262,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bitmaps = checkpointed(hit_cells(shared, "token", cells))
     lists = checkpointed(marked(lists, bitmaps, cells, "token").filter("__suspect").drop("__suspect").join(shared, "token", "left_semi"))
 
-    members = lists.select("node").distinct().join(classes, "node").select(F.col("first").alias("id")).filter("id is not null")
-    nameless = docs.filter(F.col("id").isNull())
-    sets = checkpointed(_sets(with_ids(docs, checkpointed(members.distinct()), "id").unionByName(nameless), width).dropDuplicates(["node"]))
-
-    # First round: the leader (smallest node) of most of a node's lists.
-    leaders = lists.groupBy("token").agg(F.min("node").alias("b"))
-    led = lists.select("token", F.col("node").alias("a")).join(leaders, "token").filter("a != b").groupBy("a", "b").count()
-    chosen = led.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-    first = checkpointed(_verified(chosen, sets, percent))
+    ids = signed.agg(F.count("id").alias("rows"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
+    repeated = ids.rows != ids.ids or ids.nulls > 0
+    sides = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "need")]
+
+    # First round: the leader (smallest node) of most of a node's lists, if the lists that it leads suffice for a link.
+    leaders = lists.groupBy("token").agg(F.min(F.struct("node", "n", "need")).alias("b")).select("token", "b.*")
+    led = lists.select("token", *sides("a")).join(leaders.select("token", *sides("b")), "token").filter("a_node != b_node")
+    counted = led.groupBy(*[f"{x}_{c}" for x in "ab" for c in ("node", "n", "need")]).agg(F.count("*").alias("count"))
+    chosen = counted.filter(F.col("count") >= _least_shared(percent)).groupBy(F.col("a_node").alias("a")).agg(
+        F.max_by("b_node", F.struct("count", "b_node")).alias("b"))
+    chosen = checkpointed(chosen)
+    first = checkpointed(_verified(chosen, _sets_of(chosen, docs, classes, width, repeated), percent))
     labels = components(first.filter("near").select("a", "b"))
 
     # Second round: pairs across components in lists that are not settled.
@@ -264,15 +283,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                       F.coalesce("apart", F.lit(0.0)).alias("apart")))
     mixed = state.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("token")
     open_lists = checkpointed(state.join(mixed, "token", "left_semi"))
-    a = open_lists.select("token", *[F.col(c).alias(f"a_{c}") for c in open_lists.columns[1:]])
-    b = open_lists.select("token", *[F.col(c).alias(f"b_{c}") for c in open_lists.columns[1:]])
+    a, b = (open_lists.select("token", *[F.col(c).alias(f"{x}_{c}") for c in open_lists.columns[1:]]) for x in "ab")
     slack = 1 - percent / 100 + 1e-9
     met = a.join(b, (a["token"] == b["token"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
                  & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
                  & ((F.col("a_leader") != F.col("b_leader")) | (F.abs(F.col("a_apart") - F.col("b_apart")) <= slack)))
-    enough = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(
-        F.count("*").alias("count"), F.min(F.least("a_need", "b_need")).alias("need")).filter("count >= need").select("a", "b")
-    second = checkpointed(_verified(checkpointed(enough), sets, percent))
+    enough = met.groupBy(*[f"{x}_{c}" for x in "ab" for c in ("node", "n", "need")]).agg(F.count("*").alias("count")).filter(
+        F.col("count") >= _least_shared(percent)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    enough = checkpointed(enough)
+    second = checkpointed(_verified(enough, _sets_of(enough, docs, classes, width, repeated), percent))
     labels = components(first.filter("near").select("a", "b").union(second.filter("near").select("a", "b")))
 
     grouped = checkpointed(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
