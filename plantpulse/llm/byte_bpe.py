@@ -4,8 +4,8 @@ The ranks become one literal table: an array of small maps, addressed by the has
 look-up costs the same for any vocabulary. ``merged`` folds over the bytes of one word: the state holds the parts and
 the rank of each neighbouring pair; every step joins the leftmost pair of lowest rank and looks up the two new pairs.
 
-Words are cut by the tokenizer's pattern. All distinct words are counted over all texts; the ``MAX_WORDS`` most frequent
-ones are folded once, and their ids become a second literal table of bounded size. Other words, each of which is rare,
+Words are cut by the tokenizer's pattern. All distinct words are counted over all texts; the most frequent ones, up to
+``MAX_WORDS``, are folded once, and their ids become a second literal table of bounded size. Other words, each of which is rare,
 are folded where they stand. That changes no id: a word has one encoding wherever it is computed. Texts are never
 shuffled.
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from plantpulse.llm.common import table
 from plantpulse.session import checkpointed
 
-# Bound of the table of frequent words: at most this many entries (about 30 MB), in so many maps.
-MAX_WORDS, WORD_SLOTS = 1 << 19, 1 << 16
+# Bound of the table of frequent words: at most this many entries (about 50 MB), in so many maps.
+MAX_WORDS, WORD_SLOTS = 1 << 20, 1 << 17
 RANK_SLOTS = 1 << 13
 NO_RANK = 2147483647
 # Unicode white space as a character class. Java's \s covers ASCII only.
@@ -139,11 +139,23 @@ class Codec:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._numbers, i)), ""))
 
 
+def most_frequent(counted: DataFrame, max_words: int) -> DataFrame:
+    """Words above a frequency that at most ``max_words`` words reach. The frequency is found from a histogram of a few
+    hundred classes, so nothing is sorted."""
+    level = F.floor(F.log2("count") * 8).cast("int")
+    words, least = 0, None
+    for row in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        words += row.words
+        if words > max_words:
+            break
+        least = row.level
+    return counted.filter(level >= least) if least is not None else counted.limit(0)
+
+
 def encode(df: DataFrame, codec: Codec, text_col: str, max_words: int = MAX_WORDS):
     """Column expression with the ids of ``text_col``, for use on ``df``."""
-    counted = df.select(F.explode(codec.words(F.col(text_col))).alias("word")).groupBy("word").count()
-    frequent = checkpointed(counted.orderBy(F.desc("count"), "word").limit(max_words).select("word"))
-    known = checkpointed(frequent.select("word", codec.merged(F.col("word")).alias("ids")))
+    counted = checkpointed(df.select(F.explode(codec.words(F.col(text_col))).alias("word")).groupBy("word").count())
+    known = checkpointed(most_frequent(counted, max_words).select("word", codec.merged(F.col("word")).alias("ids")))
     words = as_literal(lookup_table(known, "word", "ids", WORD_SLOTS))
     one = lambda word: F.coalesce(look_up(words, word, WORD_SLOTS), codec.merged(word))
     return F.flatten(F.transform(codec.words(F.col(text_col)), one))
