@@ -28,17 +28,17 @@ def drain(stream, spark):
 
 
 def a9(spark, sf):
-    path = scratch_folder(spark, "fan-out")
+    """The second consumer is down during the stream and gets what it missed afterwards."""
+    path, retry, missed = scratch_folder(spark, "fan-out"), scratch_folder(spark, "retry"), []
 
-    def broken(batch, batch_id):
+    def down(batch, batch_id):
         raise RuntimeError("this consumer is down")
 
-    sinks = {
-        "first": lambda b, i: b.write.mode("overwrite").parquet(f"{path}/first/batch_id={i}"),
-        "broken": broken,
-        "second": lambda b, i: b.select(PROTOCOL).write.mode("overwrite").parquet(f"{path}/second/batch_id={i}"),
-    }
-    _start(_frames(spark, sf).writeStream.foreachBatch(live.fan_out(sinks)), spark)
+    sinks = {"first": lambda b, i: b.write.mode("overwrite").parquet(f"{path}/first/batch_id={i}"), "second": down}
+    handler = live.fan_out(sinks, retry, lambda name, batch_id, error: missed.append(batch_id))
+    _start(_frames(spark, sf).writeStream.foreachBatch(handler), spark)
+    live.replay_failed(
+        spark, retry, "second", lambda b, i: b.select(PROTOCOL).write.mode("overwrite").parquet(f"{path}/second/batch_id={i}"), missed)
     parts = [
         spark.read.parquet(f"{path}/{name}").groupBy(PROTOCOL).agg(F.count(F.lit(1)).alias("n")).withColumn("sink", F.lit(name))
         for name in ("first", "second")
@@ -53,7 +53,7 @@ def l1(spark, sf):
 def l2(spark, sf):
     out = drain(live.rolling_features(_frames(spark, sf)), spark)
     return r6(out.select(
-        ROW_ID, "throughput_mean", "packet_drop_mean", "buffer_peak", "lag_latency_1", "lag_latency_2", "samples_in_window", "late"
+        ROW_ID, "throughput_mean", "packet_drop_mean", "buffer_peak", "throughput_slope", "lag_latency_1", "lag_latency_2", "samples_in_window", "late"
     ))
 
 
@@ -68,7 +68,7 @@ def l4(spark, sf):
     path = scratch_folder(spark, "drift")
     stream = d.shifted(_frames(spark, sf))
     _start(stream.writeStream.foreachBatch(live.drift_batches(edges, path)), spark)
-    return spark.read.parquet(path).drop("batch_id")
+    return live.merged_drift(edges, spark.read.parquet(path))
 
 
 def l5_debounce(spark, sf):
@@ -78,7 +78,8 @@ def l5_debounce(spark, sf):
 
 def l5_log(spark, sf):
     rows = policy.apply_policy(_frames(spark, sf).withColumn("throughput_slope", F.lit(0.0)))
-    return drain(live.event_log(rows.select(DEVICE, EPOCH_MS, ROW_ID, DROP, "failover_active", "mitigation_active", policy.PRED)), spark)
+    out = live.event_log(rows.select(DEVICE, EPOCH_MS, ROW_ID, DROP, "failover_active", "mitigation_active", policy.PRED))
+    return drain(out, spark).where("not late").drop("late")
 
 
 def l6(spark, sf):
@@ -87,14 +88,16 @@ def l6(spark, sf):
 
 
 def l7(spark, sf):
-    out = drain(live.live_counters(_frames(spark, sf)), spark)
+    path = scratch_folder(spark, "counters")
+    _start(_frames(spark, sf).writeStream.foreachBatch(live.counter_batches(path)), spark)
+    out = live.merged_counters(spark.read.parquet(path))
     return r6(out.withColumn("window_start", F.unix_millis("window_start")))
 
 
 def l8(spark, sf):
     path = scratch_folder(spark, "centroids")
     _start(_frames(spark, sf).writeStream.foreachBatch(live.centroid_batches(spark, path)), spark)
-    return r6(spark.read.parquet(f"{path}/version=0"))
+    return r6(live.newest_centroids(spark, path))
 
 
 def l9(spark, sf):

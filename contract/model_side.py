@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from contract import data as d
 from contract.spark_side import r6
 from plantpulse.functions.latency import ranked_attributions
+from plantpulse.functions.regimes import live_regime
 from plantpulse.operators import attribution, clustering, drift, features, folds, forecast, policy, prep
 from plantpulse.params import DEFAULTS
-from plantpulse.schemas import GAUGES, LABEL, ROW_ID, TARGET
-from plantpulse.session import checkpointed, scratch_folder
-
-CV_TREES = 20  # per fold; the stored model has the full number
+from plantpulse.schemas import GAUGES, LABEL, ROW_ID
+from plantpulse.session import scratch_folder
 
 _MODELS = {}
 
@@ -44,12 +43,12 @@ def f2(spark, sf):
 
 
 def f3(spark, sf):
-    return r6(forecast.cross_validate(training(spark, sf), trees=CV_TREES))
+    return r6(forecast.cross_validate(training(spark, sf)))
 
 
 def f4(spark, sf):
-    train, test = folds.hash_split(training(spark, sf).select(ROW_ID, TARGET))
-    return r6(train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test"))))
+    train, test = folds.hash_split(d.frames(spark, sf).select(ROW_ID))
+    return (train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test"))))
 
 
 def f6(spark, sf):
@@ -76,7 +75,7 @@ def f11(spark, sf):
     base, cur = d.drift_sides(spark, sf)
     report = drift.drift_report(drift.long_form(base), drift.long_form(cur), p=p)
     path = scratch_folder(spark, "retrained")
-    model = forecast.retrain_on_drift(report, d.frames(spark, sf), path, CV_TREES, p, d.largest(spark, sf))
+    model = forecast.retrain_on_drift(report, d.frames(spark, sf), path, p=p, largest=d.largest(spark, sf))
     if model is None:
         return spark.createDataFrame([], "rmse double, mae double, r2 double")
     return r6(forecast.regression_metrics(forecast.predict(model, training(spark, sf))))
@@ -101,9 +100,10 @@ def e4(spark, sf):
 
 
 def e5(spark, sf):
-    labeled = checkpointed(clustering.kmeans(scaled(spark, sf), GAUGES, restarts=1))
+    """Silhouette of the live regimes of all canonical frames."""
+    labeled = d.frames(spark, sf).withColumn(LABEL, live_regime())
     value = clustering.silhouette_squared(labeled, GAUGES)
-    return r6(labeled.agg(F.count(F.lit(1)).alias("rows"), F.lit(value).cast("double").alias("silhouette_squared")))
+    return labeled.agg(F.count(F.lit(1)).alias("rows"), F.round(F.lit(value).cast("double"), 5).alias("silhouette_squared"))
 
 
 QUERIES = {

@@ -349,7 +349,8 @@ def h3(spark, sf):
 
 
 def h4(spark, sf):
-    out = policy.diagnose(d.scored(spark, sf))
+    rows = d.scored(spark, sf).withColumn("attributions", lt.analytic_attributions())
+    out = policy.diagnose(rows, "attributions")
     return r6(
         out.select(
             ROW_ID, "primary_vector", "diagnosis_summary", "recommendation_text", "expected_reduction_ms", "confidence_score"

@@ -324,7 +324,7 @@ SQL = {
       case when {D} >= 1.8 then 'Automated failover due to frame drop rate of ' || {txt(D, 2)} || '%'
         when {B} >= 65 then 'Dynamic traffic attenuation to relieve queue saturation (' || {txt(B, 1)} || '%)'
         when {C} >= 68 then 'Thermal throttling mitigation at ' || {txt(C, 1)} || ' °C' end as reason from scored"""),
-    "H4_narrative": w(SCORED + f", fd as ({findings_sql(chr(39) + '8.5' + chr(39))}), p1 as (select * from fd qualify row_number() over (partition by event_id order by ord) = 1)",
+    "H4_narrative": w(SCORED + f", fd as ({findings_sql(IMPACT_D)}), p1 as (select * from fd qualify row_number() over (partition by event_id order by ord) = 1)",
       f"""select event_id, vector as primary_vector, case when pred >= 52 then '**Root Cause Identified**: `' || vector || '`. ' || evidence || ' Forecasted latency is **' || {txt('pred', 1)}
         || ' ms** against the **60 ms** SLA constraint.' else '{dg.S_STABLE}' end as diagnosis_summary,
       case when pred >= 52 then 'Recommended action: **' || upper({ACTION}) || '** on `PLC_NODE_ALPHA`. Anticipated latency reduction: **-' || {txt('pred * (1 - 0.82)', 1)} || ' ms**.'
@@ -342,8 +342,8 @@ SQL = {
       from tele c where {VALID}"""),
     "H11_current_route": w(DECIDED + ROUTES, """select device_id as target_device, route as active_route, is_failover, t as switched_at_ms from sw
       qualify row_number() over (partition by device_id order by t desc, event_id desc) = 1"""),
-    "H12_active_limits": w(DECIDED, """select target_interface, rate_mbps from (select * from decided where status = 'applied' and action in ('traffic_shedding', 'reset')
-      qualify row_number() over (partition by target_interface order by t desc, event_id desc) = 1) where action = 'traffic_shedding'"""),
+    "H12_active_limits": w(DECIDED, """select target_interface, rate_mbps from (select * replace (coalesce(target_interface, 'eth0') as target_interface) from decided where status = 'applied' and action in ('traffic_shedding', 'reset')
+      qualify row_number() over (partition by coalesce(decided.target_interface, 'eth0') order by t desc, event_id desc) = 1) where action = 'traffic_shedding'"""),
     "H13_heartbeat_gaps": w(CANON + ", fr as (select device_id, event_id, timestamp_epoch_ms // 1000 as t from canon), lg as (select *, lag(t) over (partition by device_id order by t, event_id) as p from fr)",
       "select device_id, p as gap_start_ms, t as gap_end_ms, t - p as gap_ms from lg where t - p > 15000"),
     "H13_tripped": w(CANON, "select device_id, max(timestamp_epoch_ms) as last_heartbeat_ms, 1706572800000 - max(timestamp_epoch_ms) > 15000 as tripped from canon group by device_id"),
@@ -382,8 +382,8 @@ SQL = {
       from decided where status = 'applied' group by 1, 2"""),
     "J6_failovers_total": w(DECIDED, """select target_device as from_node, coalesce(standby_node, 'PLC_NODE_DELTA') as to_node, count(*) as failovers_total from decided
       where status = 'applied' and action = 'ha_failover' group by 1, 2"""),
-    "J7_enforced_limit": w(DECIDED, """select min(rate_mbps) as enforced_mbps, count(*) as interfaces from (select * from decided where status = 'applied' and action in ('traffic_shedding', 'reset')
-      qualify row_number() over (partition by target_interface order by t desc, event_id desc) = 1) where action = 'traffic_shedding'"""),
+    "J7_enforced_limit": w(DECIDED, """select min(rate_mbps) as enforced_mbps, count(*) as interfaces from (select * replace (coalesce(target_interface, 'eth0') as target_interface) from decided where status = 'applied' and action in ('traffic_shedding', 'reset')
+      qualify row_number() over (partition by coalesce(decided.target_interface, 'eth0') order by t desc, event_id desc) = 1) where action = 'traffic_shedding'"""),
     "J8_run_totals": w(SCORED, f"select count(*) as total_cycles, round(max({C}), 6) as peak_temp, max(pred) as peak_latency from scored"),
     "J8_running_totals": w(SCORED, f"""select device_id, event_id, round({C}, 6) as {C}, pred as predicted_latency_ms, count(*) over w as total_cycles, round(max({C}) over w, 6) as peak_temp,
       max(pred) over w as peak_latency from scored window w as ({ORD} rows between unbounded preceding and current row)"""),
@@ -427,7 +427,7 @@ SQL["E6_centroid_update"] = _centroids()
 SQL |= {
     "A9_fan_out": w(CANON, "select protocol, count(*) as n, sink from canon, (values ('first'), ('second')) s(sink) group by protocol, sink"),
     "L1_stream_frames": w(CANON, f"select {CANON_COLS} from canon"),
-    "L2_stream_features": w(SERVING, f"select event_id, {r6('throughput_mean', 'packet_drop_mean', 'buffer_peak', 'lag_latency_1', 'lag_latency_2')}, samples_in_window, false as late from feat"),
+    "L2_stream_features": w(SERVING, f"select event_id, {r6('throughput_mean', 'packet_drop_mean', 'buffer_peak', 'throughput_slope', 'lag_latency_1', 'lag_latency_2')}, samples_in_window, false as late from feat"),
     "L3_stream_scoring": w(SCORED, f"select event_id, pred as predicted_latency_ms, {RISK} as risk_level, {ACTION} as mitigation_action from scored"),
     "L4_stream_drift": w(PSI, """select feature, n_current, psi, psi > 0.2 as drift_detected,
       case when psi < 0.1 then 'STABLE' when psi < 0.25 then 'MODERATE SHIFT' else 'SIGNIFICANT DRIFT' end as drift_band from psi where n_current >= 20"""),
@@ -436,9 +436,20 @@ SQL |= {
     "L6_stream_heartbeat": w(CANON + ", fr as (select device_id, event_id, timestamp_epoch_ms // 1000 as t from canon), lg as (select *, lag(t) over (partition by device_id order by t, event_id) as p from fr)",
       """select device_id, p as last_ms, 'gap' as kind, (t - p)::double as gap_ms from lg where t - p > 15000
       union all select device_id, max(t), 'tripped', null from fr group by device_id having max(t) + 15001 < (select max(t) - 30000 from fr)"""),
-    "L7_stream_counters": w(CANON + ", wn as (select *, timestamp_epoch_ms // 1000 * 1000 as window_start, max(timestamp_epoch_ms) over () - 30000 as mark from canon)",
+    "L7_stream_counters": w(CANON + ", wn as (select *, timestamp_epoch_ms // 1000 * 1000 as window_start from canon)",
       f"""select window_start, protocol, device_id, count(*) as frames_total, {rd(f'max({C})', 6)} as peak_temp,
-      {rd(f'arg_max({R}, (timestamp_epoch_ms - 1700000000000) * 10000000 + event_id)', 6)} as last_rtt_ms from wn group by window_start, protocol, device_id, mark having window_start + 1000 <= mark"""),
+      {rd(f'arg_max({R}, (timestamp_epoch_ms - 1700000000000) * 10000000 + event_id)', 6)} as last_rtt_ms from wn group by window_start, protocol, device_id"""),
     "L8_stream_centroids": SQL["E6_centroid_update"],
     "L9_stream_replay": w(CANON, f"select {CANON_COLS} from canon"),
 }
+
+SQL |= {
+    "F4_hash_split": w(CANON, """select event_id, case when cast('0x' || substr(sha256('42:' || cast(event_id as varchar)), 1, 8) as bigint) % 100 < 80
+      then 'train' else 'test' end as side from canon"""),
+    # Sum of squared distances from a point x to n points with sum s and sum of squares q: n x.x - 2 x.s + q.
+    "E5_silhouette_squared": w(CANON + f""", pts as (select event_id, {regime()} as label, [{GS}] as x from canon),
+cl as (select label, count(*) as n, sum(list_dot_product(x, x)) as q, [sum(x[1]), sum(x[2]), sum(x[3]), sum(x[4])] as s from pts group by label),
+ds as (select p.event_id, p.label = c.label as own, c.n, list_dot_product(x, x) * c.n - 2 * list_dot_product(x, s) + q as d from pts p, cl c),
+ab as (select event_id, max(case when own then n end) as n, max(case when own and n > 1 then d / (n - 1) end) as a, min(case when not own then d / n end) as b from ds group by event_id)""",
+      "select count(*) as rows, round(avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end), 5) as silhouette_squared from ab"),
+}

@@ -107,7 +107,8 @@ def sequence_of_events(replayed, fixed_events=None, keys=(DEVICE,), p=DEFAULTS,
     cycles = replayed.select(*keys, EPOCH_MS, ROW_ID, DROP, PRED, code.alias("code"))
     if fixed_events is not None:
         cycles = cycles.unionByName(fixed_events.withColumn("code", F.lit(8)), allowMissingColumns=True)
-    s = open_series(cycles, keys, EPOCH_MS, ROW_ID, 0, p.max_python_group_rows, largest)
+    # Code 0 changes nothing, so such cycles need not be ordered.
+    s = open_series(cycles.where("code > 0"), keys, EPOCH_MS, ROW_ID, 0, p.max_python_group_rows, largest)
     df = s.df
     if s.split:
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)

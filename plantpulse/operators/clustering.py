@@ -1,7 +1,5 @@
-"""Unsupervised regimes: density clustering with k-means fallback, and silhouettes."""
+"""Unsupervised regimes: density clustering with k-means fallback, and a silhouette."""
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -42,50 +40,3 @@ def silhouette_squared(df, cols, label=LABEL):
     # The evaluator wants labels from 0 on; noise (-1) is a cluster of its own.
     data = _vector(df, cols).withColumn("_label", (F.col(label) + 1).cast("double"))
     return ClusteringEvaluator(featuresCol="_vector", predictionCol="_label").evaluate(data)
-
-
-def silhouette(df, row_id, cols, label=LABEL, block_rows=4096, max_rows=200_000):
-    """Mean silhouette with Euclidean distance, as a one-row table. The measure needs every distance, so the
-    cost is quadratic: it refuses tables above ``max_rows`` (use :func:`silhouette_squared` there).
-
-    Blocks of rows meet block by block; a task holds two blocks and returns sums per row and cluster."""
-    rows = df.count()
-    if rows > max_rows:
-        raise ValueError(f"{rows} rows are too many for the exact silhouette; use silhouette_squared")
-    blocks = max(1, -(-rows // block_rows))
-    cols = list(cols)
-    data = df.select(
-        F.col(row_id).alias("rid"), F.col(label).cast("int").alias("label"), *cols,
-        F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int").alias("block"),
-    )
-    all_blocks = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = data.withColumn("other", F.explode(all_blocks))
-    right = data.withColumnRenamed("block", "other").withColumn("block", F.explode(all_blocks))
-
-    def sums(a, b):
-        x, y = a[cols].to_numpy(), b[cols].to_numpy()
-        square = np.zeros((len(x), len(y)))
-        for i in range(x.shape[1]):
-            square += (x[:, i, None] - y[None, :, i]) ** 2
-        dist = np.sqrt(square)
-        parts = [
-            pd.DataFrame({"rid": a["rid"], "label": a["label"], "cluster": c, "total": dist[:, (b["label"] == c).to_numpy()].sum(axis=1)})
-            for c in b["label"].unique()
-        ]
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["rid", "label", "cluster", "total"])
-
-    totals = (
-        left.groupBy("block", "other").cogroup(right.groupBy("block", "other"))
-        .applyInPandas(sums, "rid long, label int, cluster int, total double")
-        .groupBy("rid", "label", "cluster").agg(F.sum("total").alias("total"))
-    )
-    sizes = df.groupBy(F.col(label).cast("int").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
-    own = F.col("label") == F.col("cluster")
-    per_row = totals.join(sizes, "cluster").groupBy("rid").agg(
-        F.max(F.when(own, F.col("total") / F.nullif(F.col("size") - 1, F.lit(0)))).alias("a"),
-        F.min(F.when(~own, F.col("total") / F.col("size"))).alias("b"),
-    )
-    width = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(
-        (F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0))
-    )
-    return per_row.agg(F.avg(F.coalesce(width, F.lit(0.0))).alias("silhouette"))

@@ -18,6 +18,10 @@ ACTION_SEVERITY = {"traffic_shedding": "WARNING", "ha_failover": "CRITICAL", "re
 APPLIED, LIMITED, PENDING, REJECTED = "applied", "rate_limited", "pending_approval", "rejected"
 
 
+# Fixed value: interface of commands that name none.
+DEFAULT_INTERFACE = "eth0"
+
+
 def resolve(commands, p=DEFAULTS):
     """Requested rate (null unless shedding), approval and support flags of each command."""
     factor = falsy_default(F.col("shedding_factor"), p.shedding_factor)
@@ -180,11 +184,12 @@ def route_of_frames(frames, decided, time=EPOCH_MS, p=DEFAULTS, largest=None):
 
 
 def active_limits(decided):
-    """Rate limit in force per interface: the last applied shed, gone after a reset."""
+    """Rate limit in force per interface: the last applied shed, gone after a reset. A command without an interface
+    means the default one."""
     stamp = F.struct(EPOCH_MS, ROW_ID)
     return (
         decided.where((F.col("status") == APPLIED) & F.col("action").isin("traffic_shedding", "reset"))
-        .groupBy("target_interface")
+        .groupBy(F.coalesce("target_interface", F.lit(DEFAULT_INTERFACE)).alias("target_interface"))
         .agg(F.max_by(F.struct("action", "rate_mbps"), stamp).alias("last"))
         .where(F.col("last.action") == "traffic_shedding")
         .select("target_interface", F.col("last.rate_mbps").alias("rate_mbps"))

@@ -47,11 +47,20 @@ def bucket_counts(values, edges, buckets=BUCKETS):
     )
 
 
+def merge_counts(counts, buckets=BUCKETS):
+    """One row per feature from any number of partial bucket counts, such as those of micro-batches."""
+    at = [F.sum(F.col("counts")[b]) for b in range(buckets)]
+    return counts.groupBy("feature").agg(F.sum("n").alias("n"), F.array(*at).alias("counts"))
+
+
 def psi(edges, current, buckets=BUCKETS):
     """Population stability index per feature that occurs on both sides, plus the current row count."""
-    now = bucket_counts(current, edges, buckets).select(
-        "feature", F.col("n").alias("n_current"), F.col("counts").alias("now")
-    )
+    return psi_of_counts(edges, bucket_counts(current, edges, buckets))
+
+
+def psi_of_counts(edges, counts):
+    """The same from bucket counts of the current side."""
+    now = counts.select("feature", F.col("n").alias("n_current"), F.col("counts").alias("now"))
     both = edges.join(now, "feature")
 
     def term(b, c):

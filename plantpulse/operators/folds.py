@@ -61,5 +61,6 @@ def time_series_folds(df, splits=5, time=EPOCH_MS, tie=ROW_ID, p=DEFAULTS):
 
 def hash_split(df, key=ROW_ID, train_percent=80, seed=42):
     """Random hold-out that depends only on the row key, so it is the same after any repartitioning."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100
     return df.where(bucket < train_percent), df.where(bucket >= train_percent)

@@ -1,4 +1,4 @@
-"""Online centroids, k-means fallback, silhouette."""
+"""Online centroids of the live regimes."""
 
 from pyspark.sql import functions as F
 

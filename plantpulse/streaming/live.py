@@ -3,7 +3,9 @@
 Row rules, validation and scoring are the same column functions as in batch. Operators that look back keep a small
 state per key: the last frames, the last applied command, the last logged tag, the last heartbeat. A trigger must
 bound its input (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``): the rows of one key in one trigger are ordered
-in one task. Rows older than the state of their key are marked late and change nothing."""
+in one task. Rows older than the state of their key are marked late and change nothing; ``late_rows`` of a result
+are its side table. Counters and drift keep mergeable partial results per micro-batch, so that neither the order of
+the rows nor their split into files changes a result."""
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,14 @@ def _ordered(batches, order):
     return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
 
 
+BEFORE_ALL = (-(1 << 62), -(1 << 62))
+
+
+def _late(pdf, last_ms, last_id):
+    """Rows that do not come after the last accepted row of their key."""
+    return (pdf[EPOCH_MS] < last_ms) | ((pdf[EPOCH_MS] == last_ms) & (pdf[ROW_ID] <= last_id))
+
+
 def _slopes(values, rows):
     """Least-squares slope of the last ``rows`` values at every position."""
     series, at = pd.Series(values), pd.Series(np.arange(len(values), dtype="float64"))
@@ -46,8 +56,8 @@ def rolling_features(frames, p=DEFAULTS):
             *history, last_ms, last_id = state.get
             past = pd.DataFrame(dict(zip(kept, map(list, history))))
         else:
-            past, last_ms, last_id = pd.DataFrame({c: [] for c in kept}, dtype="float64"), -(1 << 62), -(1 << 62)
-        late = (pdf[EPOCH_MS] < last_ms) | ((pdf[EPOCH_MS] == last_ms) & (pdf[ROW_ID] <= last_id))
+            past, (last_ms, last_id) = pd.DataFrame({c: [] for c in kept}, dtype="float64"), BEFORE_ALL
+        late = _late(pdf, last_ms, last_id)
         fresh = pdf[~late].reset_index(drop=True)
         whole = pd.concat([past, fresh[kept]], ignore_index=True).astype("float64")
         n = len(past)
@@ -82,21 +92,29 @@ def rolling_features(frames, p=DEFAULTS):
     return out.withColumn("throughput_slope", dp(F.col("throughput_slope"), 4))
 
 
+def late_rows(result):
+    """Side table of the rows that came too late to count, of a result with a ``late`` column."""
+    return result.where("late")
+
+
 def scored(features, scorer=policy.analytic_score, p=DEFAULTS):
     """Regime, forecast and diagnosis of feature rows; no state."""
     return policy.diagnose(policy.score(features, scorer), p=p)
 
 
 def debounced(commands, p=DEFAULTS, key="target_device"):
-    """Status of every command; state is the time of the last applied command."""
+    """Status of every command; state is the time of the last applied command and the place of the last command.
+    A command older than that place is ``late``: it has no status and no effect."""
     wait = int(round(p.debounce_sec * 1000))
     rows = control.resolve(commands, p)
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    names = rows.columns + ["status", "retry_after_sec"]
+    names = rows.columns + ["status", "retry_after_sec", "late"]
 
     def step(key_, batches, state):
-        pdf = _ordered(batches, [EPOCH_MS, ROW_ID])
-        last = state.get[0] if state.exists else control.NEVER
+        every = _ordered(batches, [EPOCH_MS, ROW_ID])
+        last, last_ms, last_id = state.get if state.exists else (control.NEVER, *BEFORE_ALL)
+        behind = _late(every, last_ms, last_id)
+        pdf = every[~behind].reset_index(drop=True)
         ts = pdf[EPOCH_MS].to_numpy("int64")
         free = (pdf["supported"] & ~pdf["awaits_approval"]).to_numpy()
         free_rows = np.flatnonzero(free)
@@ -108,19 +126,25 @@ def debounced(commands, p=DEFAULTS, key="target_device"):
             limited, control.LIMITED,
             np.where(pdf["awaits_approval"], control.PENDING, np.where(pdf["supported"], control.APPLIED, control.REJECTED)),
         )
-        if len(applied):
-            state.update((int(ts[applied[-1]]),))
+        if len(pdf):
+            end = pdf.iloc[-1]
+            state.update((int(ts[applied[-1]]) if len(applied) else int(last), int(end[EPOCH_MS]), int(end[ROW_ID])))
         left = np.where(limited, (wait - (ts - before)) / 1000.0, np.nan)
-        yield pdf.assign(status=status, retry_after_sec=left)[names]
+        if len(pdf):
+            yield pdf.assign(status=status, retry_after_sec=left, late=False)[names]
+        if behind.any():
+            yield every[behind].assign(status=None, retry_after_sec=np.nan, late=True)[names]
 
     out = rows.groupBy(key).applyInPandasWithState(
-        step, f"{ddl}, status string, retry_after_sec double", "last long", "append", GroupStateTimeout.NoTimeout
+        step, f"{ddl}, status string, retry_after_sec double, late boolean", "last long, last_ms long, last_id long", "append",
+        GroupStateTimeout.NoTimeout,
     )
     return out.withColumn("retry_after_sec", dp(F.nanvl("retry_after_sec", F.lit(None).cast("double")), 2))
 
 
 def event_log(replayed, p=DEFAULTS):
-    """Logged tag per cycle; state is the last logged tag. Takes the columns that the batch log takes."""
+    """Logged tag per cycle; state is the last logged tag and the place of the last cycle. Takes the columns that the
+    batch log takes. A cycle older than that place is ``late``: it is listed without a tag and changes nothing."""
     code = (
         F.col("failover_active").cast("int") + F.col("mitigation_active").cast("int") * 2
         + (F.col(policy.PRED) >= p.sla_latency_ms).cast("int") * 4
@@ -129,17 +153,25 @@ def event_log(replayed, p=DEFAULTS):
     tags = [None] + [e[0] for e in EVENTS]
 
     def step(key, batches, state):
-        pdf = _ordered(batches, [EPOCH_MS, ROW_ID])
-        entry = state.get[0] if state.exists else alarms.OTHER
-        after = alarms.state_maps(pdf["code"].to_numpy())[:, entry]
-        before = np.concatenate([[entry], after[:-1]])
-        state.update((int(after[-1]),))
-        hit = after != before
-        yield pdf[hit][[DEVICE, EPOCH_MS, ROW_ID]].assign(tag=[tags[i] for i in after[hit]])
+        every = _ordered(batches, [EPOCH_MS, ROW_ID])
+        entry, last_ms, last_id = state.get if state.exists else (alarms.OTHER, *BEFORE_ALL)
+        behind = _late(every, last_ms, last_id)
+        pdf = every[~behind].reset_index(drop=True)
+        place = [DEVICE, EPOCH_MS, ROW_ID]
+        if len(pdf):
+            after = alarms.state_maps(pdf["code"].to_numpy())[:, entry]
+            before = np.concatenate([[entry], after[:-1]])
+            end = pdf.iloc[-1]
+            state.update((int(after[-1]), int(end[EPOCH_MS]), int(end[ROW_ID])))
+            hit = after != before
+            if hit.any():
+                yield pdf[hit][place].assign(tag=[tags[i] for i in after[hit]], late=False)
+        if behind.any():
+            yield every[behind][place].assign(tag=None, late=True)
 
     return rows.groupBy(DEVICE).applyInPandasWithState(
-        step, f"{DEVICE} string, {EPOCH_MS} long, {ROW_ID} long, tag string", "state int", "append",
-        GroupStateTimeout.NoTimeout,
+        step, f"{DEVICE} string, {EPOCH_MS} long, {ROW_ID} long, tag string, late boolean",
+        "state int, last_ms long, last_id long", "append", GroupStateTimeout.NoTimeout,
     )
 
 
@@ -186,19 +218,45 @@ def live_counters(frames, width="1 second", slide=None, p=DEFAULTS):
     ).select(F.col("w.start").alias("window_start"), PROTOCOL, DEVICE, "frames_total", "peak_temp", "last_rtt_ms")
 
 
-def drift_batches(edges, path, p=DEFAULTS):
-    """``foreachBatch`` handler: PSI of each micro-batch against the stored edges."""
+def counter_batches(path, width="1 second", slide=None):
+    """``foreachBatch`` handler: partial counters of each micro-batch. No row is too late for them; read the
+    totals with ``merged_counters``."""
 
     def handle(batch, batch_id):
-        scored_batch = drift.psi(edges, drift.long_form(batch)).where(F.col("n_current") >= drift.MIN_CURRENT)
-        out = scored_batch.withColumns(
-            {"drift_detected": F.col("psi") > p.psi_threshold, "drift_band": drift.drift_band(F.col("psi"))}
-        )
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        at = F.timestamp_millis(EPOCH_MS)
+        window = F.window(at, width, slide) if slide else F.window(at, width)
+        partial = batch.groupBy(window.alias("w"), PROTOCOL, DEVICE).agg(
+            F.count(F.lit(1)).alias("frames_total"), F.max(TEMP).alias("peak_temp"), F.max(F.struct(EPOCH_MS, ROW_ID, RTT)).alias("last"))
+        partial.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return handle
 
 
+def merged_counters(partials):
+    """Counters per window from the partial counters of all micro-batches."""
+    whole = partials.groupBy("w", PROTOCOL, DEVICE).agg(
+        F.sum("frames_total").alias("frames_total"), F.max("peak_temp").alias("peak_temp"), F.max("last").alias("last"))
+    return whole.select(F.col("w.start").alias("window_start"), PROTOCOL, DEVICE, "frames_total", "peak_temp",
+                        F.col(f"last.{RTT}").alias("last_rtt_ms"))
+
+
+def drift_batches(edges, path):
+    """``foreachBatch`` handler: bucket counts of each micro-batch against the stored edges."""
+
+    def handle(batch, batch_id):
+        counts = drift.bucket_counts(drift.long_form(batch), edges).drop("edges")
+        counts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return handle
+
+
+def merged_drift(edges, counts, p=DEFAULTS):
+    """Drift of everything the micro-batches have counted so far; features with too few rows are left out."""
+    scores = drift.psi_of_counts(edges, drift.merge_counts(counts)).where(F.col("n_current") >= drift.MIN_CURRENT)
+    return scores.withColumns(
+        {"drift_detected": F.col("psi") > p.psi_threshold, "drift_band": drift.drift_band(F.col("psi"))})
+
+
 def centroid_batches(spark, path, cols=tuple(GAUGES)):
     """``foreachBatch`` handler: move the centroids by each micro-batch. Every batch writes its own version and
     starts from the one before, so a batch that is run again gives the same result."""
@@ -214,9 +272,16 @@ def centroid_batches(spark, path, cols=tuple(GAUGES)):
     return handle
 
 
-def fan_out(sinks, on_error=None):
+def newest_centroids(spark, path):
+    """State after the last micro-batch."""
+    versions = spark.read.parquet(path)
+    return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
+
+
+def fan_out(sinks, retry_path, on_error=None):
     """``foreachBatch`` handler: one read of the batch, several consumers ``(batch, batch_id)``. A consumer that
-    fails is reported and does not stop the others."""
+    fails does not stop the others: the batch is kept for it below ``retry_path`` (see ``replay_failed``). If that
+    fails too, the whole batch fails and is run again."""
 
     def handle(batch, batch_id):
         batch.persist()
@@ -225,6 +290,7 @@ def fan_out(sinks, on_error=None):
                 try:
                     sink(batch, batch_id)
                 except Exception as error:
+                    batch.write.mode("overwrite").parquet(f"{retry_path}/{name}/batch_id={batch_id}")
                     if on_error:
                         on_error(name, batch_id, error)
         finally:
@@ -233,6 +299,12 @@ def fan_out(sinks, on_error=None):
     return handle
 
 
+def replay_failed(spark, retry_path, name, sink, batch_ids):
+    """Give a consumer the batches that it missed; batch ids make a repeated replay harmless."""
+    for batch_id in batch_ids:
+        sink(spark.read.parquet(f"{retry_path}/{name}/batch_id={batch_id}"), batch_id)
+
+
 def persist_stream(frames, path, checkpoint):
     """Append a stream of frames to JSON-lines files; read back with ``sources.tables.replay_frames``."""
     return frames.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint)

@@ -1,12 +1,13 @@
 """Streaming results equal batch results."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contract import data as d
 from plantpulse.functions.numbers import dp
 from plantpulse.operators import alarms, control, drift, features, policy, regimes
-from plantpulse.schemas import DEVICE, DROP, EPOCH_MS, FRAMES, PROTOCOL, ROW_ID
+from plantpulse.schemas import DEVICE, DROP, EPOCH_MS, FRAMES, PROTOCOL, ROW_ID, RTT, TEMP
 from plantpulse.sources import tables
 from plantpulse.streaming import live
 
@@ -138,11 +139,15 @@ def test_drift_centroids_and_fan_out(spark, frames, folder, tmp_path):
         "centroids": live.centroid_batches(spark, f"{base}/centroids"),
         "copy": lambda b, i: b.write.mode("overwrite").parquet(f"{base}/copy/batch_id={i}"),
     }
-    run(source(spark, folder), spark, tmp_path, handler=live.fan_out(sinks, lambda n, i, e: failed.append(n)))
-    assert failed == ["broken"] * 3
+    run(source(spark, folder), spark, tmp_path, handler=live.fan_out(sinks, f"{base}/retry", lambda n, i, e: failed.append((n, i))))
+    assert failed == [("broken", 0), ("broken", 1), ("broken", 2)]
+    copy = lambda b, i: b.write.mode("overwrite").parquet(f"{base}/broken/batch_id={i}")
+    for _ in range(2):  # a second replay changes nothing
+        live.replay_failed(spark, f"{base}/retry", "broken", copy, [i for _, i in failed])
+    assert spark.read.parquet(f"{base}/broken").count() == frames.count()
     assert spark.read.parquet(f"{base}/copy").count() == frames.count()
     assert spark.read.parquet(f"{base}/drift").select("feature", "batch_id").distinct().count() == 12
-    last = spark.read.parquet(f"{base}/centroids/version=2")
+    last = live.newest_centroids(spark, f"{base}/centroids")
     assert last.agg(F.sum("weight")).first()[0] == frames.count() + 3
     once = regimes.update_centroids(regimes.seed_centroids(spark), frames)
     assert once.agg(F.sum("weight")).first()[0] == frames.count() + 3
@@ -153,3 +158,73 @@ def test_persist_and_replay(spark, frames, folder, tmp_path):
     query.awaitTermination(120)
     back = tables.replay_frames(spark, str(tmp_path / "log"))
     assert rows(back, *[f.name for f in FRAMES.fields]) == rows(frames, *[f.name for f in FRAMES.fields])
+
+
+@pytest.fixture(scope="module", params=["one file", "in order", "by hash"])
+def layout(request, spark, frames, tmp_path_factory):
+    """The same frames in one file, in three files in time order, and in three files by hash."""
+    path = str(tmp_path_factory.mktemp("layout") / "in")
+    third = {
+        "one file": F.lit(0), "in order": F.ntile(3).over(Window.orderBy(EPOCH_MS, ROW_ID)) - 1,
+        "by hash": F.pmod(F.hash(ROW_ID), F.lit(3)),
+    }[request.param]
+    split = frames.withColumn("part", third).cache()
+    for part in range(3):
+        rows_of_part = split.where(F.col("part") == part).drop("part")
+        if not rows_of_part.isEmpty():
+            rows_of_part.coalesce(1).write.mode("append").parquet(path)
+    return request.param, path
+
+
+def test_counters_do_not_depend_on_files(spark, frames, layout, tmp_path):
+    run(source(spark, layout[1]), spark, tmp_path, handler=live.counter_batches(f"{tmp_path}/partial", "1 minute"))
+    got = live.merged_counters(spark.read.parquet(f"{tmp_path}/partial"))
+    want = frames.groupBy(F.date_trunc("minute", F.timestamp_millis(EPOCH_MS)).alias("window_start"), PROTOCOL, DEVICE).agg(
+        F.count(F.lit(1)).alias("frames_total"), F.max(TEMP).alias("peak_temp"), F.max_by(RTT, F.struct(EPOCH_MS, ROW_ID)).alias("last_rtt_ms"))
+    cols = ("window_start", PROTOCOL, DEVICE, "frames_total", "peak_temp", "last_rtt_ms")
+    assert rows(got, *cols) == rows(want, *cols)
+
+
+def test_drift_does_not_depend_on_files(spark, frames, layout, tmp_path):
+    edges = drift.baseline_edges(drift.long_form(frames.where(F.col(ROW_ID) % 2 == 0)))
+    run(source(spark, layout[1]), spark, tmp_path, handler=live.drift_batches(edges, f"{tmp_path}/counts"))
+    got = live.merged_drift(edges, spark.read.parquet(f"{tmp_path}/counts"))
+    assert rows(got, "feature", "n_current", "psi") == rows(drift.psi(edges, drift.long_form(frames)), "feature", "n_current", "psi")
+
+
+def as_commands(df):
+    """One shedding command per frame."""
+    return df.select(
+        F.col(DEVICE).alias("target_device"), EPOCH_MS, ROW_ID, F.lit("traffic_shedding").alias("action"),
+        F.lit("eth0").alias("target_interface"), F.lit(0.8).alias("shedding_factor"), F.lit(None).cast("string").alias("standby_node"),
+        F.lit(None).cast("double").alias("target_rate_mbps"),
+        F.lit("r").alias("reason"), F.lit(False).alias("requires_approval"), F.lit(None).cast("string").alias("approved_by"))
+
+
+def test_ordered_operators_account_for_every_row(spark, frames, layout, tmp_path):
+    kind, path = layout
+    feats = run(live.rolling_features(source(spark, path)), spark, tmp_path)
+    assert feats.count() == frames.count() and live.late_rows(feats).isEmpty() == (kind != "by hash")
+    if kind != "by hash":
+        want = features.serving_features(frames).select(ROW_ID, dp(F.col("throughput_slope"), 4).alias("s"))
+        assert rows(feats, ROW_ID, dp(F.col("throughput_slope"), 4)) == rows(want, ROW_ID, "s")
+    commands, stream = as_commands(frames), as_commands(source(spark, path))
+    decided = run(live.debounced(stream), spark, tmp_path / "debounce")
+    assert decided.count() == commands.count()
+    on_time = decided.where("not late")
+    # What was accepted is what the batch operator says about the accepted commands.
+    accepted = commands.join(on_time.select(ROW_ID), ROW_ID, "left_semi")
+    assert rows(on_time, ROW_ID, "status", "retry_after_sec") == rows(control.debounce(accepted), ROW_ID, "status", "retry_after_sec")
+    assert on_time.where("retry_after_sec > 5 or retry_after_sec < 0").isEmpty()
+
+
+def test_event_log_marks_late_cycles(spark, frames, layout, tmp_path):
+    kind, path = layout
+    cols = [DEVICE, EPOCH_MS, ROW_ID, DROP, "failover_active", "mitigation_active", policy.PRED]
+    cycles = policy.apply_policy(source(spark, path).withColumn("throughput_slope", F.lit(0.0))).select(*cols)
+    log = run(live.event_log(cycles), spark, tmp_path)
+    whole = policy.apply_policy(frames.withColumn("throughput_slope", F.lit(0.0))).select(*cols)
+    late = live.late_rows(log)
+    assert late.isEmpty() == (kind != "by hash")
+    expected = alarms.sequence_of_events(whole.join(late.select(ROW_ID), ROW_ID, "left_anti"))
+    assert rows(log.where("not late"), DEVICE, ROW_ID, "tag") == rows(expected, DEVICE, ROW_ID, "tag")
