@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plantpulse.operators.series import MAX_SLICES
 from plantpulse.params import DEFAULTS
 from plantpulse.session import broadcast_if_small, checkpointed
 
@@ -24,7 +25,7 @@ def running_counts(counts, keys, value, names, largest, max_rows=None):
         up_to = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         return counts.withColumns({f"cum_{n}": F.sum(n).over(up_to) for n in names})
     total = counts.count()
-    parts = max(2, -(-2 * total // max_rows))
+    parts = max(2, min(MAX_SLICES, -(-2 * total // max_rows)))
     # The partition number is stored with the rows, so it cannot change when a task is run again.
     sliced = checkpointed(
         counts.repartitionByRange(parts, *keys, value).withColumn("_slice", F.spark_partition_id())

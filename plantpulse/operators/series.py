@@ -7,8 +7,6 @@ that many preceding rows gives the same result as on the uncut key. Values that
 back (last known value) travel through a table with one row per block, see :meth:`Series.carry`.
 """
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,7 +15,8 @@ from plantpulse.session import broadcast_if_small, checkpointed
 
 BLOCK = "_block"
 OWN = "_own"
-SUB_BLOCKS = 16
+# Bound of the slices that large keys are range partitioned into; window sorts within a slice spill.
+MAX_SLICES = 20_000
 
 
 class Series:
@@ -33,11 +32,6 @@ class Series:
         """Drop the copied rows and the helper columns."""
         return df.where(OWN).drop(BLOCK, OWN) if self.split else df
 
-    def is_first(self):
-        """True on the first row of a key."""
-        first = F.row_number().over(self.window) == 1
-        return first & (F.col(BLOCK) == 0) if self.split else first
-
     def carry(self, values, include_current=True):
         """Last non-null value of each expression in ``values`` up to the row (or strictly before it)."""
         end = Window.currentRow if include_current else -1
@@ -101,7 +95,7 @@ def largest_key(df, keys):
 def open_series(df, keys, time, tie=None, lookback=0, max_rows=None, largest=None):
     """Prepare ``df`` for window functions ordered by ``(time, tie)`` within ``keys``.
 
-    ``time`` is a numeric column; rows with equal time stay in one block. ``largest`` is an upper bound for the
+    ``time`` is a numeric column. ``largest`` is an upper bound for the
     rows of a key, if the caller has one; it saves the count when no key needs to be cut."""
     max_rows = max_rows or DEFAULTS.max_group_rows
     keys = list(keys)
@@ -109,75 +103,33 @@ def open_series(df, keys, time, tie=None, lookback=0, max_rows=None, largest=Non
     if largest is not None and largest <= max_rows:
         return Series(df, keys, order, split=False)
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
-    n_large, largest = large.agg(F.count(F.lit(1)), F.max("_n")).first()
+    n_large, rows = large.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if not n_large:
         return Series(df, keys, order, split=False)
-    # `large` holds at most rows/max_rows keys; the joins below broadcast it only when it is really small.
-    layout = _layout(df, large.select(*keys), keys, time, lookback, max_rows, largest, n_large)
-    targets = F.coalesce(F.get("_targets", _sub_block("_bounds", F.col(time), largest, max_rows)), F.array(F.lit(0)))
-    cut = (
-        df.join(broadcast_if_small(layout, n_large), keys, "left")
-        .select(*[F.col(c) for c in df.columns], F.posexplode(targets).alias("_copy", BLOCK))
-        .withColumn(OWN, F.col("_copy") == 0)
-        .drop("_copy")
-    )
-    return Series(cut, keys, order, split=True)
-
-
-def _fraction_count(largest, max_rows):
-    return max(2, SUB_BLOCKS * math.ceil(largest / max_rows))
-
-
-def _sub_block(bounds, value, largest, max_rows):
-    """Number of bounds <= value, by binary search in the sorted array."""
-    steps, size = [], 1
-    while size <= _fraction_count(largest, max_rows):
-        steps.insert(0, size)
-        size *= 2
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: at + F.when(F.get(bounds, at + step - 1) <= value, step).otherwise(0),
-    )
-
-
-def _layout(df, large, keys, time, lookback, max_rows, largest, n_large):
-    """One row per large key: time bounds of its sub-blocks and, per sub-block, the block that owns its rows
-    followed by the later blocks that need copies of them."""
-    m = _fraction_count(largest, max_rows)
-    rows = df.select(*keys, time).join(broadcast_if_small(large, n_large), keys, "left_semi")
-    bounds = checkpointed(
-        rows.groupBy(*keys).agg(
-            F.array_distinct(
-                F.percentile_approx(time, F.array(*[F.lit(i / m) for i in range(1, m)]), F.lit(20 * m))
-            ).alias("_bounds")
-        )
-    )
-    per_sub = (
-        rows.join(broadcast_if_small(bounds, n_large), keys)
-        .groupBy(*keys, _sub_block("_bounds", F.col(time), largest, max_rows).alias("_sub"))
-        .agg(F.count(F.lit(1)).alias("_cnt"))
-    )
-    by_sub = Window.partitionBy(*keys).orderBy("_sub")
-    starts = per_sub.withColumn("_start", F.sum("_cnt").over(by_sub) - F.col("_cnt"))
-    raw_block = F.floor(F.col("_start") / max_rows)
-    heads = starts.withColumn("_raw", raw_block).withColumn(
-        "_head", F.coalesce(F.col("_raw") != F.lag("_raw").over(by_sub), F.lit(True))
-    )
-    blocks = heads.withColumn(BLOCK, (F.sum(F.col("_head").cast("int")).over(by_sub) - 1).cast("int"))
-    # Blocks that start within `lookback` rows after the end of a sub-block need that sub-block's rows.
-    ahead = Window.partitionBy(*keys).orderBy("_start").rangeBetween(0, max(lookback - 1, 0))
-    near = F.collect_list(F.when(F.col("_head"), F.col(BLOCK))).over(ahead)
-    empty = F.array().cast("array<int>")
-    with_near = blocks.withColumn("_near", near if lookback > 0 else empty)
-    copies = F.coalesce(F.lead("_near").over(by_sub), empty)
-    targets = with_near.select(
-        *keys, "_sub", F.concat(F.array(F.col(BLOCK)), F.array_sort(copies)).alias("_to")
-    )
-    per_key = targets.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_sub", "_to"))).alias("_map")
-    )
-    as_array = F.transform(
-        F.sequence(F.lit(0), F.array_max(F.map_keys("_map"))), lambda i: F.try_element_at("_map", i)
-    )
-    return checkpointed(per_key.select(*keys, as_array.alias("_targets")).join(bounds, keys))
+    # There are at most rows / max_rows large keys; the joins broadcast them only when they are really few.
+    names = broadcast_if_small(checkpointed(large.select(*keys)), n_large)
+    ordinary = df.join(names, keys, "left_anti").withColumns({BLOCK: F.lit(0), OWN: F.lit(True)})
+    cut = _cut(df.join(names, keys, "left_semi"), keys, order, lookback, max_rows, rows)
+    return Series(ordinary.unionByName(cut), keys, order, split=True)
+
+
+def _cut(df, keys, order, lookback, max_rows, rows):
+    """Rows of large keys with their block, and copies of the last ``lookback`` rows for the blocks after it.
+
+    The place of a row within its key comes from range partitioning on key and order: the rows are written once with
+    the number of their slice, and each slice adds the rows of the key in the slices before it. The block follows from
+    the place by division, so neither the plan nor any row grows with the size of a key, and rows of equal time are
+    cut apart too."""
+    parts = max(2, min(MAX_SLICES, -(-2 * rows // max_rows)))
+    tagged = df.withColumn("_row", F.monotonically_increasing_id())
+    sliced = checkpointed(tagged.repartitionByRange(parts, *keys, *order, "_row").withColumn("_slice", F.spark_partition_id()))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sliced.groupBy(*keys, "_slice").count().select(
+        *keys, "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"), F.sum("count").over(whole).alias("_n"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order, "_row")
+    placed = sliced.withColumn("_at", F.row_number().over(inside) - 1).join(offsets, [*keys, "_slice"])
+    block_of = lambda place: F.floor(place / max_rows).cast("int")
+    place = F.col("_before") + F.col("_at")
+    blocks = F.sequence(block_of(place), block_of(F.least(place + lookback, F.col("_n") - 1)))
+    return placed.select(*df.columns, F.posexplode(blocks).alias("_copy", BLOCK)).withColumn(OWN, F.col("_copy") == 0).drop("_copy")
