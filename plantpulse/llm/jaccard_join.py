@@ -158,8 +158,9 @@ def _merged_sketch(parts: DataFrame) -> np.ndarray:
 
 def prefix(tokens: np.ndarray, counts: np.ndarray, mean: float, frequent: float, percent: int, costs=COSTS):
     """(prefix, required matches) of a sorted set, given the sketch count of each of its shingles."""
-    common = counts >= frequent
-    order = np.concatenate([np.flatnonzero(~common), np.flatnonzero(common)])
+    # Class 0: not frequent; then one class for each doubling. Within a class the hash decides.
+    classes = np.where(counts >= frequent, 1 + np.floor(np.log2(np.maximum(counts, 1) / frequent)), 0)
+    order = np.argsort(classes, kind="stable")
     shortest = _spare(len(tokens), percent) + 1
     cost = float(np.maximum(counts[order[:shortest]] - mean - 1, 0).sum())
     need = min(1 + sum(cost > c for c in costs), len(tokens) - shortest + 1)
@@ -173,7 +174,7 @@ def _prefixes(df: DataFrame, sketch: np.ndarray, width: int, percent: int) -> Da
 
     def run(batches):
         for batch in batches:
-            tokens, nodes, sizes, needs = [], [], [], []
+            tokens, nodes, sizes, needs, places = [], [], [], [], []
             for text in batch.column(1):
                 own = shingles(text.as_py(), width)
                 if len(own):
@@ -182,11 +183,12 @@ def _prefixes(df: DataFrame, sketch: np.ndarray, width: int, percent: int) -> Da
                     nodes.append(np.full(len(first), _set_hash(own)))
                     sizes.append(np.full(len(first), len(own)))
                     needs.append(np.full(len(first), need, dtype=np.int32))
+                    places.append(np.arange(len(first), dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, nodes, sizes, needs)],
-                                                 names=["token", "node", "n", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, nodes, sizes, needs, places)],
+                                                 names=["token", "node", "n", "need", "place"])
 
-    return df.mapInArrow(run, "token long, node long, n long, need int")
+    return df.mapInArrow(run, "token long, node long, n long, need int, place int")
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
@@ -210,6 +212,24 @@ def _least_shared(percent: int):
     return F.greatest(together + F.least(own("a"), own("b")), F.least("a_need", "b_need"))
 
 
+def _prefix_length(x: str, percent: int):
+    return F.col(f"{x}n") - F.ceil(percent * F.col(f"{x}n") / 100) + F.col(f"{x}need")
+
+
+def _early_enough(lists: DataFrame, percent: int) -> DataFrame:
+    """Entries of the lists that can be the first shingle that two linked documents share. If they share ``k`` in their
+    prefixes, ``k - 1`` more must follow the first, so it lies at place ``length - k`` or before. ``k`` is smallest for the
+    partners of the extreme sizes in the list. In a group of much edited copies the shingles that all have in common
+    stand late in their prefixes, so this keeps long lists short."""
+    sizes = lists.groupBy("token").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    ceil = lambda x: F.ceil(percent * x / 100)
+    n = F.col("n")
+    shared = lambda m: F.ceil(percent * (n + m) / (100 + percent)) + F.least(1 - ceil(n), 1 - ceil(m))
+    low, high = F.greatest(F.col("lo"), ceil(n)), F.least(F.col("hi"), F.floor(100 * n / percent))
+    least = F.greatest(F.lit(1), F.least(shared(low), shared(high)) - 1)
+    return lists.join(sizes, "token").filter(F.col("place") <= _prefix_length("", percent) - least).select(*lists.columns)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Adds ``near`` (similarity reached) and ``apart`` (one minus similarity) to pairs (a, b)."""
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("__x"))
@@ -279,17 +299,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Second round: pairs across components in lists that are not settled.
     known = first.select(F.col("a").alias("node"), F.col("b").alias("leader"), "apart")
     state = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(known, "node", "left")
-    state = checkpointed(state.select("token", "node", "n", "need", "label", F.coalesce("leader", "node").alias("leader"),
+    state = checkpointed(state.select("token", "node", "n", "need", "place", "label", F.coalesce("leader", "node").alias("leader"),
                                       F.coalesce("apart", F.lit(0.0)).alias("apart")))
-    mixed = state.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("token")
-    open_lists = checkpointed(state.join(mixed, "token", "left_semi"))
+    mixed = lambda rows: rows.join(
+        rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("token"), "token", "left_semi")
+    open_lists = checkpointed(mixed(checkpointed(_early_enough(mixed(state), percent))))
     a, b = (open_lists.select("token", *[F.col(c).alias(f"{x}_{c}") for c in open_lists.columns[1:]]) for x in "ab")
-    slack = 1 - percent / 100 + 1e-9
+    slack, least = 1 - percent / 100 + 1e-9, _least_shared(percent)
     met = a.join(b, (a["token"] == b["token"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
                  & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-                 & ((F.col("a_leader") != F.col("b_leader")) | (F.abs(F.col("a_apart") - F.col("b_apart")) <= slack)))
-    enough = met.groupBy(*[f"{x}_{c}" for x in "ab" for c in ("node", "n", "need")]).agg(F.count("*").alias("count")).filter(
-        F.col("count") >= _least_shared(percent)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+                 & ((F.col("a_leader") != F.col("b_leader")) | (F.abs(F.col("a_apart") - F.col("b_apart")) <= slack))
+                 & (F.col("a_place") <= _prefix_length("a_", percent) - least) & (F.col("b_place") <= _prefix_length("b_", percent) - least))
+    sides = [f"{x}_{c}" for x in "ab" for c in ("node", "n", "need")]
+    pairs = checkpointed(met.select(*sides).distinct())
+    own, other = lists.select(F.col("node").alias("a_node"), "token"), lists.select(F.col("node").alias("b_node"), "token")
+    enough = pairs.join(own, "a_node").join(other, ["b_node", "token"]).groupBy(*sides).agg(F.count("*").alias("count")).filter(
+        F.col("count") >= least).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     enough = checkpointed(enough)
     second = checkpointed(_verified(enough, _sets_of(enough, docs, classes, width, repeated), percent))
     labels = components(first.filter("near").select("a", "b").union(second.filter("near").select("a", "b")))
