@@ -55,18 +55,28 @@ def lookup_table(entries: DataFrame, key: str, value: str, slots: int) -> DataFr
 
 def as_literal(one_value: DataFrame):
     """The single value of a one-row table as a literal column: a session variable, which Spark folds into the plan.
-    (Scalar subqueries are not allowed inside higher-order functions.)"""
+    (Scalar subqueries are not allowed inside higher-order functions.) Plans keep the value; once they are built, the
+    variable can be dropped with ``drop_literals``."""
     spark, name = one_value.sparkSession, f"literal_{uuid.uuid4().hex}"
     kind = one_value.dtypes[0][1]
     one_value.createOrReplaceTempView(name)
     spark.sql(f"DECLARE VARIABLE {name} {kind}")
     spark.sql(f"SET VARIABLE {name} = (SELECT * FROM {name})")
     spark.catalog.dropTempView(name)
+    return name
+
+
+def drop_literals(spark: SparkSession, names: list[str]) -> None:
+    for name in names:
+        spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {name}")
+
+
+def literal(name: str):
     return F.expr(f"system.session.{name}")
 
 
-def look_up(literal, key, slots: int):
-    return F.try_element_at(F.get(literal, F.pmod(F.hash(key), F.lit(slots))), key)
+def look_up(name: str, key, slots: int):
+    return F.try_element_at(F.get(literal(name), F.pmod(F.hash(key), F.lit(slots))), key)
 
 
 def _bind(value, body):
@@ -89,6 +99,8 @@ class Codec:
         self._pieces = as_literal(spark.createDataFrame([(pieces,)], "pieces array<string>"))
         self._numbers = as_literal(spark.createDataFrame([(numbers,)], "numbers array<string>"))
 
+        self.literals = [self._ranks, self._pieces, self._numbers]
+
     def rank(self, token):
         return look_up(self._ranks, token, RANK_SLOTS)
 
@@ -132,11 +144,11 @@ class Codec:
 
     def decode(self, ids):
         """Bytes of an array of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), ""))
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal(self._pieces), i)), ""))
 
     def packed(self, ids):
         """Ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._numbers, i)), ""))
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal(self._numbers), i)), ""))
 
 
 def most_frequent(counted: DataFrame, max_words: int) -> DataFrame:
@@ -157,6 +169,7 @@ def encode(df: DataFrame, codec: Codec, text_col: str, max_words: int = MAX_WORD
     counted = checkpointed(df.select(F.explode(codec.words(F.col(text_col))).alias("word")).groupBy("word").count())
     known = checkpointed(most_frequent(counted, max_words).select("word", codec.merged(F.col("word")).alias("ids")))
     words = as_literal(lookup_table(known, "word", "ids", WORD_SLOTS))
+    codec.literals.append(words)
     one = lambda word: F.coalesce(look_up(words, word, WORD_SLOTS), codec.merged(word))
     return F.flatten(F.transform(codec.words(F.col(text_col)), one))
 
@@ -165,10 +178,12 @@ def token_digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
     """Id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row of ``df``."""
     codec = Codec(df.sparkSession, ranks, pattern)
     coded = df.select(F.col(id_col).alias("__id"), encode(df, codec, text_col).alias("__ids"))
-    return coded.select(
+    out = coded.select(
         F.col("__id").alias(id_col), F.size("__ids").cast("long").alias("n_tokens"),
         F.sha2(codec.packed(F.col("__ids")), 256).alias("ids_sha256"),
         F.sha2(codec.decode(F.col("__ids")), 256).alias("decoded_sha256"))
+    drop_literals(df.sparkSession, codec.literals)
+    return out
 
 
 def query(spark, sf_dir):
