@@ -11,7 +11,7 @@ end. The order decides costs only, never results.
 
 Steps: 1. set size, set hash and sketch of every document; documents with equal sets form one node. 2. prefixes of the
 nodes; shingles that only one node has are dropped by a bitmap filter. 3. Each node is verified against the node that
-leads most of its shingle lists, and linked nodes are joined into components. This settles groups of near copies with
+leads most of its shingle lists (the one with the fewest rare shingles of its own), and linked nodes are joined into components. This settles groups of near copies with
 one comparison a member. 4. Lists that still hold several components yield all pairs across components that the
 sizes, the number of shared prefix shingles and the triangle inequality to a common leader allow; these are verified too. No pair
 within one component is ever listed, so no link between components is lost and no group is squared.
@@ -37,8 +37,12 @@ WIDTH, PERCENT = 5, 80
 CELLS, CELLS_PER_CHUNK = 1 << 22, 1 << 12
 # A cell is frequent if it holds this many more shingles than an average cell (plus eight standard deviations).
 FREQUENT = 32
-# Estimated candidates above which a document asks for one more shared shingle.
-COSTS = (64, 1024, 16384)
+# Estimated candidates above which a document lengthens its prefix, by these shares of its set. A pair must then share as
+# many more shingles, which tells copies just below the threshold apart without reading their sets.
+COSTS, LONGER = (64, 1024, 16384), (0.02, 0.1, 0.3)
+
+# Leader rounds: parts of a list with a leader each, and leaders that a node is verified against.
+ROUNDS = ((1, 1), (8, 4))
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[ord(c) for c in BLANKS]] = True
@@ -95,7 +99,7 @@ def _spare(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def _signatures(df: DataFrame, width: int, percent: int) -> DataFrame:
+def _signatures(df: DataFrame, width: int) -> DataFrame:
     """Rows of kind 0: id, set size, set hash of each document. Rows of kind 1: parts of the sketch of each task."""
     def run(batches):
         sketch, held, waiting = np.zeros(CELLS, dtype=np.uint32), [], 0
@@ -111,9 +115,8 @@ def _signatures(df: DataFrame, width: int, percent: int) -> DataFrame:
             for text in batch.column(1):
                 tokens = shingles(text.as_py(), width)
                 sizes.append(len(tokens)), keys.append(_set_hash(tokens))
-                first = tokens[: 2 * _spare(len(tokens), percent) + 8]
-                held.append(_cells(first))
-                waiting += len(first)
+                held.append(_cells(tokens))
+                waiting += len(tokens)
                 if waiting > 1_000_000:
                     settle()
             n = len(sizes)
@@ -163,7 +166,8 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, mean: float, frequent: float,
     order = np.argsort(classes, kind="stable")
     shortest = _spare(len(tokens), percent) + 1
     cost = float(np.maximum(counts[order[:shortest]] - mean - 1, 0).sum())
-    need = min(1 + sum(cost > c for c in costs), len(tokens) - shortest + 1)
+    level = sum(cost > c for c in costs)
+    need = min(1 + (max(1, int(LONGER[level - 1] * len(tokens))) if level else 0), len(tokens) - shortest + 1)
     return tokens[order[: shortest + need - 1]], need
 
 
@@ -212,22 +216,43 @@ def _least_shared(percent: int):
     return F.greatest(together + F.least(own("a"), own("b")), F.least("a_need", "b_need"))
 
 
-def _prefix_length(x: str, percent: int):
-    return F.col(f"{x}n") - F.ceil(percent * F.col(f"{x}n") / 100) + F.col(f"{x}need")
+def _latest_first(n, other, percent: int):
+    """Latest place of the first shared shingle in the prefix of a set of ``n``, given the partner's size. It does not
+    depend on how long the prefixes are: what a longer one adds to its length it adds to the shingles that must follow."""
+    ceil = lambda x: F.ceil(percent * x / 100)
+    return n - ceil(n) + F.greatest(ceil(n), ceil(other)) - F.ceil(percent * (n + other) / (100 + percent))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The lists that hold more than one component."""
+    open_ones = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("token")
+    return rows.join(open_ones, "token", "left_semi")
+
+
+def _led(lists: DataFrame, salts: int, best: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of each node with the ``best`` leaders of another component that lead most of its lists, if those
+    lists suffice for a link. The members of a list are dealt to ``salts`` parts; a part is led by the document that has
+    the fewest rarer shingles before this one: the one closest to what all copies have in common."""
+    salt = F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts))
+    leaders = lists.groupBy("token", salt).agg(F.min(F.struct("place", "node", "n", "need", "label")).alias("b")).select("token", "b.*")
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "need", "label")]
+    met = lists.select("token", *side("a")).join(leaders.select("token", *side("b")), "token").filter(
+        (F.col("a_label") != F.col("b_label")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")))
+    counted = met.groupBy(*[f"{x}_{c}" for x in "ab" for c in ("node", "n", "need")]).agg(F.count("*").alias("count"))
+    ranked = counted.filter(F.col("count") >= _least_shared(percent)).groupBy(F.col("a_node").alias("a")).agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("count", F.col("b_node").alias("b"))), asc=False), 1, best).alias("top"))
+    return ranked.select("a", F.explode("top").alias("top")).select("a", "top.b")
 
 
 def _early_enough(lists: DataFrame, percent: int) -> DataFrame:
-    """Entries of the lists that can be the first shingle that two linked documents share. If they share ``k`` in their
-    prefixes, ``k - 1`` more must follow the first, so it lies at place ``length - k`` or before. ``k`` is smallest for the
-    partners of the extreme sizes in the list. In a group of much edited copies the shingles that all have in common
-    stand late in their prefixes, so this keeps long lists short."""
+    """Entries of the lists that can be the first shingle that two linked documents share. Many more must follow it, so
+    it stands early in the prefix; how early depends on the partner's size, and the sizes in the list bound that. In a
+    group of much edited copies the shingles that all have in common stand late, so this keeps long lists short."""
     sizes = lists.groupBy("token").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    ceil = lambda x: F.ceil(percent * x / 100)
     n = F.col("n")
-    shared = lambda m: F.ceil(percent * (n + m) / (100 + percent)) + F.least(1 - ceil(n), 1 - ceil(m))
-    low, high = F.greatest(F.col("lo"), ceil(n)), F.least(F.col("hi"), F.floor(100 * n / percent))
-    least = F.greatest(F.lit(1), F.least(shared(low), shared(high)) - 1)
-    return lists.join(sizes, "token").filter(F.col("place") <= _prefix_length("", percent) - least).select(*lists.columns)
+    low, high = F.greatest(F.col("lo"), F.ceil(percent * n / 100)), F.least(F.col("hi"), F.floor(100 * n / percent))
+    latest = F.greatest(_latest_first(n, low, percent), _latest_first(n, high, percent)) + 1
+    return lists.join(sizes, "token").filter(F.col("place") <= latest).select(*lists.columns)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -267,7 +292,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``df``: id, ``n_shingles``, ``component_id``."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = checkpointed(_signatures(docs, width, percent))
+    out = checkpointed(_signatures(docs, width))
     signed = out.filter("kind = 0").select("id", "n", "node")
     total = signed.count()
     full = signed.filter("n > 0")
@@ -284,40 +309,41 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ids = signed.agg(F.count("id").alias("rows"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
     repeated = ids.rows != ids.ids or ids.nulls > 0
-    sides = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "need")]
-
-    # First round: the leader (smallest node) of most of a node's lists, if the lists that it leads suffice for a link.
-    leaders = lists.groupBy("token").agg(F.min(F.struct("node", "n", "need")).alias("b")).select("token", "b.*")
-    led = lists.select("token", *sides("a")).join(leaders.select("token", *sides("b")), "token").filter("a_node != b_node")
-    counted = led.groupBy(*[f"{x}_{c}" for x in "ab" for c in ("node", "n", "need")]).agg(F.count("*").alias("count"))
-    chosen = counted.filter(F.col("count") >= _least_shared(percent)).groupBy(F.col("a_node").alias("a")).agg(
-        F.max_by("b_node", F.struct("count", "b_node")).alias("b"))
-    chosen = checkpointed(chosen)
-    first = checkpointed(_verified(chosen, _sets_of(chosen, docs, classes, width, repeated), percent))
-    labels = components(first.filter("near").select("a", "b"))
-
-    # Second round: pairs across components in lists that are not settled.
-    known = first.select(F.col("a").alias("node"), F.col("b").alias("leader"), "apart")
-    state = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(known, "node", "left")
-    state = checkpointed(state.select("token", "node", "n", "need", "place", "label", F.coalesce("leader", "node").alias("leader"),
-                                      F.coalesce("apart", F.lit(0.0)).alias("apart")))
-    mixed = lambda rows: rows.join(
-        rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("token"), "token", "left_semi")
-    open_lists = checkpointed(mixed(checkpointed(_early_enough(mixed(state), percent))))
+
+    def settled(tested, rows):
+        """Lists with the component of each node, as far as the verified pairs tell."""
+        labels = components(tested.filter("near").select("a", "b"))
+        return rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    # Leader rounds: a node is verified against documents that lead many of its lists.
+    state, tested = lists.withColumn("label", F.col("node")), None
+    for salts, best in ROUNDS:
+        chosen = checkpointed(_led(state, salts, best, percent))
+        found = checkpointed(_verified(chosen, _sets_of(chosen, docs, classes, width, repeated), percent))
+        tested = found if tested is None else tested.unionByName(found)
+        state = checkpointed(_mixed(settled(tested, state)))
+
+    # Last round: pairs across components in lists that are not settled.
+    known = tested.groupBy(F.col("a").alias("node")).agg(F.min_by(F.struct("b", "apart"), "apart").alias("k"))
+    state = state.join(known, "node", "left").select(
+        "token", "node", "n", "need", "place", "label", F.coalesce("k.b", "node").alias("leader"), F.coalesce("k.apart", F.lit(0.0)).alias("apart"))
+    open_lists = checkpointed(_mixed(checkpointed(_early_enough(checkpointed(state), percent))))
     a, b = (open_lists.select("token", *[F.col(c).alias(f"{x}_{c}") for c in open_lists.columns[1:]]) for x in "ab")
     slack, least = 1 - percent / 100 + 1e-9, _least_shared(percent)
     met = a.join(b, (a["token"] == b["token"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
                  & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
                  & ((F.col("a_leader") != F.col("b_leader")) | (F.abs(F.col("a_apart") - F.col("b_apart")) <= slack))
-                 & (F.col("a_place") <= _prefix_length("a_", percent) - least) & (F.col("b_place") <= _prefix_length("b_", percent) - least))
+                 & (F.col("a_place") <= _latest_first(F.col("a_n"), F.col("b_n"), percent))
+                 & (F.col("b_place") <= _latest_first(F.col("b_n"), F.col("a_n"), percent)))
     sides = [f"{x}_{c}" for x in "ab" for c in ("node", "n", "need")]
     pairs = checkpointed(met.select(*sides).distinct())
-    own, other = lists.select(F.col("node").alias("a_node"), "token"), lists.select(F.col("node").alias("b_node"), "token")
-    enough = pairs.join(own, "a_node").join(other, ["b_node", "token"]).groupBy(*sides).agg(F.count("*").alias("count")).filter(
-        F.col("count") >= least).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    enough = checkpointed(enough)
+    heads = checkpointed(lists.groupBy("node").agg(F.collect_set("token").alias("head")))
+    for x in "ab":
+        pairs = pairs.join(heads.select(F.col("node").alias(f"{x}_node"), F.col("head").alias(f"{x}_head")), f"{x}_node")
+    enough = pairs.filter(F.size(F.array_intersect("a_head", "b_head")) >= least).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    enough = checkpointed(enough.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     second = checkpointed(_verified(enough, _sets_of(enough, docs, classes, width, repeated), percent))
-    labels = components(first.filter("near").select("a", "b").union(second.filter("near").select("a", "b")))
+    labels = components(tested.unionByName(second).filter("near").select("a", "b"))
 
     grouped = checkpointed(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     smallest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
