@@ -58,7 +58,8 @@ def l2(spark, sf):
 
 
 def l3(spark, sf):
-    scored = live.scored(_frames(spark, sf))
+    """Chained behind the rolling features: raw frames to diagnosis in one stream."""
+    scored = live.scored(live.rolling_features(_frames(spark, sf)).where("not late"))
     return drain(scored.select(ROW_ID, policy.PRED, "risk_level", "mitigation_action"), spark)
 
 
