@@ -1,9 +1,11 @@
 """Main text of web pages by consensus paths per host.
 
 First pass: each page is read into containers. A container's generalised path lists the tags above it with the first
-class of each, digits removed. Its score is the text in it less its link text; the page votes for the deepest path
-that holds most of the page's text. Spark adds up the votes per host. Second pass: every page is extracted anew with the
-winning path of its host; a page in which that path holds no text uses its own best path.
+class of each, digits removed. The page votes for the smallest container that holds all its content blocks (an h1, or
+25 characters that are not mostly links), never for a list, table or quote; an article or main element with most of the
+page's text is preferred. Spark adds up the votes per host, and where pages of the winner keep other text. Second pass:
+every page is extracted anew with the winning path of its host. A page with content blocks outside that path, at
+places where the winner's pages usually have no text, uses the common container of both; text at the usual places stays out.
 
 Text blocks are cut at block elements, never at ``<br>``. Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are left out by element name or by class and id words. Broken markup is read
@@ -44,7 +46,9 @@ CLOSES_P = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thea
 # Elements that end where a sibling of the same family begins, and the elements that such an end does not reach beyond.
 FAMILIES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-SHARE = 0.75
+# Containers that can be the main one: a list, table or quote is part of the text around it.
+CHOSEN = frozenset("html body div section article main center".split())
+SHARE, CONTENT = 0.75, 25
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
@@ -66,24 +70,25 @@ def _marks(rest: str):
 
 
 def blocks(page: str):
-    """(path, text, link characters) of every text block in page order, left-out parts excluded."""
+    """(path, text, link characters, whether it is an h1) of every text block in page order, left-out parts excluded."""
     stack = []  # (name, path of the container, left out, link)
-    parts, links, out, place, blank = [], 0, [], "", True
+    parts, links, out, place, blank, title = [], 0, [], "", True, False
 
     def flush():
         nonlocal links, blank
         text = " ".join("".join(parts).split())
         if text:
-            out.append((place, text, links))
+            out.append((place, text, links, title))
         parts.clear()
         links, blank = 0, True
 
     def add(raw):
-        nonlocal links, place, blank
+        nonlocal links, place, blank, title
         if raw and not (stack and stack[-1][2]):
             text = html.unescape(raw)
             if blank:
                 place, blank = stack[-1][1] if stack else "", not text.strip()
+                title = any(entry[0] == "h1" for entry in stack[-3:])
             parts.append(text)
             if stack and stack[-1][3]:
                 links += len(text.strip())
@@ -150,39 +155,78 @@ def blocks(page: str):
 
 
 def _inside(path: str, top: str) -> bool:
-    return path == top or path.startswith(top + "/")
+    return not top or path == top or path.startswith(top + "/")
+
+
+def _value(block) -> float:
+    return float(max(0, len(block[1]) - 2 * block[2]))
+
+
+def _content(found):
+    """Blocks that the main container must hold: those of some length and every h1; on a page without any, all that are not links."""
+    rated = [block for block in found if _value(block)]
+    return [block for block in rated if block[3] or len(block[1]) >= CONTENT] or rated
+
+
+def _common(paths) -> str:
+    """Smallest container above all paths that is no list, table or quote."""
+    steps = []
+    for level in zip(*(path.split("/") for path in paths), strict=False):
+        if len(set(level)) > 1:
+            break
+        steps.append(level[0])
+    while len(steps) > 1 and (steps[-1].split(".")[0] not in CHOSEN or not CHOSEN.issuperset(s.split(".")[0] for s in steps[1:])):
+        steps.pop()
+    return "/".join(steps)
+
+
+def _named(path: str) -> bool:
+    return re.match(r"(article|main)(\.|$)", path.rsplit("/", 1)[-1]) is not None
 
 
 def best_path(found) -> tuple[str, float]:
-    """Deepest path with most of the page's score; an article or main element above it is preferred. With its score."""
-    scores: dict[str, float] = {}
-    for path, text, links in found:
-        value = float(max(0, len(text) - 2 * links))
-        steps = path.split("/")
-        for i in range(len(steps), 0, -1):
-            top = "/".join(steps[:i])
-            scores[top] = scores.get(top, 0.0) + value
-    total = max(scores.values(), default=0.0)
+    """Smallest container of all content blocks; an article or main element with most of the text is preferred. With the page's score."""
+    total = sum(map(_value, found))
     if not total:
         return "", 0.0
-    enough = sorted((p for p, s in scores.items() if s >= SHARE * total), key=lambda p: (-p.count("/"), p))
-    named = [p for p in enough if re.match(r"(article|main)\b", p.rsplit("/", 1)[-1])]
-    return (named or enough)[0], total
+    scores: dict[str, float] = {}
+    for block in found:
+        steps = block[0].split("/")
+        for i in range(len(steps), 0, -1):
+            if re.match(r"(article|main)(\.|$)", steps[i - 1]):
+                top = "/".join(steps[:i])
+                scores[top] = scores.get(top, 0.0) + _value(block)
+    named = sorted((p for p, s in scores.items() if s >= SHARE * total), key=lambda p: (-p.count("/"), p))
+    return (named[0] if named else _common([block[0] for block in _content(found)])), total
 
 
-def votes(page: str | None) -> tuple[str, float]:
-    """Path a page votes for and the weight of its vote: long pages weigh more, by the logarithm of their text."""
-    path, total = best_path(blocks(page or ""))
-    return path, float(len(bin(int(total))) - 2) if path else 0.0
+def votes(page: str | None) -> tuple[str, float, list[str]]:
+    """Path a page votes for, the weight of its vote, and the places of text outside the path. Long pages weigh more, by
+    the logarithm of their text."""
+    found = blocks(page or "")
+    path, total = best_path(found)
+    if not path:
+        return "", 0.0, []
+    return path, float(len(bin(int(total))) - 2), sorted({block[0] for block in found if not _inside(block[0], path)})
 
 
-def extract(page: str | None, path: str | None) -> str:
+def extract(page: str | None, path: str | None, usual=()) -> str:
+    """Text of a page, given the winning path of its host and the places outside it where the winner's pages have text."""
     found = blocks(page or "")
-    chosen = [text for place, text, _ in found if path and _inside(place, path)]
-    if not chosen:
-        own, _ = best_path(found)
-        chosen = [text for place, text, _ in found if _inside(place, own) or not own]
-    return "\n".join(chosen)
+    usual = frozenset(usual or ())
+    within = [block for block in found if path and _inside(block[0], path)]
+    if within:
+        score, total = sum(map(_value, within)), sum(map(_value, found))
+        other = [block[0] for block in _content(found) if not _inside(block[0], path) and block[0] not in usual]
+        if other and not (_named(path) and score >= SHARE * total):
+            top = _common([path, *other])
+            within = [block for block in found if _inside(block[0], path) or (_inside(block[0], top) and block[0] not in usual)]
+    else:
+        left = [block for block in found if block[0] not in usual]
+        left = left if sum(map(_value, left)) else found
+        own, _ = best_path(left)
+        within = [block for block in left if _inside(block[0], own)]
+    return "\n".join(block[1] for block in within)
 
 
 def _host(url_col: str):
@@ -190,17 +234,25 @@ def _host(url_col: str):
 
 
 def host_paths(df: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """Winning path of every host."""
+    """Winning path of every host, and the places outside it that hold text on at least half of the pages that chose it."""
     def run(batches):
         for batch in batches:
             rows = [votes(page.as_py()) for page in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())],
-                names=["host", "path", "weight"])
-
-    cast = df.select(_host(url_col).alias("host"), F.col(html_col).alias("page")).mapInArrow(run, "host string, path string, weight double")
-    summed = cast.filter("path != ''").groupBy("host", "path").agg(F.sum("weight").alias("weight"))
-    return summed.groupBy("host").agg(F.min(F.struct((-F.col("weight")).alias("w"), "path")).alias("best")).select("host", "best.path")
+                [batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()),
+                 pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["host", "path", "weight", "places"])
+
+    cast = df.select(_host(url_col).alias("host"), F.col(html_col).alias("page")).mapInArrow(
+        run, "host string, path string, weight double, places array<string>")
+    # The place * stands for the vote itself.
+    place = F.explode(F.concat(F.array(F.lit("*")), "places")).alias("place")
+    summed = checkpointed(cast.filter("path != ''").select("host", "path", "weight", place).groupBy("host", "path", "place").agg(F.sum("weight").alias("weight")))
+    best = summed.filter("place = '*'").groupBy("host").agg(F.min(F.struct((-F.col("weight")).alias("w"), "path")).alias("best")).select(
+        "host", "best.path", (-F.col("best.w")).alias("won"))
+    # At most twice as many places as a page has: each holds text on half of the pages.
+    usual = summed.filter("place != '*'").join(best, ["host", "path"]).filter(F.col("weight") * 2 >= F.col("won")).groupBy("host").agg(
+        F.collect_list("place").alias("usual"))
+    return best.join(usual, "host", "left").select("host", "path", "usual")
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -208,12 +260,13 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     winners = checkpointed(host_paths(df, url_col, html_col))
     few = winners.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     pages = df.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).alias("__page"), _host(url_col).alias("host"))
-    joined = pages.join(F.broadcast(winners) if few else winners, "host", "left").select("__id", "__url", "__page", "path")
+    joined = pages.join(F.broadcast(winners) if few else winners, "host", "left").select("__id", "__url", "__page", "path", "usual")
     kinds = joined.schema
 
     def run(batches):
         for batch in batches:
-            texts = [extract(page.as_py(), path.as_py()) for page, path in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = [extract(page.as_py(), path.as_py(), usual.as_py())
+                     for page, path, usual in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["__id", "__url", "text"])
 
     out = f"__id {kinds['__id'].dataType.simpleString()}, __url {kinds['__url'].dataType.simpleString()}, text string"

@@ -54,3 +54,25 @@ def test_null_empty_and_repeated(spark):
 def test_deep_and_long_pages():
     page = "<b>" * 20_000 + "<p>" + "word " * 50_000
     assert len(H.extract(page, None)) == 5 * 50_000 - 1
+
+
+LONG = "a sentence of the body that goes on for a while. " * 20
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><div class=post><h1>Title</h1><p>{LONG[:150]}</p><div class=body><p>{LONG}</p></div></div></body>", ("Title", LONG[:150], LONG)),
+    (f"<body><div class=post><h1>Title</h1><div class=body><p>{LONG}</p></div></div></body>", ("Title", LONG)),
+    (f"<div class=post><p>{LONG[:60]}</p><ul><li>{LONG}</ul><p>{LONG[:70]}</p></div>", (LONG[:60], LONG, LONG[:70])),
+    (f"<div><table><tr><td><div>{LONG}</div></table><p>{LONG[:40]}</div>", (LONG, LONG[:40])),
+])
+def test_no_part_of_the_article_is_cut(page, text):
+    assert H.extract(page, None) == "\n".join(" ".join(t.split()) for t in text)
+
+
+def test_page_of_another_template_is_kept_whole(spark):
+    usual = f"<body><div class=story><p>{LONG}</p></div><div class=foot><p>usual words at the foot of each page</p></div></body>"
+    odd = f"<body><div class=story><p>one short block</p></div><div class=report><p>{LONG}</p></div><div class=foot><p>usual words at the foot</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", usual.replace("<div class=foot>", "<div class='foot'>")) for i in range(5)] + [(9, "http://h.example/9", odd)]
+    texts = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert "one short block" in texts[9] and LONG.strip() in texts[9]
+    assert all(LONG.strip() in texts[i] for i in range(5))
