@@ -8,8 +8,9 @@ every page is extracted anew with the winning path of its host. A page with cont
 places where the winner's pages usually have no text, uses the common container of both; text at the usual places stays out.
 
 Text blocks are cut at block elements, never at ``<br>``. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out by element name or by class and id words. Broken markup is read
-leniently: missing end tags, stray end tags, a page cut off in the middle.
+scripts, styles and reader comments are left out by element name, or by the last part of a class, id or role if the
+element holds less than half of the page's text outside links; if nothing would be left, all of it stays. Broken markup
+is read leniently: missing end tags, stray end tags, a page cut off in the middle.
 
 Defined cases: null or empty html gives an empty text. Pages without a host in their URL (or with a null URL) vote
 together. Ties between paths go to the path that sorts first. Rows that repeat an id are extracted each. An empty
@@ -42,13 +43,17 @@ SKIP_WORDS = frozenset(
     "disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination "
     "popup promo promotion recommended related replies reply search share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split())
+# Parts that only name the frame of what the part before them says, and parts after which a word says what the page has.
+FRAMES = frozenset(
+    "area bar block box container holder inner item items links list outer panel section slot unit widget widgets wrap wrapper".split())
+NEGATIONS = frozenset("has no with without".split())
 CLOSES_P = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "li"} | {"li", "dd", "dt"}
 # Elements that end where a sibling of the same family begins, and the elements that such an end does not reach beyond.
 FAMILIES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 # Containers that can be the main one: a list, table or quote is part of the text around it.
 CHOSEN = frozenset("html body div section article main center".split())
-SHARE, CONTENT = 0.75, 25
+SHARE, CONTENT, MARKED_SHARE = 0.75, 25, 0.5
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
@@ -58,40 +63,53 @@ _WORDS = re.compile(r"[^a-z]+")
 
 
 def _marks(rest: str):
-    """First class without digits, and whether class or id names something that is not main text."""
-    first, words = "", set()
+    """First class without digits, and whether class, id or role name something that is usually not main text: a token
+    whose last part, words like "box" aside, is such a word. "has-sidebar" speaks of something else on the page."""
+    first, marked = "", False
     if "=" in rest:
         for name, value in _CLASS.findall(rest):
-            value = value.strip("\"'").lower()
-            words.update(_WORDS.split(value))
-            if name.lower() == "class" and value.split():
-                first = re.sub(r"[^a-z_-]", "", value.split()[0])
-    return first, not words.isdisjoint(SKIP_WORDS)
+            for token in value.strip("\"'").lower().split():
+                parts = [part for part in _WORDS.split(token) if len(part) > 1]
+                while len(parts) > 1 and parts[-1] in FRAMES:
+                    parts.pop()
+                marked = marked or (bool(parts) and parts[-1] in SKIP_WORDS and NEGATIONS.isdisjoint(parts))
+            if name.lower() == "class" and value.strip("\"'").split():
+                first = re.sub(r"[^a-z_-]", "", value.strip("\"'").lower().split()[0])
+    return first, marked
+
+
+def _left_out(pieces, above):
+    """Numbers of the marked elements that are left out, with those inside them."""
+    held, total = [0] * len(above), 0
+    for text, _, mark, link, _ in pieces:
+        if not link:
+            total += len(text.strip())
+            held[mark] += len(text.strip())
+    for mark in range(len(above) - 1, 0, -1):  # elements inside have larger numbers
+        held[above[mark]] += held[mark]
+    out = set()
+    for mark in range(1, len(above)):
+        if above[mark] in out or held[mark] < MARKED_SHARE * total or not held[mark]:
+            out.add(mark)
+    kept = any(text.strip() and not link and mark not in out for text, _, mark, link, _ in pieces)
+    return out if kept or not total else set()
 
 
 def blocks(page: str):
     """(path, text, link characters, whether it is an h1) of every text block in page order, left-out parts excluded."""
-    stack = []  # (name, path of the container, left out, link)
-    parts, links, out, place, blank, title = [], 0, [], "", True, False
+    stack = []  # (name, path of the container, left out, link, number of the marked element around it)
+    above_mark = [0]  # of each marked element the one around it; 0 is the page
+    parts, pieces = [], []  # of the block that is being read, and of each block
 
     def flush():
-        nonlocal links, blank
-        text = " ".join("".join(parts).split())
-        if text:
-            out.append((place, text, links, title))
-        parts.clear()
-        links, blank = 0, True
+        if parts:
+            pieces.append(parts[:])
+            parts.clear()
 
     def add(raw):
-        nonlocal links, place, blank, title
         if raw and not (stack and stack[-1][2]):
-            text = html.unescape(raw)
-            if blank:
-                place, blank = stack[-1][1] if stack else "", not text.strip()
-                title = any(entry[0] == "h1" for entry in stack[-3:])
-            parts.append(text)
-            if stack and stack[-1][3]:
-                links += len(text.strip())
+            _, path, _, link, mark = stack[-1] if stack else ("", "", False, False, 0)
+            parts.append((html.unescape(raw), path, mark, link, any(entry[0] == "h1" for entry in stack[-3:])))
 
     def pop(depth):
         for name, *_ in stack[depth:]:
@@ -141,16 +159,27 @@ def blocks(page: str):
             continue
         if rest.endswith("/") and name not in BLOCKS:
             continue
-        above = stack[-1] if stack else ("", "", False, False)
-        first, left_out = _marks(rest)
-        path = above[1]
+        above = stack[-1] if stack else ("", "", False, False, 0)
+        first, marked = _marks(rest)
+        path, mark = above[1], above[4]
         if name in CONTAINERS:
             path = f"{path}/{name}.{first}" if first else f"{path}/{name}"
-        # A page may mark its body or article with any class: those two are never left out for it.
-        out_here = above[2] or name in SKIPPED or (left_out and name not in ("html", "body", "article", "main"))
-        if name in BLOCKS or name == "a" or out_here != above[2]:  # other inline elements change nothing
-            stack.append((name, path, out_here, above[3] or name == "a"))
+        out_here = above[2] or name in SKIPPED
+        # A page may mark its body or article with any class: those are never left out for it.
+        if marked and not out_here and name not in ("html", "body", "article", "main"):
+            above_mark.append(mark)
+            mark = len(above_mark) - 1
+        if name in BLOCKS or name == "a" or out_here != above[2] or mark != above[4]:  # other inline elements change nothing
+            stack.append((name, path, out_here, above[3] or name == "a", mark))
     flush()
+    gone = _left_out([piece for block in pieces for piece in block], above_mark) if len(above_mark) > 1 else set()
+    out = []
+    for block in pieces:
+        kept = [piece for piece in block if piece[2] not in gone] if gone else block
+        text = " ".join("".join(piece[0] for piece in kept).split())
+        if text:
+            head = next(piece for piece in kept if piece[0].strip())
+            out.append((head[1], text, sum(len(piece[0].strip()) for piece in kept if piece[3]), head[4]))
     return out
 
 

@@ -76,3 +76,13 @@ def test_page_of_another_template_is_kept_whole(spark):
     texts = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert "one short block" in texts[9] and LONG.strip() in texts[9]
     assert all(LONG.strip() in texts[i] for i in range(5))
+
+
+@pytest.mark.parametrize("mark", [
+    "class='content has-sidebar'", "class='layout no-comments'", "class='post share-enabled'", "class='page-with-banner'",
+    "id='content-search-results'", "class='sidebar'", "class='widget'", "role=search"])
+def test_a_word_does_not_remove_the_article(mark):
+    page = f"<body><div class=menu>short list</div><div {mark}><h1>Title</h1><p>{LONG}</p><div class='site-footer'>usual words at the foot</div></div></body>"
+    assert H.extract(page, None) == "Title\n" + LONG.strip()
+    small = f"<body><div class=news><div {mark.replace('sidebar', 'story').replace('widget', 'story').replace('role=search', '')}><p>{LONG[:90]}</p></div><p>{LONG}</p></div></body>"
+    assert H.extract(small, None) == LONG[:90].strip() + "\n" + LONG.strip()
