@@ -57,10 +57,14 @@ def l2(spark, sf):
     ))
 
 
+def scoring(frames):
+    """Chained behind the rolling features: raw frames to diagnosis in one stream. Late frames have no rolling features,
+    but forecast, risk and action need none: they are scored too, and ``late`` tells which they are."""
+    return live.scored(live.rolling_features(frames)).select(ROW_ID, policy.PRED, "risk_level", "mitigation_action", "late")
+
+
 def l3(spark, sf):
-    """Chained behind the rolling features: raw frames to diagnosis in one stream."""
-    scored = live.scored(live.rolling_features(_frames(spark, sf)).where("not late"))
-    return drain(scored.select(ROW_ID, policy.PRED, "risk_level", "mitigation_action"), spark)
+    return drain(scoring(_frames(spark, sf)).drop("late"), spark)
 
 
 def l4(spark, sf):

@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contract import data as d
+from contract import live_side
 from plantpulse.functions.numbers import dp
 from plantpulse.operators import alarms, control, drift, features, policy, regimes
 from plantpulse.schemas import DEVICE, DROP, EPOCH_MS, FRAMES, PROTOCOL, ROW_ID, RTT, TEMP
@@ -228,3 +229,12 @@ def test_event_log_marks_late_cycles(spark, frames, layout, tmp_path):
     assert late.isEmpty() == (kind != "by hash")
     expected = alarms.sequence_of_events(whole.join(late.select(ROW_ID), ROW_ID, "left_anti"))
     assert rows(log.where("not late"), DEVICE, ROW_ID, "tag") == rows(expected, DEVICE, ROW_ID, "tag")
+
+
+def test_late_frames_are_scored_too(spark, frames, layout, tmp_path):
+    kind, path = layout
+    got = run(live_side.scoring(source(spark, path)), spark, tmp_path)
+    late = live.late_rows(got).count()
+    assert (late == 0) == (kind != "by hash") and got.where("not late").count() + late == frames.count()
+    cols = (ROW_ID, policy.PRED, "risk_level", "mitigation_action")
+    assert rows(got, *cols) == rows(policy.diagnose(policy.score(frames)), *cols)
