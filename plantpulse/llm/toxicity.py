@@ -1,9 +1,11 @@
 """Toxicity of texts written plainly or in disguise: a noisy channel restores the words, a linear model scores them.
 
-A character trigram model is counted over all texts. A word with digits or symbols among its letters, letters repeated
-three times, or a run of single letters becomes a lattice: each character may stand for itself, for the letters it
-resembles, or for nothing. Viterbi decoding under the language model picks the cheapest reading. Restored words and
-their first 3 to 7 characters are the features. Those that are clearly associated with the label (likelihood ratio
+A character trigram model is counted over all texts. A word with digits or symbols among its letters or in place of all
+of them, a word with repeated letters, and a run of short tokens become a lattice: each character may stand for itself,
+for the letters it resembles, or for nothing, and each blank between short tokens may stay or go at a price. Viterbi
+decoding under the language model picks the cheapest reading. A word with a doubled letter counts as written too, a
+token of lookalikes only also letter by letter, and a run of three or more single characters also as one word.
+Restored words and their first 3 to 7 characters are the features. Those that are clearly associated with the label (likelihood ratio
 test) enter a logistic regression on presence in the text, so that long texts gather no noise from unrelated words.
 
 Learning uses a bounded hash sample of labelled rows of the training folds. Words already seen by a task are kept in a
@@ -11,8 +13,8 @@ table of bounded size.
 
 Defined cases: a null or empty text has no features and gets the base score. Rows that repeat an id are scored each.
 Without labelled training rows the score is 0.5; with one class only, the smoothed share of that class. Of several labels of one
-id the largest counts; null labels are ignored. Texts are split in chunks of about 1 MB at blanks; a run of single
-letters is joined within a chunk. An empty table gives an empty result. Other columns play no part.
+id the largest counts; null labels are ignored. Texts are split in chunks of about 1 MB at blanks; a run of short
+tokens is read within a chunk. An empty table gives an empty result. Other columns play no part.
 """
 
 import re
@@ -38,6 +40,9 @@ LOOKALIKES = {
     "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¡": "i", "§": "s",
 }
 LETTER_COST, DROP_COST, REPEAT_COST = 1.0, 6.0, 1.5
+# Length of tokens that may be parts of a word. Price of a blank that stays and of one that goes, between single
+# characters (where words are spaced out) and beside longer parts.
+SHORT, SPACED, APART = 3, (2.0, 0.0), (0.0, 2.0)
 SYMBOLS = 28  # 0 boundary, 1-26 letters, 27 any other letter
 
 _CODES = np.zeros(256, dtype=np.int32)
@@ -45,7 +50,7 @@ _CODES[97:123] = _CODES[65:91] = np.arange(1, 27)
 _CODES[128:] = 27
 _ENDS = ".,;:!?#%&*$\"')]}>|~^=_-"
 _STARTS = ".,;:?#%&*\"'([{<>~^=_-"
-_TRIPLE = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
 
 
 def trigram_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -92,8 +97,11 @@ class Restorer:
     def _readings(word: str, i: int):
         c = word[i]
         if "a" <= c <= "z":
-            run = i and word[i - 1] == c and (word[i + 1:i + 2] == c or word[max(0, i - 2):i] == c + c)
-            return [(c, 0.0), ("", REPEAT_COST)] if run else [(c, 0.0)]
+            return [(c, 0.0), ("", REPEAT_COST)] if i and word[i - 1] == c else [(c, 0.0)]
+        if c == " ":
+            single = word[max(0, i - 2):i - 1] in ("", " ") and word[i + 2:i + 3] in ("", " ")
+            stay, go = SPACED if single else APART
+            return [(c, stay), ("", go)]
         if c.isalpha():
             return [(c, 0.0)]
         return [(x, LETTER_COST) for x in LOOKALIKES.get(c, "")] + [("", DROP_COST if c in LOOKALIKES else 0.5)]
@@ -106,15 +114,17 @@ class Restorer:
             for (a, b), (cost, trail) in states.items():
                 row = self.costs[a][b]
                 for letter, price in readings:
-                    if letter:
-                        code = ord(letter) - 96 if "a" <= letter <= "z" else 27
+                    if letter == " " and not b:
+                        key, total, path = (a, b), cost + price, trail
+                    elif letter:
+                        code = 0 if letter == " " else ord(letter) - 96 if "a" <= letter <= "z" else 27
                         key, total, path = (b, code), cost + price + row[code], (trail, letter)
                     else:
                         key, total, path = (a, b), cost + price, trail
                     if key not in new or total < new[key][0]:
                         new[key] = (total, path)
             states = new
-        _, trail = min(((cost + self.costs[a][b][0], trail) for (a, b), (cost, trail) in states.items()), key=lambda s: s[0])
+        _, trail = min(((cost + (self.costs[a][b][0] if b else 0.0), trail) for (a, b), (cost, trail) in states.items()), key=lambda s: s[0])
         letters = []
         while trail:
             trail, letter = trail
@@ -122,30 +132,61 @@ class Restorer:
         return "".join(reversed(letters))
 
     def restore(self, word: str) -> str:
-        """A lower-case token without blanks as the word it stands for; empty if it has no letter."""
-        core = word.strip(_STARTS).rstrip(_ENDS) if not word.isalpha() else word
+        """A lower-case token without blanks as the word it stands for; empty if it has no letter and is not made of lookalikes."""
+        core = _core(word)
+        if core.isalpha():
+            return self.decode(core) if _DOUBLE.search(core) else core
+        return self.decode(core) if any(map(str.isalpha, core)) or _disguised(core) else ""
+
+    def words(self, token: str) -> set[str]:
+        """Words that a token or a run of short tokens stands for."""
+        if " " in token:
+            parts = token.split(" ")
+            last = len(parts) - 1
+            cores = [_core(part) or (part if part in LOOKALIKES and i < last else "") for i, part in enumerate(parts)]
+            return {word for word in self.decode(" ".join(filter(None, cores))).split(" ") if word}
+        found, core = {self.restore(token)}, _core(token)
         if core.isalpha():
-            return self.decode(core) if _TRIPLE.search(core) else core
-        return self.decode(core) if any(map(str.isalpha, core)) else ""
+            found.add(core)
+        elif _disguised(core):
+            found.add("".join(LOOKALIKES[c][0] for c in core))
+        return found
+
+
+def _disguised(word: str) -> bool:
+    return len(word) > 1 and all(c in LOOKALIKES for c in word)
+
+
+def _core(word: str) -> str:
+    """A token without the punctuation around it. Of tokens without a letter only what cannot be one goes, and ``!`` at the end."""
+    if word.isalpha():
+        return word
+    if not any(map(str.isalpha, word)):
+        bare = word.strip("".join(c for c in _STARTS + _ENDS if c not in LOOKALIKES))
+        bare = bare.rstrip("!") if len(bare.rstrip("!")) > 1 else bare
+        if _disguised(bare):
+            return bare
+    return word.strip(_STARTS).rstrip(_ENDS)
 
 
 def _tokens(text: str | None):
-    """Distinct tokens of a text, runs of three or more single characters joined."""
+    """Distinct tokens of a text, and its runs of short tokens with blanks between them; runs of three or more single characters also joined."""
     out: set[str] = set()
     for part in chunks((text or "").lower().encode()):
         words = part.decode(errors="ignore").split()
         out.update(words)
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) == 1
-        edges = np.flatnonzero(np.diff(sizes.view(np.int8), prepend=0, append=0))
-        out.update("".join(words[a:b]) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= 3)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        for longest, least, blank in ((SHORT, 2, " "), (1, 3, "")):
+            edges = np.flatnonzero(np.diff((sizes <= longest).view(np.int8), prepend=0, append=0)).tolist()
+            out.update(blank.join(words[a:b]) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= least)
+        # The first of many single characters may be a word of its own: they are read without it too.
+        out.update(" ".join(words[a + 1:b]) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= 4)
     return out
 
 
-def _features(word: str) -> list[int]:
-    """Hashes of a restored word and of its beginnings."""
-    if not word:
-        return []
-    keys = [b"=" + word.encode()] + [word[:k].encode() for k in range(3, min(8, len(word)))]
+def _features(words) -> list[int]:
+    """Hashes of restored words and of their beginnings."""
+    keys = {key for word in words if word for key in (b"=" + word.encode(), *(word[:k].encode() for k in range(3, min(8, len(word)))))}
     return [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
 
 
@@ -203,7 +244,7 @@ def _train(df: DataFrame, labels: DataFrame, restorer: Restorer, id_col, text_co
     docs = docs.join(F.broadcast(sample), "__id").select("__id", "__text", "__y")
 
     def count(batches):
-        known = Kept(lambda token: _features(restorer.restore(token)))
+        known = Kept(lambda token: _features(restorer.words(token)))
         for batch in batches:
             parts, sides = [], []
             for text, y in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -232,7 +273,7 @@ def _train(df: DataFrame, labels: DataFrame, restorer: Restorer, id_col, text_co
     model = LinearModel(sorted(chosen))
 
     def present(batches):
-        known = Kept(lambda token: [model.place[f] for f in _features(restorer.restore(token)) if f in model.place])
+        known = Kept(lambda token: [model.place[f] for f in _features(restorer.words(token)) if f in model.place])
         for batch in batches:
             rows = [sorted({p for token in _tokens(t.as_py()) for p in known(token)}) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32()))], names=["__id", "__y", "__p"])
@@ -251,7 +292,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def run(batches):
         nothing = ()
-        known = Kept(lambda token: tuple(model.place[f] for f in _features(restorer.restore(token)) if f in model.place) or nothing)
+        known = Kept(lambda token: tuple(model.place[f] for f in _features(restorer.words(token)) if f in model.place) or nothing)
         for batch in batches:
             scores = [model.score({p for token in _tokens(t.as_py()) for p in known(token)}) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["__id", "score"])

@@ -63,6 +63,19 @@ def test_restoration():
     assert "idiot" in toxicity._tokens("you i d i o t there")
 
 
+@pytest.mark.parametrize("text, found", [
+    ("you are a m o r o n", {"moron"}), ("i m o r o n", {"moron"}), ("y m o r o n then", {"moron"}), ("m o r o n i d i o t", {"moron", "idiot"}),
+    ("mo ron", {"moron"}), ("such an id iot", {"idiot"}), ("moroon", {"moron"}), ("iddiot", {"idiot"}), ("455", {"ass"}), ("@$$!", {"ass"}),
+    ("m 0 r 0 n", {"moron"}), ("of the", {"of", "the"})])
+def test_spaced_split_and_doubled_words(text, found):
+    words = ("the people say such things of the moron and an idiot then they go on to be in it or i am at home and a man is not you are as y " * 50).encode()
+    codes = toxicity._CODES[np.frombuffer(words, dtype=np.uint8)]
+    codes = np.concatenate([[0, 0], codes])
+    cells, counts = np.unique((codes[:-2] * 28 + codes[1:-1]) * 28 + codes[2:], return_counts=True)
+    restorer = toxicity.Restorer(toxicity.language_model(zip(cells, counts, strict=True)))
+    assert found <= {word for token in toxicity._tokens(text) for word in restorer.words(token)}
+
+
 def test_odd_rows(spark, odd, docs):
     labels = spark.createDataFrame([(4, 1, 0), (6, 0, 1), (None, 1, 1), (7, None, None), (4, 1, 0)], "doc_id long, quality int, toxic int")
     for out in (quality.score_quality(odd, labels), toxicity.score_toxicity(odd, labels)):
