@@ -59,6 +59,7 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|<[a-zA-Z/][^<]*\Z", re.S)
 _CLASS = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ARTICLE = re.compile(r"/(article|main)(?=[./]|$)")
 _WORDS = re.compile(r"[^a-z]+")
 
 
@@ -81,6 +82,9 @@ def _marks(rest: str):
 def _left_out(pieces, above):
     """Numbers of the marked elements that are left out, with those inside them."""
     held, total = [0] * len(above), 0
+    # Where an article or main element has unmarked text, marked elements beside it go whatever their size.
+    article = any(not mark and not link and text.strip() and _ARTICLE.search(path) for text, path, mark, link, _ in pieces)
+    beside = {mark for text, path, mark, _, _ in pieces if article and text.strip() and not _ARTICLE.search(path)}
     for text, _, mark, link, _ in pieces:
         if not link:
             total += len(text.strip())
@@ -89,7 +93,7 @@ def _left_out(pieces, above):
         held[above[mark]] += held[mark]
     out = set()
     for mark in range(1, len(above)):
-        if above[mark] in out or held[mark] < MARKED_SHARE * total or not held[mark]:
+        if above[mark] in out or mark in beside or held[mark] < MARKED_SHARE * total or not held[mark]:
             out.add(mark)
     kept = any(text.strip() and not link and mark not in out for text, _, mark, link, _ in pieces)
     return out if kept or not total else set()
