@@ -1,6 +1,8 @@
 """Queries of the corpus operators over the given tables, and their SQL where SQL can express them."""
 
-from plantpulse.llm import byte_bpe, exact_dedup, fuzzy_hash, html_text, jaccard_join, language, mixing, quality, sharding, toxicity
+from plantpulse.llm import (
+    alignment, byte_bpe, exact_dedup, fuzzy_hash, html_text, jaccard_join, language, mixing, quality,
+    sharding, toxicity)
 
 QUERIES = {
     "op1_language": language.query,
@@ -13,6 +15,7 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_sharding": sharding.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op13_alignment": alignment.query,
 }
 
 SQL = {
