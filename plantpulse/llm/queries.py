@@ -1,7 +1,7 @@
 """Queries of the corpus operators over the given tables, and their SQL where SQL can express them."""
 
 from plantpulse.llm import (
-    alignment, byte_bpe, exact_dedup, fuzzy_hash, html_text, jaccard_join, language, mixing, quality,
+    alignment, byte_bpe, exact_dedup, fuzzy_hash, html_text, jaccard_join, language, lexical_search, mixing, quality,
     sharding, toxicity)
 
 QUERIES = {
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_sharding": sharding.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op12_lexical_search": lexical_search.query,
     "op13_alignment": alignment.query,
 }
 
 SQL = {
     "op5_jaccard_join": jaccard_join.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op12_lexical_search": lexical_search.SQL,
 }
