@@ -2,7 +2,7 @@
 
 from plantpulse.llm import (
     alignment, byte_bpe, exact_dedup, fuzzy_hash, html_text, jaccard_join, language, lexical_search, mixing, quality,
-    sharding, toxicity)
+    sharding, toxicity, vector_dedup)
 
 QUERIES = {
     "op1_language": language.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_sharding": sharding.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_vector_dedup": vector_dedup.query,
     "op12_lexical_search": lexical_search.query,
     "op13_alignment": alignment.query,
 }
@@ -22,5 +23,6 @@ QUERIES = {
 SQL = {
     "op5_jaccard_join": jaccard_join.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_vector_dedup": vector_dedup.SQL,
     "op12_lexical_search": lexical_search.SQL,
 }
