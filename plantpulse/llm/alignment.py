@@ -19,6 +19,8 @@ each counts. A null id is kept. An empty table gives an empty result. Texts are
 import hashlib
 import json
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,12 @@ PIECE, BATCH_BYTES = 1024, 4 << 20
 # Bound of the pairs that a join may broadcast (about 40 MB).
 MAX_FREQUENT = 400_000
 
+# Distinct words a task remembers before it starts anew.
+MAX_KNOWN = 1_000_000
+# The pattern of byte-level tokenizers, and characters whose classes no version of Unicode has changed.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WELL_KNOWN = re.compile("[\t\n\r -~\u00c0-\u017f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026]*")
+
 _loaded: dict[tuple, object] = {}
 
 
@@ -70,10 +78,33 @@ def byte_level(path: str):
                    if all(c in letters for c in token)}
         entries |= {x["id"]: x["content"].encode() for x in described.get("added_tokens", ()) if x["id"] not in entries}
         vocabulary = Vocabulary([entries.get(i, b"") for i in range(max(entries) + 1)])
-        _loaded["a", path] = (lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)], vocabulary)
+        _loaded["a", path] = (_by_words(lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)], described), vocabulary)
     return _loaded["a", path]
 
 
+def _by_words(encode, described: dict):
+    """``encode`` for many texts that share words. The tokenizer cuts a text by a pattern and encodes each match alone;
+    texts of well-known characters are cut here, and each distinct match is encoded once. All other texts, and all
+    texts of a tokenizer that is set up in another way, go to the library whole."""
+    cutter = described.get("pre_tokenizer") or {}
+    if described.get("normalizer") or cutter.get("type") != "ByteLevel" or not cutter.get("use_regex") or cutter.get("add_prefix_space"):
+        return encode
+    import regex
+    pattern = regex.compile(BYTE_LEVEL_PATTERN)
+    known: dict[str, list[int]] = {}
+
+    def cached(texts):
+        cut = [pattern.findall(t) if _WELL_KNOWN.fullmatch(t) else None for t in texts]
+        if len(known) > MAX_KNOWN:
+            known.clear()
+        new = list({w for words in cut if words is not None for w in words} - known.keys())
+        known.update(zip(new, encode(new), strict=True))
+        others = iter(encode([t for t, words in zip(texts, cut, strict=True) if words is None]))
+        return [next(others) if words is None else list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
+
+    return cached
+
+
 def pieces_of(path: str):
     """(encode, vocabulary) of a piece model file."""
     if ("b", path) not in _loaded:

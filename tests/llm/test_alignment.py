@@ -109,3 +109,19 @@ def test_piece_size_changes_nothing(monkeypatch):
     texts = ["The quick brown fox, über 12345 漢字 " * 40, None, "", "short", "a" * 500]
     views = [[(*r[:4], list(r[4]), list(r[5])) for r in A.aligned_batch(texts, encode_a, a, encode_b, b, piece)] for piece in (3, 100, 10**5)]
     assert views[0] == views[1] == views[2]
+
+
+def test_words_encode_as_whole_texts():
+    """Cutting a text and encoding each match alone gives what the library gives for the whole text."""
+    import random
+
+    from tokenizers import Tokenizer
+    model = Tokenizer.from_file(PATH_A)
+    model.encode_special_tokens = True
+    rng = random.Random(1)
+    parts = ["'s", "'ll", "'", "don't", "été", "ñandú", "¿", "漢字", "かな", "カナ", "12", "½", "\t", "\n", " ", "  ", "   \n", "!?", "x" * 50, "<|endoftext|>",
+             "“q”", "—", "\u00a0", "\u2028", "\x1c", "🙂", "a\u0301", "×", "÷", "THE", "the", "\r\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(600)]
+    encode, _ = A.byte_level(PATH_A)
+    assert encode(texts) == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode(texts) == encode(texts)
