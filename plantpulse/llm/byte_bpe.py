@@ -5,14 +5,15 @@ look-up costs the same for any vocabulary. ``merged`` folds over the bytes of on
 the rank of each neighbouring pair; every step joins the leftmost pair of lowest rank and looks up the two new pairs.
 
 Words are cut by the tokenizer's pattern. All distinct words are counted over all texts; the most frequent ones, up to
-``MAX_WORDS``, are folded once, and their ids become a second literal table of bounded size. Other words, each of which is rare,
-are folded where they stand. That changes no id: a word has one encoding wherever it is computed. Texts are never
-shuffled.
+``MAX_WORDS``, are folded once, and what a text needs of them (their packed ids and the bytes these decode to) becomes a
+second literal table of bounded size. Other words, each of which is rare, are folded where they stand. That changes no
+id: a word has one encoding wherever it is computed. Texts are never shuffled. The binary pieces of a text are
+concatenated as a tree (``FAN`` at a time), so a long text costs in proportion to its length.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string. Special tokens are ordinary text. Rows
 that repeat an id are encoded each. An empty table gives an empty result. The cost of one fold grows with the square
-of the length of a word (white space and letter runs of 100,000 bytes take seconds), its memory linearly. Other columns
-play no part.
+of the length of a word, its memory linearly: a run of 8,000 letters without a break takes about ten seconds, one of
+16,000 half a minute, one of 100,000 twenty minutes. Other columns play no part.
 """
 
 import base64
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from plantpulse.llm.common import table
 from plantpulse.session import checkpointed
 
-# Bound of the table of frequent words: at most this many entries (about 50 MB), in so many maps.
-MAX_WORDS, WORD_SLOTS = 1 << 20, 1 << 17
+# Bound of the table of frequent words: at most this many entries (about 15 MB), in so many maps.
+MAX_WORDS, WORD_SLOTS = 1 << 18, 1 << 16
+# Binary pieces that are joined at once.
+FAN = 64
 RANK_SLOTS = 1 << 13
 NO_RANK = 2147483647
 # Unicode white space as a character class. Java's \s covers ASCII only.
@@ -92,12 +95,12 @@ class Codec:
         size = max(ranks.values(), default=-1) + 1
         rows = spark.createDataFrame([(token.hex().upper(), rank) for token, rank in ranks.items()], "token string, rank int")
         self._ranks = as_literal(lookup_table(rows, "token", "rank", RANK_SLOTS))
-        pieces = [""] * size
+        pieces = [b""] * size
         for token, rank in ranks.items():
-            pieces[rank] = token.hex().upper()
-        numbers = [rank.to_bytes(4, "little").hex().upper() for rank in range(size)]
-        self._pieces = as_literal(spark.createDataFrame([(pieces,)], "pieces array<string>"))
-        self._numbers = as_literal(spark.createDataFrame([(numbers,)], "numbers array<string>"))
+            pieces[rank] = token
+        numbers = [rank.to_bytes(4, "little") for rank in range(size)]
+        self._pieces = as_literal(spark.createDataFrame([(pieces,)], "pieces array<binary>"))
+        self._numbers = as_literal(spark.createDataFrame([(numbers,)], "numbers array<binary>"))
 
         self.literals = [self._ranks, self._pieces, self._numbers]
 
@@ -144,11 +147,29 @@ class Codec:
 
     def decode(self, ids):
         """Bytes of an array of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal(self._pieces), i)), ""))
+        return concatenated(F.transform(ids, lambda i: F.get(literal(self._pieces), i)))
 
     def packed(self, ids):
         """Ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal(self._numbers), i)), ""))
+        return concatenated(F.transform(ids, lambda i: F.get(literal(self._numbers), i)))
+
+    def coded(self, word):
+        """What a text needs of a word: its ids packed, and the bytes that they decode to."""
+        return _bind(self.merged(word), lambda ids: F.struct(self.packed(ids).alias("packed"), self.decode(ids).alias("decoded")))
+
+
+def concatenated(pieces, levels: int = 3):
+    """All binary values of an array in one, joined ``FAN`` at a time on each of so many levels, then in a row."""
+    nothing = F.lit(b"")
+    row = lambda part: F.aggregate(part, nothing, lambda all_before, piece: F.concat(all_before, piece))
+    if not levels:
+        return row(pieces)
+
+    def halfway(part):
+        starts = F.sequence(F.lit(1), F.size(part), F.lit(FAN))
+        return F.when(F.size(part) <= FAN, part).otherwise(F.transform(starts, lambda k: row(F.slice(part, k, F.lit(FAN)))))
+
+    return _bind(pieces, lambda part: concatenated(halfway(part), levels - 1))
 
 
 def most_frequent(counted: DataFrame, max_words: int) -> DataFrame:
@@ -164,24 +185,24 @@ def most_frequent(counted: DataFrame, max_words: int) -> DataFrame:
     return counted.filter(level >= least) if least is not None else counted.limit(0)
 
 
-def encode(df: DataFrame, codec: Codec, text_col: str, max_words: int = MAX_WORDS):
-    """Column expression with the ids of ``text_col``, for use on ``df``."""
+def coded_words(df: DataFrame, codec: Codec, text_col: str, max_words: int = MAX_WORDS):
+    """Column expression with the coded words of ``text_col`` (an array of ``packed`` and ``decoded``), for use on ``df``."""
     counted = checkpointed(df.select(F.explode(codec.words(F.col(text_col))).alias("word")).groupBy("word").count())
-    known = checkpointed(most_frequent(counted, max_words).select("word", codec.merged(F.col("word")).alias("ids")))
-    words = as_literal(lookup_table(known, "word", "ids", WORD_SLOTS))
+    # Words are dealt out anew: the counts stand in few large files.
+    known = most_frequent(counted, max_words).select("word").repartition("word").select("word", codec.coded(F.col("word")).alias("coded"))
+    words = as_literal(lookup_table(checkpointed(known), "word", "coded", WORD_SLOTS))
     codec.literals.append(words)
-    one = lambda word: F.coalesce(look_up(words, word, WORD_SLOTS), codec.merged(word))
-    return F.flatten(F.transform(codec.words(F.col(text_col)), one))
+    return F.transform(codec.words(F.col(text_col)), lambda word: F.coalesce(look_up(words, word, WORD_SLOTS), codec.coded(word)))
 
 
-def token_digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """Id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row of ``df``."""
     codec = Codec(df.sparkSession, ranks, pattern)
-    coded = df.select(F.col(id_col).alias("__id"), encode(df, codec, text_col).alias("__ids"))
-    out = coded.select(
-        F.col("__id").alias(id_col), F.size("__ids").cast("long").alias("n_tokens"),
-        F.sha2(codec.packed(F.col("__ids")), 256).alias("ids_sha256"),
-        F.sha2(codec.decode(F.col("__ids")), 256).alias("decoded_sha256"))
+    coded = df.select(F.col(id_col).alias("__id"), coded_words(df, codec, text_col, max_words).alias("__coded"))
+    joined = coded.select("__id", concatenated(F.col("__coded.packed")).alias("__ids"), concatenated(F.col("__coded.decoded")).alias("__bytes"))
+    out = joined.select(
+        F.col("__id").alias(id_col), (F.length("__ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("__ids", 256).alias("ids_sha256"), F.sha2("__bytes", 256).alias("decoded_sha256"))
     drop_literals(df.sparkSession, codec.literals)
     return out
 

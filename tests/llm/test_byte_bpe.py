@@ -25,7 +25,7 @@ def expected(rows, ranks):
 
 
 def test_equals_the_library(spark, sf, docs, ranks):
-    given = [(r.doc_id, r.text) for r in table(spark, sf, "documents").limit(60).collect()]
+    given = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     strange = [
         "I'll we've it's 'tis  DON'T", "tabs\t\tand\n\n\nlines   \r\n end  ", "a b  c　\u0085d", "漢字かな交じり文 🙂🙃👩‍👩‍👧", "1234567890 ½ ² ٣٤",
         "<|endoftext|> plain", "x" * 700, "ab" * 400, " " * 300, "!?" * 200, "é" * 50, "\x00\x01\x1c\x1d", "Ǆ ﬁ ß ſ", "à́b", None, "", " ", "\n"]
@@ -36,14 +36,26 @@ def test_equals_the_library(spark, sf, docs, ranks):
 
 def test_rare_words_are_folded_in_place(docs, ranks):
     rows = [(1, "common common common rarely seen wordsmithery"), (2, "common unseenish")]
-    codec_rows = docs(rows)
-    codec = B.Codec(codec_rows.sparkSession, ranks, tokenizers.PATTERN)
-    ids = codec_rows.select("doc_id", B.encode(codec_rows, codec, "text", max_words=1).alias("ids"))
+    out = B.token_digests(docs(rows), ranks, tokenizers.PATTERN, max_words=1)
+    assert sorted(str(tuple(r)) for r in out.collect()) == expected(rows, ranks)
+
+
+def test_ids_and_bytes_of_a_column(docs, ranks):
+    rows = [(1, "wordsmithery of\nodd spellings, 漢字"), (2, "")]
+    codec = B.Codec(docs(rows).sparkSession, ranks, tokenizers.PATTERN)
+    ids = docs(rows).select("doc_id", B.F.flatten(B.F.transform(codec.words(B.F.col("text")), codec.merged)).alias("ids"))
     coder = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert {r.doc_id: r.ids for r in ids.collect()} == {d: coder.encode_ordinary(t) for d, t in rows}
-    back = ids.select(codec.decode(ids["ids"]).cast("string").alias("text"))
+    back = ids.select(codec.decode(ids["ids"]).cast("string").alias("text"), codec.packed(ids["ids"]).alias("packed"))
     assert {r.text for r in back.collect()} == {t for _, t in rows}
 
 
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 4096, 4097, 300_000])
+def test_concatenation_keeps_order(spark, n):
+    row = spark.range(1).select(B.F.transform(B.F.sequence(B.F.lit(0), B.F.lit(n)), lambda k: k.cast("string").cast("binary")).alias("x"))
+    row = row.select(B.F.slice("x", 1, n).alias("x"))
+    assert bytes(row.select(B.concatenated(B.F.col("x")).alias("y")).first().y) == "".join(map(str, range(n))).encode()
+
+
 def test_empty(docs, ranks):
     assert B.token_digests(docs([]), ranks, tokenizers.PATTERN).count() == 0
