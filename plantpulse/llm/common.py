@@ -36,6 +36,23 @@ def with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
+def row_key(id_col: str, text_col: str):
+    """Identity of a row for decisions about it: its id (nulls last in order) and the digest of its text. Unlike the id alone it
+    is never null, and rows that share it are the same document given several times."""
+    text = F.col(text_col)
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.isNull().alias("empty"),
+                    F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("text"))
+
+
+def packed(df: DataFrame, **more) -> DataFrame:
+    """The rows of ``df`` as one struct column ``doc`` beside the given columns, so that no name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), *[column.alias(name) for name, column in more.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"doc.`{c}`") for c in columns])
+
+
 def positions(df: DataFrame, order: list, key: list[str], sums: dict[str, str]) -> DataFrame:
     """Adds to each row its place in the global order within its ``key`` columns, without sorting a key in one task.
 

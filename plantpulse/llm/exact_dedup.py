@@ -11,13 +11,14 @@ default of 2**27). Above about 10 million rows they fill up and more rows shuffl
 Defined cases: a null text is an empty text, and all texts that are empty after removing white space are one group.
 Of equal texts the one with the most code points stays, then the smallest id; a null id comes last. Rows that repeat
 an id with the same text are one document given several times: each counts in ``group_size`` and all share one
-verdict. Empty tables give empty results. Other columns play no part; ``drop_copies`` returns them unchanged.
+verdict; ``drop_copies`` returns one of them. Empty tables give empty results. Other columns play no part and may have any
+name; ``drop_copies`` returns them unchanged.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantpulse.llm.common import BLANKS, join_groups, table
+from plantpulse.llm.common import BLANKS, join_groups, packed, table, unpacked
 from plantpulse.session import checkpointed
 
 MAX_CELLS = 1 << 27
@@ -99,10 +100,14 @@ def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS) -> DataFrame:
-    """The rows of ``df`` that stay, with the columns of ``df``. Texts that cannot have a copy are not shuffled."""
+    """The rows of ``df`` that stay, with the columns of ``df``, whatever they are called: one row of every group, also
+    where rows repeat id and text. Texts that cannot have a copy are not shuffled."""
     copies = Copies(df, id_col, text_col, max_cells)
-    rows = df.select("*", F.col(id_col).alias("__id"), *digest_columns(text_col))
-    return copies.judged(rows).filter(_kept()).select(*[F.col(f"`{c}`") for c in df.columns])
+    sha, length = digest_columns(text_col)
+    kept = copies.judged(packed(df, __id=F.col(id_col), __sha=sha, __length=length)).filter(_kept())
+    alone = kept.filter(F.col("__size") == 1)
+    one = kept.filter(F.col("__size") > 1).groupBy("__sha").agg(F.first("doc").alias("doc"))
+    return unpacked(alone.select("doc").unionByName(one.select("doc")), df.columns)
 
 
 def query(spark, sf_dir):

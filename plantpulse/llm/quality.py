@@ -70,9 +70,9 @@ def features(text: str | None) -> np.ndarray:
         counts[6] / solid, counts[7] / solid, counts[8] / solid, distinct / w, repeats / w, ends / w, short / w, lines / w])
 
 
-def feature_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id and features of every row, written once."""
-    small = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+def feature_table(df: DataFrame, id_col: str, text_col: str, carry: str | None = None) -> DataFrame:
+    """Id and features of every row, written once; ``__key`` is the column to carry along."""
+    small = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), (F.col(carry) if carry else F.lit(0)).alias("__key"))
 
     def run(batches):
         for batch in batches:
@@ -80,10 +80,10 @@ def feature_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             flat = np.concatenate(rows) if rows else np.zeros(0)
             offsets = np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["__id", "__x"])
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), batch.column(2)], names=["__id", "__x", "__key"])
 
-    kind = small.schema["__id"].dataType.simpleString()
-    return checkpointed(small.mapInArrow(run, f"__id {kind}, __x array<double>"))
+    kind, key = (small.schema[c].dataType.simpleString() for c in ("__id", "__key"))
+    return checkpointed(small.mapInArrow(run, f"__id {kind}, __x array<double>, __key {key}"))
 
 
 def _sigmoid(z):
@@ -194,21 +194,21 @@ def train(vectors: DataFrame, labels: DataFrame, label_col: str, label_id: str =
 
 
 def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-                  threshold: float = THRESHOLD) -> DataFrame:
-    """Id, ``held_out``, ``score`` and ``predicted`` of every row of ``df``."""
-    vectors = feature_table(df, id_col, text_col)
+                  threshold: float = THRESHOLD, carry: str | None = None) -> DataFrame:
+    """Id, ``held_out``, ``score`` and ``predicted`` of every row of ``df``, and the column ``carry`` if one is named."""
+    vectors = feature_table(df, id_col, text_col, carry)
     model = train(vectors, labels, label_col)
 
     def run(batches):
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES)) if len(batch) else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["__id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x)), batch.column(2)], names=["__id", "score", "__key"])
 
-    kind = vectors.schema["__id"].dataType.simpleString()
-    scored = vectors.mapInArrow(run, f"__id {kind}, score double")
+    kind, key = (vectors.schema[c].dataType.simpleString() for c in ("__id", "__key"))
+    scored = vectors.mapInArrow(run, f"__id {kind}, score double, __key {key}")
     return scored.select(
         F.col("__id").alias(id_col), (fold("__id", FOLDS) == HELD_OUT).alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"))
+        (F.col("score") >= threshold).cast("int").alias("predicted"), *([F.col("__key").alias(carry)] if carry else []))
 
 
 def query(spark, sf_dir):

@@ -47,3 +47,10 @@ def test_drop_copies_keeps_columns(odd):
 def test_empty(docs):
     assert exact_dedup.verdicts(docs([])).count() == 0
     assert exact_dedup.drop_copies(docs([])).count() == 0
+
+
+def test_drop_copies_keeps_one_of_repeated_rows_and_any_column_name(spark):
+    rows = [(1, "a b", "x", "y", "z"), (1, "a b", "x", "y", "z"), (2, "ab", "x", "y", "z"), (3, "c", "x", "y", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string, __size string, `odd.name` string")
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[3]]
