@@ -13,7 +13,8 @@ table of bounded size.
 
 Defined cases: a null or empty text has no features and gets the base score. Rows that repeat an id are scored each.
 Without labelled training rows the score is 0.5; with one class only, the smoothed share of that class. Of several labels of one
-id the largest counts; null labels are ignored. Texts are split in chunks of about 1 MB at blanks; a run of short
+id the largest counts; null labels are ignored. Words are decoded if they hold digits, symbols or repeated letters; plain
+ones stay. A blank or a doubled letter whose choice depends on nothing but the letters beside it is decided from them. Texts are split in chunks of about 1 MB at blanks; a run of short
 tokens is read within a chunk. An empty table gives an empty result. Other columns play no part.
 """
 
@@ -50,7 +51,11 @@ _CODES[97:123] = _CODES[65:91] = np.arange(1, 27)
 _CODES[128:] = 27
 _ENDS = ".,;:!?#%&*$\"')]}>|~^=_-"
 _STARTS = ".,;:?#%&*\"'([{<>~^=_-"
-_DOUBLE = re.compile(r"(.)\1")
+_DOUBLE, _TRIPLE = re.compile(r"([a-z])\1"), re.compile(r"([a-z])\1\1")
+
+
+def _code(letter: str) -> int:
+    return ord(letter) - 96 if "a" <= letter <= "z" else 27
 
 
 def trigram_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -92,6 +97,7 @@ class Restorer:
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
+        self.blanks: dict[tuple[str, str], bool] = {}  # by the two letters on either side: bounded by the letters there are
 
     @staticmethod
     def _readings(word: str, i: int):
@@ -131,11 +137,47 @@ class Restorer:
             letters.append(letter)
         return "".join(reversed(letters))
 
+    def single(self, word: str) -> str:
+        """``decode`` of letters only. A doubled letter is kept or dropped; whichever is cheaper follows from the letters
+        around it, as the two readings agree in all that comes later. Longer repeats take the lattice."""
+        if _TRIPLE.search(word):
+            return self.decode(word)
+        out, start = [], 0
+        for found in _DOUBLE.finditer(word):
+            i = found.start()
+            before, letter, after = _code(word[i - 1]) if i else 0, _code(word[i]), _code(word[i + 2]) if i + 2 < len(word) else 0
+            if self.costs[before][letter][letter] + self.costs[letter][letter][after] > self.costs[before][letter][after] + REPEAT_COST:
+                out.append(word[start:i + 1])
+                start = i + 2
+        return "".join(out) + word[start:]
+
+    def parted(self, parts: list[str]) -> list[str]:
+        """``decode`` of parts between blanks, as words. Between parts of letters, of which only the outer ones may be single
+        characters, each blank is decided alone: what stays and what goes differs in the letters next to it only."""
+        if len(parts) < 2 or min(map(len, parts[1:-1]), default=2) < 2 or not all(map(str.isalpha, parts)) or any(map(_DOUBLE.search, parts)):
+            return self.decode(" ".join(parts)).split(" ")
+        words = [parts[0]]
+        for k in range(1, len(parts)):
+            left, right = parts[k - 1], parts[k]
+            key = (left[-2:], right[:2])
+            stays = self.blanks.get(key)
+            if stays is None:
+                a, b = _code(left[-2]) if len(left) > 1 else 0, _code(left[-1])
+                c, d = _code(right[0]), _code(right[1]) if len(right) > 1 else 0
+                stay, go = SPACED if len(left) == len(right) == 1 else APART
+                cost = self.costs
+                stays = self.blanks[key] = (stay + cost[a][b][0] + cost[b][0][c] + cost[0][c][d] <= go + cost[a][b][c] + cost[b][c][d])
+            if stays:
+                words.append(right)
+            else:
+                words[-1] += right
+        return words
+
     def restore(self, word: str) -> str:
         """A lower-case token without blanks as the word it stands for; empty if it has no letter and is not made of lookalikes."""
         core = _core(word)
         if core.isalpha():
-            return self.decode(core) if _DOUBLE.search(core) else core
+            return self.single(core) if _DOUBLE.search(core) else core
         return self.decode(core) if any(map(str.isalpha, core)) or _disguised(core) else ""
 
     def words(self, token: str) -> set[str]:
@@ -144,7 +186,7 @@ class Restorer:
             parts = token.split(" ")
             last = len(parts) - 1
             cores = [_core(part) or (part if part in LOOKALIKES and i < last else "") for i, part in enumerate(parts)]
-            return {word for word in self.decode(" ".join(filter(None, cores))).split(" ") if word}
+            return {word for word in self.parted(list(filter(None, cores))) if word}
         found, core = {self.restore(token)}, _core(token)
         if core.isalpha():
             found.add(core)

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import numpy as np
 import pytest
 
@@ -96,3 +99,46 @@ def test_other_columns_play_no_part(spark, odd):
     first = quality.score_quality(odd, labels).select("doc_id", "score")
     second = quality.score_quality(odd.drop("lang", "source", "score"), labels).select("doc_id", "score")
     assert first.exceptAll(second).isEmpty()
+
+
+def costs_of(words):
+    codes = np.concatenate([[0, 0], toxicity._CODES[np.frombuffer(words.encode(), dtype=np.uint8)]])
+    cells, counts = np.unique((codes[:-2] * 28 + codes[1:-1]) * 28 + codes[2:], return_counts=True)
+    return toxicity.language_model(zip(cells, counts, strict=True))
+
+
+def cheapest(costs, word):
+    """Cheapest reading of a lattice by trying all of them: (cost, readings that reach it)."""
+    best, found = np.inf, set()
+    for path in itertools.product(*(toxicity.Restorer._readings(word, i) for i in range(len(word)))):
+        a = b = total = 0
+        letters = ""
+        for letter, price in path:
+            total += price
+            if letter and (letter != " " or b):
+                code = 0 if letter == " " else ord(letter) - 96 if "a" <= letter <= "z" else 27
+                total += costs[a][b][code]
+                a, b, letters = b, code, letters + letter
+        total += costs[a][b][0] if b else 0.0
+        if total < best - 1e-9:
+            best, found = total, set()
+        if total < best + 1e-9:
+            found.add(letters)
+    return best, found
+
+
+def test_lattice_equals_trying_all_readings():
+    costs = costs_of("the people say such things of the moron and an idiot then they all go on too to be in it or i am at home ass bitter " * 50)
+    restorer = toxicity.Restorer(costs)
+    rng = random.Random(2)
+    for _ in range(600):
+        word = "".join(rng.choices("tthheenmoorr0134$|!sé", k=rng.randrange(1, 7)))
+        assert restorer.decode(word) in cheapest(costs, word)[1]
+    for _ in range(600):
+        word = "".join(rng.choices("theenmoorrssaé", k=rng.randrange(2, 9)))
+        if word.isalpha() and len(toxicity._DOUBLE.findall(word)) < 5:
+            assert restorer.single(word) in cheapest(costs, word)[1]
+    for _ in range(600):
+        parts = ["".join(rng.choices("thenmorisaé0", k=rng.randrange(1, 4))) for _ in range(rng.randrange(2, 5))]
+        readings = {" ".join(r.split(" ")) for r in cheapest(costs, " ".join(parts))[1]}
+        assert " ".join(restorer.parted(parts)) in readings
