@@ -19,10 +19,11 @@ tokens is read within a chunk. An empty table gives an empty result. Other colum
 """
 
 import re
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,6 +188,8 @@ class Restorer:
             last = len(parts) - 1
             cores = [_core(part) or (part if part in LOOKALIKES and i < last else "") for i, part in enumerate(parts)]
             return {word for word in self.parted(list(filter(None, cores))) if word}
+        if token.isalpha() and not _DOUBLE.search(token):
+            return {token}
         found, core = {self.restore(token)}, _core(token)
         if core.isalpha():
             found.add(core)
@@ -226,32 +229,34 @@ def _tokens(text: str | None):
     return out
 
 
-def _features(words) -> list[int]:
-    """Hashes of restored words and of their beginnings."""
-    keys = {key for word in words if word for key in (b"=" + word.encode(), *(word[:k].encode() for k in range(3, min(8, len(word)))))}
-    return [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
+def _features(words) -> set[str]:
+    """Restored words, marked, and their beginnings."""
+    return {key for word in words if word for key in ("=" + word, *(word[:k] for k in range(3, min(8, len(word)))))}
 
 
-class Kept:
+class Kept(dict):
     """Remembers the value of a function for a bounded number of tokens."""
 
     def __init__(self, function, limit=KEPT_WORDS):
-        self.function, self.limit, self.known = function, limit, {}
-
-    def __call__(self, token):
-        value = self.known.get(token)
-        if value is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            value = self.known[token] = self.function(token)
+        super().__init__()
+        self.function, self.limit = function, limit
+
+    def __missing__(self, token):
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[token] = self.function(token)
         return value
 
+    def all(self, tokens) -> set:
+        return set(chain.from_iterable(map(self.__getitem__, tokens)))
+
 
 class LinearModel:
     """Logistic regression on the presence of chosen features."""
 
     def __init__(self, features=(), weights=None, bias=0.0):
-        self.place = {int(f): i for i, f in enumerate(features)}
+        self.place = {f: i for i, f in enumerate(features)}
+        self.heads = {f.removeprefix("=")[:3] for f in features}  # most words begin like no feature
         self.weights = np.zeros(len(self.place)) if weights is None else weights
         self.bias = bias
 
@@ -273,6 +278,11 @@ class LinearModel:
         self.weights, self.bias = theta[:-1], float(theta[-1])
         return self
 
+    def places(self, words) -> tuple[int, ...]:
+        """Places of the features that the words have."""
+        near = [w for w in words if w[:3] in self.heads]
+        return tuple(self.place[f] for f in _features(near) & self.place.keys()) if near else ()
+
     def score(self, places) -> float:
         z = self.bias + float(self.weights[sorted(places)].sum()) if places else self.bias
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
@@ -288,16 +298,14 @@ def _train(df: DataFrame, labels: DataFrame, restorer: Restorer, id_col, text_co
     def count(batches):
         known = Kept(lambda token: _features(restorer.words(token)))
         for batch in batches:
-            parts, sides = [], []
+            both, ones = Counter(), Counter()
             for text, y in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                found = {f for token in _tokens(text.as_py()) for f in known(token)}
-                parts.append(np.fromiter(found, dtype=np.int64, count=len(found)))
-                sides.append(np.full(len(found), y, dtype=np.int64))
-            if parts:
-                features, at = np.unique(np.concatenate(parts), return_inverse=True)
-                ones = np.bincount(at, np.concatenate(sides), len(features)).astype(np.int64)
-                both = np.bincount(at, minlength=len(features))
-                yield pa.RecordBatch.from_arrays([pa.array(features), pa.array(ones), pa.array(both)], names=["feature", "ones", "both"])
+                found = known.all(_tokens(text.as_py()))
+                both.update(found)
+                ones.update(found if y else ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(both), pa.string()), pa.array([ones[f] for f in both], pa.int64()), pa.array(list(both.values()), pa.int64())],
+                names=["feature", "ones", "both"])
 
     sides = sample.groupBy("__y").count().collect()  # two rows
     n1 = float(sum(r["count"] for r in sides if r["__y"]))
@@ -308,16 +316,16 @@ def _train(df: DataFrame, labels: DataFrame, restorer: Restorer, id_col, text_co
     if 0 < n1 < n:
         statistic = (term(a, k * n1 / n) + term(k - a, k * (n - n1) / n)
                      + term(n1 - a, (n - k) * n1 / n) + term(n - n1 - k + a, (n - k) * (n - n1) / n))
-        counted = docs.mapInArrow(count, "feature long, ones long, both long").groupBy("feature").agg(
+        counted = docs.mapInArrow(count, "feature string, ones long, both long").groupBy("feature").agg(
             F.sum("ones").alias("ones"), F.sum("both").alias("both"))
         best = counted.filter((k >= MIN_TEXTS) & (k < n)).withColumn("g", statistic).filter(F.col("g") >= MIN_ASSOCIATION)
         chosen = [r.feature for r in best.orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).collect()]
     model = LinearModel(sorted(chosen))
 
     def present(batches):
-        known = Kept(lambda token: [model.place[f] for f in _features(restorer.words(token)) if f in model.place])
+        known = Kept(lambda token: model.places(restorer.words(token)))
         for batch in batches:
-            rows = [sorted({p for token in _tokens(t.as_py()) for p in known(token)}) for t in batch.column(1)]
+            rows = [sorted(known.all(_tokens(t.as_py()))) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32()))], names=["__id", "__y", "__p"])
 
     kind = docs.schema["__id"].dataType.simpleString()
@@ -333,10 +341,9 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     small = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
 
     def run(batches):
-        nothing = ()
-        known = Kept(lambda token: tuple(model.place[f] for f in _features(restorer.words(token)) if f in model.place) or nothing)
+        known = Kept(lambda token: model.places(restorer.words(token)))
         for batch in batches:
-            scores = [model.score({p for token in _tokens(t.as_py()) for p in known(token)}) for t in batch.column(1)]
+            scores = [model.score(known.all(_tokens(t.as_py()))) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["__id", "score"])
 
     kind = small.schema["__id"].dataType.simpleString()
