@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -86,3 +87,34 @@ def test_a_word_does_not_remove_the_article(mark):
     assert H.extract(page, None) == "Title\n" + LONG.strip()
     small = f"<body><div class=news><div {mark.replace('sidebar', 'story').replace('widget', 'story').replace('role=search', '')}><p>{LONG[:90]}</p></div><p>{LONG}</p></div></body>"
     assert H.extract(small, None) == LONG[:90].strip() + "\n" + LONG.strip()
+
+
+@pytest.mark.parametrize("name", [
+    "sidebar-left", "nav-primary", "header-top", "related-posts", "share-buttons", "comment-thread", "ad-leaderboard",
+    "cookie-consent-dialog", "adsbygoogle", "social-media", "user-reviews", "comments", "sidebar", "post-comments", "main-nav"])
+@pytest.mark.parametrize("inside", [False, True])
+def test_named_parts_are_left_out_whatever_their_size(name, inside):
+    article, other = f"<h1>Title</h1><p>{LONG[:150]}</p>", f"<section class='x {name}'><p>{LONG * 5}</p></section>"
+    page = f"<article>{article}{other}</article>" if inside else f"<div class=post>{article}</div>{other}"
+    assert H.extract(page, None) == "Title\n" + LONG[:150].strip()
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p data-x=it's>Hello", "Hello"), ('<p><a href="x>link</a> and text of the page', "link and text of the page"),
+    ('<p title="a > b">shown</p>', "shown"), ("<p title='<b>'>shown</p>", "shown"), ("<p alt=\"it's\">one</p><p>it's two</p>", "one\nit's two"),
+    ("<div hidden><p>secret secret secret secret secret</p></div><p>open</p>", "open"), ("<p hidden='hidden'>no</p><p>open</p>", "open"),
+    ("<p style='color:red; display: none'>no</p><p>open</p>", "open"), ("<p class='hidden-gem'>open</p>", "open"),
+    ("<article><header><h1>Title</h1><p>by me</p></header><p>Body</p></article>", "Title\nBody"),
+    ("<header><h1>Site</h1></header><article><p>Body</p></article>", "Body"),
+    (f"<div class=comments><p>{LONG}</p></div>", ""),
+])
+def test_markup_and_hidden_parts(page, text):
+    assert H.extract(page, None) == text
+
+
+@pytest.mark.parametrize("page", ["<p>a<div></p>" * 5000, "<div>" * 20_000 + "<p>" + "word " * 100, "<ul><li>a" * 5000, "<div class=a>b" * 8000, '<p a="' * 8000])
+def test_cost_does_not_explode_with_depth(page):
+    start = time.process_time()
+    H.votes(page)
+    H.extract(page, 1, [2])
+    assert time.process_time() - start < 1.0
