@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from plantpulse.llm.common import table
 from plantpulse.session import checkpointed
 
-# Bound of the table of frequent words: at most this many entries (about 15 MB), in so many maps.
-MAX_WORDS, WORD_SLOTS = 1 << 18, 1 << 16
+# Bound of the table of frequent words: at most this many entries (about 40 MB), in so many maps.
+MAX_WORDS, WORD_SLOTS = 1 << 19, 1 << 17
 # Binary pieces that are joined at once.
 FAN = 64
 RANK_SLOTS = 1 << 13
@@ -145,17 +145,17 @@ class Codec:
 
         return _bind(F.hex(word), fold)
 
-    def decode(self, ids):
+    def decode(self, ids, levels: int = 3):
         """Bytes of an array of ids."""
-        return concatenated(F.transform(ids, lambda i: F.get(literal(self._pieces), i)))
+        return concatenated(F.transform(ids, lambda i: F.get(literal(self._pieces), i)), levels)
 
-    def packed(self, ids):
+    def packed(self, ids, levels: int = 3):
         """Ids as little-endian unsigned 32-bit integers."""
-        return concatenated(F.transform(ids, lambda i: F.get(literal(self._numbers), i)))
+        return concatenated(F.transform(ids, lambda i: F.get(literal(self._numbers), i)), levels)
 
     def coded(self, word):
         """What a text needs of a word: its ids packed, and the bytes that they decode to."""
-        return _bind(self.merged(word), lambda ids: F.struct(self.packed(ids).alias("packed"), self.decode(ids).alias("decoded")))
+        return _bind(self.merged(word), lambda ids: F.struct(self.packed(ids, 1).alias("packed"), self.decode(ids, 1).alias("decoded")))
 
 
 def concatenated(pieces, levels: int = 3):
