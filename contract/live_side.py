@@ -3,12 +3,16 @@
 from pyspark.sql import functions as F
 
 from contract import data as d
+from contract import model_file
 from contract.spark_side import r6
-from plantpulse.operators import drift, policy
-from plantpulse.schemas import DEVICE, DROP, EPOCH_MS, FRAMES, PROTOCOL, ROW_ID
+from contract.sql_side import SERVING, SOE, w
+from contract.sql_side import r6 as sql_r6
+from plantpulse.operators import attribution, drift, features, policy, tree_model
+from plantpulse.params import DEFAULTS
+from plantpulse.schemas import BUFFER, DEVICE, DROP, EPOCH_MS, FRAMES, PROTOCOL, ROW_ID
 from plantpulse.session import scratch_folder
 from plantpulse.sources import tables
-from plantpulse.streaming import live
+from plantpulse.streaming import live, merged
 
 
 def _frames(spark, sf):
@@ -57,6 +61,33 @@ def l2(spark, sf):
     ))
 
 
+def _merged(handler_of, spark, sf):
+    """Folder in which a handler of amended results has worked off the stream."""
+    path = scratch_folder(spark, "merged")
+    merged.drained(handler_of(path), _frames(spark, sf), scratch_folder(spark, "stream"))
+    return path
+
+
+def l2_merged(spark, sf):
+    """Late frames take their place: each later frame that looks back on them is amended."""
+    out = merged.newest(spark.read.parquet(_merged(merged.feature_changes, spark, sf) + "/changes"))
+    return r6(out.select(ROW_ID, "throughput_mean", "packet_drop_mean", "buffer_peak", "throughput_slope", "lag_latency_1", "lag_latency_2", "samples_in_window"))
+
+
+def l3_model(spark, sf):
+    """The stored model in the stream: amended features, forecast, the model's own attributions, diagnosis."""
+    scorer = tree_model.scorer(model_file.model(spark))
+    chain = lambda rows: policy.diagnose(policy.explained(features.serving_features(rows), scorer), "attributions")
+    out = merged.newest(spark.read.parquet(_merged(lambda path: merged.changes_of(chain, path, DEFAULTS.window_rows + 1), spark, sf) + "/changes"))
+    return r6(out.select(ROW_ID, policy.PRED, "risk_level", F.element_at("attributions", BUFFER).alias("buffer_ms"),
+                         F.element_at("attributions", DROP).alias("drop_ms"), F.element_at("attributions", attribution.BIAS).alias("bias_ms")))
+
+
+def l5_log_merged(spark, sf):
+    """Two chained stages: policy cycles with their look-back, and the event log behind them, with its texts."""
+    return merged.current_log(spark, _merged(merged.log_changes, spark, sf))
+
+
 def scoring(frames):
     """Chained behind the rolling features: raw frames to diagnosis in one stream. Late frames have no rolling features,
     but forecast, risk and action need none: they are scored too, and ``late`` tells which they are."""
@@ -114,5 +145,12 @@ def l9(spark, sf):
 QUERIES = {
     "A9_fan_out": a9, "L1_stream_frames": l1, "L2_stream_features": l2, "L3_stream_scoring": l3, "L4_stream_drift": l4,
     "L5_stream_debounce": l5_debounce, "L5_stream_event_log": l5_log, "L6_stream_heartbeat": l6,
+    "L2_stream_features_merged": l2_merged, "L3_stream_model_diagnosis": l3_model, "L5_stream_event_log_merged": l5_log_merged,
     "L7_stream_counters": l7, "L8_stream_centroids": l8, "L9_stream_replay": l9,
 }
+
+SQL = {
+    "L2_stream_features_merged": w(SERVING, f"select event_id, {sql_r6('throughput_mean', 'packet_drop_mean', 'buffer_peak', 'throughput_slope', 'lag_latency_1', 'lag_latency_2')}, samples_in_window from feat"),
+    "L3_stream_model_diagnosis": model_file.SQL["P2_model_diagnosis"],
+    "L5_stream_event_log_merged": w(SOE, "select device_id, timestamp_epoch_ms, event_id, tag, alarm_id, priority, quality, event from soe"),
+}

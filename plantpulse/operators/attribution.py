@@ -8,8 +8,9 @@ import itertools
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantpulse.functions.numbers import dp
 from plantpulse.schemas import MODEL_FEATURES
@@ -54,63 +55,99 @@ def _case_table(value, fractions):
     return table
 
 
+def leaves_of(nodes, weight, children, test, value):
+    """``(bias, leaves)`` of one tree. ``children(node)`` names the two children or None, ``test(node)`` gives (feature, cut,
+    whether missing values go left), rows with a value of at most ``cut`` go left. A leaf is ``(features, lows, highs,
+    missing passes, case table)``: a row passes feature j when its value lies in ``(low, high]``."""
+    leaves, bias, stack = [], 0.0, [(nodes[0], {})]
+    while stack:
+        node, path = stack.pop()
+        below = children(node)
+        if below is None:
+            held = weight * value(node)
+            fractions = [z for *_, z in path.values()]
+            bias += held * float(np.prod(fractions))
+            if path:
+                lows, highs, missing, _ = zip(*path.values(), strict=True)
+                leaves.append((list(path), list(lows), list(highs), list(missing), _case_table(held, fractions)))
+            continue
+        f, cut, missing_left = test(node)
+        lo, hi, passes, z = path.get(f, (-np.inf, np.inf, True, 1.0))
+        sides = ((lo, min(hi, cut), passes and missing_left), (max(lo, cut), hi, passes and not missing_left))
+        for child, bounds in zip(below, sides, strict=True):
+            kid = nodes[child]
+            stack.append((kid, {**path, f: (*bounds, z * kid["cover"] / node["cover"])}))
+    return bias, leaves
+
+
 def leaf_tables(model, spark):
-    """``(bias, leaves)``; a leaf is ``(features, lows, highs, case table)``: a row passes feature j when its
-    value lies in ``(low, high]``."""
+    """``(bias, leaves)`` of a fitted model; missing values go right at every test."""
     trees = _nodes(model, spark)
-    leaves, bias = [], 0.0
+    bias, leaves = 0.0, []
     for tree, weight in enumerate(model.treeWeights):
-        nodes = trees[tree]
-        stack = [(nodes[0], {})]
-        while stack:
-            node, path = stack.pop()
-            if node["leftChild"] < 0:
-                value = weight * node["prediction"]
-                fractions = [z for _, _, z in path.values()]
-                bias += value * float(np.prod(fractions))
-                if path:
-                    lows = [lo for lo, _, _ in path.values()]
-                    highs = [hi for _, hi, _ in path.values()]
-                    leaves.append((list(path), lows, highs, _case_table(value, fractions)))
-                continue
-            f, cut = node["feature"], node["threshold"]
-            lo, hi, z = path.get(f, (-np.inf, np.inf, 1.0))
-            for child, bounds in (("leftChild", (lo, min(hi, cut))), ("rightChild", (max(lo, cut), hi))):
-                kid = nodes[node[child]]
-                stack.append((kid, {**path, f: (*bounds, z * kid["cover"] / node["cover"])}))
+        own, found = leaves_of(
+            trees[tree], weight, lambda r: (r["leftChild"], r["rightChild"]) if r["leftChild"] >= 0 else None,
+            lambda r: (r["feature"], r["threshold"], False), lambda r: r["prediction"])
+        bias += own
+        leaves += found
     return bias, leaves
 
 
+# Looked-up values that a step of ``contributions`` may hold at once.
+STEP_VALUES = 4_000_000
+
+
+def grouped(leaves):
+    """Leaves with the same features in the same order, as arrays: features, and for all leaves of the group lows, highs, missing
+    passes and case tables."""
+    groups = {}
+    for features, *rest in leaves:
+        groups.setdefault(tuple(features), []).append(rest)
+    return [(list(features), *(np.array([leaf[k] for leaf in group]) for k in range(4))) for features, group in groups.items()]
+
+
 def contributions(x, leaves):
-    """``(rows, features)`` contributions for a feature matrix."""
+    """``(rows, features)`` contributions for a feature matrix; ``leaves`` as a list or grouped."""
+    groups = leaves if leaves and leaves[0][1].__class__ is np.ndarray else grouped(leaves)
     out = np.zeros(x.shape)
-    for features, lows, highs, table in leaves:
-        case = np.zeros(len(x), dtype="int64")
-        for j, (f, lo, hi) in enumerate(zip(features, lows, highs)):
-            value = x[:, f]
-            passes = ~(value <= lo) & ((value <= hi) | np.isinf(hi))
-            case |= passes.astype("int64") << j
-        out[:, features] += table[case]
+    for features, lows, highs, missing, tables in groups:
+        step = max(1, STEP_VALUES // tables[:, 0].size)
+        bits = 1 << np.arange(len(features))
+        for start in range(0, len(x), step):
+            value = x[start:start + step, None, features]
+            passes = np.where(np.isnan(value), missing, (value > lows) & (value <= highs))
+            cases = passes @ bits
+            out[start:start + step, features] += tables[np.arange(len(tables)), cases].sum(axis=1)
     return out
 
 
 def attributions(df, model, inputs=MODEL_FEATURES, out="attributions"):
     """Map of feature to milliseconds (three decimals) plus the bias. The unrounded values of a row and the bias
     add up to its raw prediction."""
-    spark = df.sparkSession
-    bias, leaves = leaf_tables(model, spark)
-    shared = spark.sparkContext.broadcast(leaves)
+    return explained(df, *leaf_tables(model, df.sparkSession), inputs, out)
+
+
+def explained(df, bias, leaves, inputs=MODEL_FEATURES, out="attributions"):
+    """``attributions`` from the leaves of a model whose features stand in the columns ``inputs``."""
+    shared = df.sparkSession.sparkContext.broadcast(grouped(leaves))
+    size = len(MODEL_FEATURES)
 
-    @F.pandas_udf("array<double>")
-    def explain(row: pd.DataFrame) -> pd.Series:
-        return pd.Series(list(contributions(row.to_numpy(dtype="float64"), shared.value)))
+    def explain(batches):
+        for batch in batches:
+            row = batch.column(batch.num_columns - 1)
+            x = np.column_stack([row.field(i).to_numpy(zero_copy_only=False).astype("float64") for i in range(size)])
+            values = contributions(x, shared.value)
+            offsets = pa.array(np.arange(0, values.size + 1, size), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))], names=[*batch.schema.names[:-1], "_contrib"])
 
-    values = F.struct(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(inputs)])
+    features = F.struct(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(inputs)])
+    schema = T.StructType([*df.schema.fields, T.StructField("_contrib", T.ArrayType(T.DoubleType()))])
     entries = []
     for i, name in enumerate(MODEL_FEATURES):
         entries += [F.lit(name), dp(F.get("_contrib", F.lit(i)), 3)]
     return (
-        df.withColumn("_contrib", explain(values))
+        df.withColumn("_features", features).mapInArrow(explain, schema)
         .withColumn(out, F.create_map(*entries, F.lit(BIAS), dp(F.lit(bias), 3)))
         .withColumn("attribution_total", F.aggregate("_contrib", F.lit(bias), lambda acc, v: acc + v))
         .drop("_contrib")

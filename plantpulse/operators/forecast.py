@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plantpulse.functions.latency import scaled_target, training_target
 from plantpulse.functions.numbers import dp
 from plantpulse.functions.regimes import live_regime, training_label
+from plantpulse.operators import attribution
 from plantpulse.operators.drift import maybe_retrain
 from plantpulse.operators.features import training_features
 from plantpulse.operators.folds import hash_split, time_series_folds
@@ -83,8 +84,9 @@ def hold_out_score(df, trees=TREES):
     return regression_metrics(predict(fit(train, trees), test))
 
 
-def model_scorer(model):
-    """Scorer with the interface of ``policy.analytic_score``: regime, model, floor of 5 ms, two decimals."""
+def model_scorer(model, predict=predict):
+    """Scorer with the interface of ``policy.analytic_score``: regime, model, floor of 5 ms, two decimals. Its attributions
+    are those of the model."""
 
     def score(df, names=None, out=PRED):
         names = names or {}
@@ -95,6 +97,7 @@ def model_scorer(model):
         scored = predict(model, df, inputs, f"_{out}_raw")
         return scored.withColumn(out, F.greatest(F.lit(5.0), dp(F.col(f"_{out}_raw"), 2))).drop(f"_{out}_raw")
 
+    score.attributions = lambda df: attribution.attributions(df, model)
     return score
 
 

@@ -33,6 +33,14 @@ def analytic_score(df, names=None, out=PRED):
     return scored.withColumn(out, lt.analytic_forecast(at(DROP), label, at(TEMP)))
 
 
+analytic_score.attributions = lambda df: df.withColumn("attributions", lt.analytic_attributions())
+
+
+def explained(df, scorer=analytic_score):
+    """Regime, forecast, and the attributions of that very forecast."""
+    return scorer.attributions(score(df, scorer))
+
+
 def score(df, scorer=analytic_score):
     """Regime and forecast. A label that came with the rows is ignored; the scorer computes its own."""
     scored = scorer(df.drop(LABEL)).withColumnRenamed(f"{PRED}_label", LABEL)

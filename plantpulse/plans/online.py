@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from plantpulse.functions.latency import analytic_attributions
 from plantpulse.operators import policy, prep
 from plantpulse.operators.features import serving_features
 from plantpulse.params import DEFAULTS
@@ -12,8 +11,7 @@ from plantpulse.schemas import DEVICE, LABEL
 def score_frames(raw, scorer=policy.analytic_score, p=DEFAULTS, largest=None):
     """Quality gate, canonical form, rolling features, regime, forecast, attributions, diagnosis from them."""
     feats = serving_features(prep.canonical(prep.valid_frames(raw)), p, largest=largest)
-    rows = policy.score(feats, scorer).withColumn("attributions", analytic_attributions())
-    return policy.diagnose(rows, "attributions", p)
+    return policy.diagnose(policy.explained(feats, scorer), "attributions", p)
 
 
 def device_risk(raw, scorer=policy.analytic_score, p=DEFAULTS, largest=None):

@@ -58,3 +58,9 @@ def scratch_folder(spark, name):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     base = shared or tempfile.mkdtemp(prefix="plantpulse-scratch-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark, path):
+    """Delete a folder of intermediate tables that this package wrote, on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

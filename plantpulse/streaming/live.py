@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from plantpulse.functions.latency import analytic_attributions
 from plantpulse.functions.numbers import dp
 from plantpulse.operators import alarms, control, drift, policy, prep, regimes
 from plantpulse.operators.alarms import EVENTS
@@ -100,8 +99,7 @@ def late_rows(result):
 
 def scored(features, scorer=policy.analytic_score, p=DEFAULTS):
     """Regime, forecast, attributions and diagnosis of feature rows; no state."""
-    rows = policy.score(features, scorer).withColumn("attributions", analytic_attributions())
-    return policy.diagnose(rows, "attributions", p)
+    return policy.diagnose(policy.explained(features, scorer), "attributions", p)
 
 
 def debounced(commands, p=DEFAULTS, key="target_device"):
