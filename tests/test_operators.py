@@ -1,6 +1,7 @@
 """Known inputs and brute-force comparisons."""
 
 import math
+from fractions import Fraction
 from dataclasses import replace
 
 import numpy as np
@@ -323,7 +324,27 @@ def test_retraining_follows_drift(spark, sf, tmp_path):
 # --- drift -------------------------------------------------------------------------------------------------
 
 
-def test_psi_and_ks_equal_numpy(spark):
+def inside_band(gap, n, m):
+    """Share of lattice paths that leave the band, by exact counting."""
+    row = [0] * (m + 1)
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if abs(i * m - j * n) >= gap:
+                row[j] = 0
+            elif i == j == 0:
+                row[j] = 1
+            else:
+                row[j] = (row[j] if i else 0) + (row[j - 1] if j else 0)
+    return 1.0 if gap <= 0 else 1 - Fraction(row[m], math.comb(n + m, n))
+
+
+@pytest.mark.parametrize("n, m", [(1, 1), (3, 4), (5, 5), (7, 2), (30, 41)])
+def test_exact_p_value(n, m):
+    for gap in range(0, n * m + 2, max(1, n * m // 12)):
+        assert abs(drift.exact_p_value(gap, n, m) - inside_band(gap, n, m)) < 1e-12
+
+
+def test_psi_and_ks_equal_numpy(spark, monkeypatch, tmp_path):
     rng = np.random.default_rng(6)
     base = {"a": np.round(rng.normal(50, 5, 500), 1), "b": rng.exponential(1, 300), "c": np.full(100, 2.0)}
     cur = {"a": np.round(rng.normal(53, 6, 400), 1), "b": rng.exponential(1, 30), "c": np.full(50, 2.0)}
@@ -337,9 +358,17 @@ def test_psi_and_ks_equal_numpy(spark):
         at = np.union1d(base[k], cur[k])
         d_ks = max(abs(np.searchsorted(np.sort(base[k]), at, "right") / len(base[k]) - np.searchsorted(np.sort(cur[k]), at, "right") / len(cur[k])))
         assert abs(report[k]["psi"] - psi) < 6e-5 and abs(report[k]["ks_statistic"] - d_ks) < 6e-5
-        x = d_ks * math.sqrt(len(base[k]) * len(cur[k]) / (len(base[k]) + len(cur[k])))
+        assert abs(report[k]["p_value"] - inside_band(round(d_ks * len(base[k]) * len(cur[k])), len(base[k]), len(cur[k]))) < 1e-5
+    monkeypatch.setattr(drift, "EXACT_ROWS", 10)
+    for r in drift.ks_statistic(frame(base), frame(cur)).collect():
+        n, m = len(base[r["feature"]]), len(cur[r["feature"]])
+        x = report[r["feature"]]["ks_statistic"] * math.sqrt(n * m / (n + m))
         p = 1.0 if x == 0 else 2 * sum((-1) ** (i - 1) * math.exp(-2 * i * i * x * x) for i in range(1, 2000))
-        assert abs(report[k]["p_value"] - min(1.0, p)) < 1e-5
+        assert abs(r["p_value"] - min(1.0, p)) < 1e-3  # the distance is rounded to four decimals
+    stored = tmp_path / "counts"
+    drift.set_baseline_counts(frame(base), str(stored))
+    again = drift.report_of_counts(drift.load_baseline_counts(spark, str(stored)), drift.side_counts(frame(cur), "c"))
+    assert {r["feature"]: (r["psi"], r["ks_statistic"]) for r in again.collect()} == {k: (r["psi"], r["ks_statistic"]) for k, r in report.items()}
     assert report["c"]["psi"] == 0.0 and not report["c"]["drift_detected"]
 
 
