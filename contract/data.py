@@ -8,14 +8,9 @@ from plantpulse.operators.series import largest_key
 from plantpulse.schemas import BUFFER, DEVICE, DROP, EPOCH_MS, GAUGES, PROTOCOL, ROW_ID, RTT, TEMP, THROUGHPUT
 
 
-_LARGEST = {}
-
-
 def largest(spark, sf):
-    """Rows of the largest device, an upper bound for every table derived from ``events``."""
-    if sf not in _LARGEST:
-        _LARGEST[sf] = largest_key(events(spark, sf), ["user_id"])
-    return _LARGEST[sf]
+    """Rows of the largest device, an upper bound for every table derived from ``events``. Counted each time."""
+    return largest_key(events(spark, sf), ["user_id"])
 
 
 def events(spark, sf):

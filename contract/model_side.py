@@ -11,7 +11,7 @@ from plantpulse.functions.regimes import live_regime
 from plantpulse.operators import attribution, clustering, drift, features, folds, forecast, policy, prep
 from plantpulse.params import DEFAULTS
 from plantpulse.schemas import GAUGES, LABEL, ROW_ID
-from plantpulse.session import scratch_folder
+from plantpulse.session import checkpointed, scratch_folder
 
 _MODELS, _FITTED = {}, {}
 
@@ -47,10 +47,13 @@ def a12(spark, sf):
 
 
 def f2(spark, sf):
-    """Rows scored, and the published bound on the share of explained variance."""
-    scored = forecast.predict(stored_model(spark, sf), training(spark, sf))
-    explained = forecast.regression_metrics(scored).first().r2
-    return scored.agg(F.count(F.lit(1)).alias("rows"), F.lit(explained > 0.9).alias("r2_above_090"))
+    """A training run of full size on four fifths of the rows, and the published bound on the share of explained variance
+    on the rest."""
+    train, test = folds.hash_split(checkpointed(training(spark, sf)))
+    model = forecast.fit(train)
+    explained = forecast.regression_metrics(forecast.predict(model, test)).first().r2
+    rows = forecast.predict(model, train).unionByName(forecast.predict(model, test))
+    return rows.agg(F.count("prediction").alias("rows"), F.lit(explained > 0.9).alias("r2_above_090"))
 
 
 def f3(spark, sf):

@@ -91,13 +91,26 @@ def state_maps(codes):
     return maps
 
 
+def segment_maps(codes, begins):
+    """``state_maps`` of many keys at once: ``begins`` marks the first cycle of each; no map reaches back beyond it."""
+    maps, segment, shift = TRANSITIONS[codes], np.cumsum(begins), 1
+    while shift < len(maps):
+        same = segment[shift:] == segment[:-shift]
+        if not same.any():
+            break
+        joined = np.take_along_axis(maps[shift:], maps[:-shift], axis=1)
+        maps = np.concatenate([maps[:shift], np.where(same[:, None], joined, maps[shift:])])
+        shift *= 2
+    return maps
+
+
 def sequence_of_events(replayed, fixed_events=None, keys=(DEVICE,), p=DEFAULTS, largest=None):
     """At most one event per cycle: failover, else shedding, else breach, each only when the last logged tag is a
     different one. ``fixed_events(keys.., timestamp_epoch_ms, event_id, alarm_id, priority, tag, event, quality)``
     are logged as they are and also become the last tag.
 
-    The log of a key is a four-state machine. A key of ordinary size is one group; a larger key runs block by
-    block, each block being summarised by its state map."""
+    The log of a key is a four-state machine. The keys of a partition run through one Python call in order, all state maps being
+    composed at once; a larger key runs block by block, each block being summarised by its state map."""
     keys = list(keys)
     code = (
         F.col("failover_active").cast("int")
@@ -127,16 +140,28 @@ def sequence_of_events(replayed, fixed_events=None, keys=(DEVICE,), p=DEFAULTS,
         df = df.withColumn("entry", F.lit(OTHER).cast("long"))
     schema = T.StructType(df.schema.fields + [T.StructField("logged", T.IntegerType())])
 
-    def run(table):
-        table = table.sort_by([(EPOCH_MS, "ascending"), (ROW_ID, "ascending")])
-        codes = table["code"].to_numpy()
-        entry = table["entry"][0].as_py()
-        after = state_maps(codes)[:, entry]
-        before = np.concatenate([[entry], after[:-1]])
-        logged = np.where(codes == 8, 8, np.where(after != before, after, 0))
-        return table.append_column("logged", pa.array(logged, pa.int32()))
-
-    events = df.groupBy(*s.group_keys).applyInArrow(run, schema).where("logged > 0").drop("entry", BLOCK, OWN)
+    group = s.group_keys
+
+    def run(batches):
+        last, carried = None, OTHER
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes, entry = (batch.column(c).to_numpy() for c in ("code", "entry"))
+            key = [batch.column(k).to_pylist() for k in group]
+            begins = np.ones(len(codes), dtype=bool)
+            begins[1:] = np.any([[a != b for a, b in zip(k[1:], k[:-1], strict=True)] for k in key], axis=0)
+            if last is not None and [k[0] for k in key] == last:  # the key goes on from the batch before
+                begins[0], entry = False, entry.copy()
+                entry[:int(np.argmax(begins)) if begins.any() else None] = carried
+            after = np.take_along_axis(segment_maps(codes, begins), entry[:, None], axis=1)[:, 0]
+            before = np.where(begins, entry, np.concatenate([[carried], after[:-1]]))
+            last, carried = [k[-1] for k in key], after[-1]
+            logged = np.where(codes == 8, 8, np.where(after != before, after, 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logged, pa.int32())], names=[*batch.schema.names, "logged"])
+
+    ordered = df.repartition(*group).sortWithinPartitions(*group, EPOCH_MS, ROW_ID)
+    events = ordered.mapInArrow(run, schema).where("logged > 0").drop("entry", BLOCK, OWN)
     texts = [
         F.concat(
             F.lit("HA Failover actuated: Packet drop "), fixed(F.col(DROP), 2),

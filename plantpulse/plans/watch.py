@@ -10,7 +10,13 @@ def check(baseline, frames, edges=None, p=DEFAULTS):
     return report, drift.drift_summary(report, p)
 
 
-def check_and_retrain(baseline, frames, model_path, edges=None, p=DEFAULTS, largest=None):
+def check_counts(counts, frames, edges=None, p=DEFAULTS):
+    """``check`` against the stored value counts of a baseline, whose rows are not read."""
+    report = drift.report_of_counts(counts, drift.side_counts(drift.long_form(frames), "c"), edges, p)
+    return report, drift.drift_summary(report, p)
+
+
+def check_and_retrain(baseline, frames, model_path, edges=None, p=DEFAULTS, largest=None, trees=forecast.TREES):
     """Reloaded model when a channel drifted, else None."""
     report, _ = check(baseline, frames, edges, p)
-    return forecast.retrain_on_drift(report, frames, model_path, p=p, largest=largest)
+    return forecast.retrain_on_drift(report, frames, model_path, trees, p, largest)

@@ -149,3 +149,23 @@ def test_many_blocks_link_over_levels(spark):
             want.append("applied")
             last = t
     assert got["status"].tolist() == want
+
+
+def test_log_runs_on_over_arrow_batches(spark, sf):
+    """Several devices in a partition and devices cut by batches give the log of one device at a time."""
+    cycles = policy.replay(d.frames(spark, sf))
+    want = alarms.sequence_of_events(cycles)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        same(alarms.sequence_of_events(cycles), want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_segment_maps_equal_state_maps_of_each_segment():
+    rng = np.random.default_rng(2)
+    codes, begins = rng.integers(0, 9, 200), rng.random(200) < 0.1
+    begins[0] = True
+    starts = [*np.flatnonzero(begins), 200]
+    want = np.concatenate([alarms.state_maps(codes[a:b]) for a, b in zip(starts[:-1], starts[1:])])
+    assert np.array_equal(alarms.segment_maps(codes, begins), want)
