@@ -3,7 +3,8 @@
 A text is cut into windows of fixed length; bytes are embedded, filters of several widths slide over them, each filter
 keeps its largest response in the window, and a softmax layer turns the responses into log probabilities. The log
 probabilities of all windows of a text are averaged, weighted by the bytes in them, so that the whole text counts.
-The network is trained with Adam on windows of a bounded hash sample of labelled rows and shipped to the tasks.
+The network is trained with Adam on all windows of the texts of a bounded hash sample of labelled rows and shipped to the
+tasks. The sample is drawn per language, so a rare language keeps its rows at any size of the table.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0. Without any labelled row no language can
 be learned, and all rows are ``und``. Rows that repeat an id are predicted each. Short windows are padded with zero
@@ -11,6 +12,8 @@ bytes. Long texts are cut into windows batch by batch, so memory does not grow w
 empty result. Other columns play no part.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 
 from plantpulse.llm.common import fold, table
 
-# Bounds of the training data: rows, and characters taken from each of them at a place given by its hash.
-MAX_TRAIN_ROWS, TRAIN_CHARS = 4_000, 240
+# Bound of the training rows, and the number of windows that training looks at: each window once at least.
+MAX_TRAIN_ROWS, SEEN_WINDOWS = 1_200, 50_000
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 WINDOW, WIDTHS, FILTERS, EMBED, BATCH = 256, (2, 3, 4), 12, 6, 128
@@ -97,7 +100,8 @@ class ByteNetwork:
         d_table[0] = 0
         return [d_table, *d_filters, *d_shifts, active.T @ error, error.sum(axis=0)]
 
-    def fit(self, codes, target, epochs=12, size=64, rate=0.01, seed=0):
+    def fit(self, codes, target, epochs=None, size=64, rate=0.01, seed=0):
+        epochs = epochs or max(1, min(12, -(-SEEN_WINDOWS // max(1, len(codes)))))
         rng = np.random.default_rng(seed)
         parameters = self._parameters()
         first, second, step = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters], 0
@@ -122,22 +126,22 @@ def windows(data: bytes) -> np.ndarray:
 
 
 def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, limit: int = MAX_TRAIN_ROWS) -> ByteNetwork | None:
-    """Network fitted on a hash sample of the labelled rows outside the held-out fold; None if there is none."""
-    known = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}") & (fold(id_col, FOLDS) != HELD_OUT))
+    """Network fitted on the whole texts of a hash sample of the labelled rows outside the held-out fold, about ``limit`` in
+    all and equally many of each language as far as there are; None if there is no row."""
+    known = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
+        F.col("lang").isNotNull() & (fold("id", FOLDS) != HELD_OUT))
     # Counting needs the label column only, so the text is left to the sampled rows.
-    rows = df.filter(F.col(lang_col).isNotNull()).count()
-    share = 1.0 if rows <= limit else limit / rows
-    sample = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < int((1 << 40) * share)) if share < 1 else known
-    room = F.greatest(F.length(text_col) - TRAIN_CHARS, F.lit(0)) + 1
-    start = (F.pmod(F.xxhash64(id_col, F.lit(1)), room) + 1).cast("int")
-    data = sample.select(
-        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col), start, F.lit(TRAIN_CHARS)).alias("text"),
-    ).toPandas().sort_values(["id", "text"], kind="stable")
+    counts = known.groupBy("lang").count().collect()  # one row per language
+    each = limit / max(1, len(counts))
+    lands = [F.lit(False)] + [(F.col("lang") == r.lang) & (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, each / r["count"]))) for r in counts]
+    sample = known.filter(reduce(lambda a, b: a | b, lands)).filter(F.col("text").rlike("\\p{L}"))
+    data = sample.toPandas().sort_values(["id", "text"], kind="stable")
     if data.empty:
         return None
     classes = sorted(data["lang"].unique())
-    codes = np.concatenate([windows(t.encode()[:WINDOW]) for t in data["text"]])
-    return ByteNetwork(classes).fit(codes, np.array([classes.index(x) for x in data["lang"]]))
+    codes = [windows(t.encode()) for t in data["text"]]
+    target = np.repeat([classes.index(x) for x in data["lang"]], [len(c) for c in codes])
+    return ByteNetwork(classes).fit(np.concatenate(codes), target)
 
 
 def _predict(network: ByteNetwork, texts: list[bytes]):
