@@ -31,7 +31,7 @@ from plantpulse.llm.common import chunks, fold, hash_sample, table, with_ids
 from plantpulse.session import checkpointed
 
 # Bounds: labelled rows to learn from, features in the model, words that a task keeps.
-MAX_TRAIN_ROWS, MAX_FEATURES, KEPT_WORDS = 20_000, 3_000, 200_000
+MAX_TRAIN_ROWS, MAX_FEATURES, KEPT_WORDS = 20_000, 3_000, 500_000
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 # Smallest likelihood ratio statistic and smallest number of texts of a feature.
 MIN_ASSOCIATION, MIN_TEXTS = 10.0, 3
@@ -188,12 +188,11 @@ class Restorer:
             last = len(parts) - 1
             cores = [_core(part) or (part if part in LOOKALIKES and i < last else "") for i, part in enumerate(parts)]
             return {word for word in self.parted(list(filter(None, cores))) if word}
-        if token.isalpha() and not _DOUBLE.search(token):
-            return {token}
-        found, core = {self.restore(token)}, _core(token)
+        core = _core(token)
         if core.isalpha():
-            found.add(core)
-        elif _disguised(core):
+            return {core, self.single(core)} if _DOUBLE.search(core) else {core}
+        found = {self.restore(token)}
+        if _disguised(core):
             found.add("".join(LOOKALIKES[c][0] for c in core))
         return found
 
@@ -206,12 +205,15 @@ def _core(word: str) -> str:
     """A token without the punctuation around it. Of tokens without a letter only what cannot be one goes, and ``!`` at the end."""
     if word.isalpha():
         return word
+    inner = word.strip(_STARTS).rstrip(_ENDS)
+    if inner.isalpha():
+        return inner
     if not any(map(str.isalpha, word)):
         bare = word.strip("".join(c for c in _STARTS + _ENDS if c not in LOOKALIKES))
         bare = bare.rstrip("!") if len(bare.rstrip("!")) > 1 else bare
         if _disguised(bare):
             return bare
-    return word.strip(_STARTS).rstrip(_ENDS)
+    return inner
 
 
 def _tokens(text: str | None):
