@@ -42,7 +42,15 @@ def checkpointed(df):
     which in iterative work grow from step to step."""
     path = scratch_folder(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    step = df.sparkSession.read.schema(df.schema).parquet(path)
+    step.scratch_path = path
+    return step
+
+
+def discard(*steps):
+    """Delete tables that ``checkpointed`` wrote. Call it when no table that is still to be computed reads them."""
+    for step in steps:
+        remove(step.sparkSession, step.scratch_path)
 
 
 def broadcast_if_small(df, rows, limit=200_000):
