@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.llm.common import BLANKS, chunks, join_groups, mix64, table, with_ids, without_ids
 from plantpulse.llm.exact_dedup import cells_for, hit_cells, marked
-from plantpulse.session import checkpointed
+from plantpulse.session import checkpointed, discard
 
 WIDTH, PERCENT = 5, 80
 CELLS, CELLS_PER_CHUNK = 1 << 22, 1 << 12
@@ -301,11 +301,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Documents that lead no class add nothing to the lists.
     followers = checkpointed(signed.select("id").filter("id is not null").distinct().join(classes.select(F.col("first").alias("id")), "id", "left_anti"))
-    lists = checkpointed(_prefixes(without_ids(docs, followers, "id"), sketch, width, percent))
-    shared = checkpointed(lists.groupBy("token").count().filter("count > 1").select("token"))
+    every = checkpointed(_prefixes(without_ids(docs, followers, "id"), sketch, width, percent))
+    shared = checkpointed(every.groupBy("token").count().filter("count > 1").select("token"))
     cells = cells_for(shared.count())
     bitmaps = checkpointed(hit_cells(shared, "token", cells))
-    lists = checkpointed(marked(lists, bitmaps, cells, "token").filter("__suspect").drop("__suspect").join(shared, "token", "left_semi"))
+    lists = checkpointed(marked(every, bitmaps, cells, "token").filter("__suspect").drop("__suspect").join(shared, "token", "left_semi"))
+    discard(every, bitmaps, shared, followers)
 
     ids = signed.agg(F.count("id").alias("rows"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
     repeated = ids.rows != ids.ids or ids.nulls > 0
@@ -321,13 +322,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         chosen = checkpointed(_led(state, salts, best, percent))
         found = checkpointed(_verified(chosen, _sets_of(chosen, docs, classes, width, repeated), percent))
         tested = found if tested is None else tested.unionByName(found)
-        state = checkpointed(_mixed(settled(tested, state)))
+        before, state = state, checkpointed(_mixed(settled(tested, state)))
+        if hasattr(before, "scratch_path"):  # the first state is a view of the lists, which are needed again
+            discard(before)
 
     # Last round: pairs across components in lists that are not settled.
     known = tested.groupBy(F.col("a").alias("node")).agg(F.min_by(F.struct("b", "apart"), "apart").alias("k"))
+    before = state
     state = state.join(known, "node", "left").select(
         "token", "node", "n", "need", "place", "label", F.coalesce("k.b", "node").alias("leader"), F.coalesce("k.apart", F.lit(0.0)).alias("apart"))
-    open_lists = checkpointed(_mixed(checkpointed(_early_enough(checkpointed(state), percent))))
+    led = checkpointed(state)
+    early = checkpointed(_early_enough(led, percent))
+    open_lists = checkpointed(_mixed(early))
+    discard(before, led, early)
     a, b = (open_lists.select("token", *[F.col(c).alias(f"{x}_{c}") for c in open_lists.columns[1:]]) for x in "ab")
     slack, least = 1 - percent / 100 + 1e-9, _least_shared(percent)
     met = a.join(b, (a["token"] == b["token"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
@@ -337,6 +344,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                  & (F.col("b_place") <= _latest_first(F.col("b_n"), F.col("a_n"), percent)))
     sides = [f"{x}_{c}" for x in "ab" for c in ("node", "n", "need")]
     pairs = checkpointed(met.select(*sides).distinct())
+    discard(open_lists)
     heads = checkpointed(lists.groupBy("node").agg(F.collect_set("token").alias("head")))
     for x in "ab":
         pairs = pairs.join(heads.select(F.col("node").alias(f"{x}_node"), F.col("head").alias(f"{x}_head")), f"{x}_node")
