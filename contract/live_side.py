@@ -33,16 +33,16 @@ def drain(stream, spark):
 
 def a9(spark, sf):
     """The second consumer is down during the stream and gets what it missed afterwards."""
-    path, retry, missed = scratch_folder(spark, "fan-out"), scratch_folder(spark, "retry"), []
+    path, retry = scratch_folder(spark, "fan-out"), scratch_folder(spark, "retry")
 
     def down(batch, batch_id):
         raise RuntimeError("this consumer is down")
 
     sinks = {"first": lambda b, i: b.write.mode("overwrite").parquet(f"{path}/first/batch_id={i}"), "second": down}
-    handler = live.fan_out(sinks, retry, lambda name, batch_id, error: missed.append(batch_id))
+    handler = live.fan_out(sinks, retry)
     _start(_frames(spark, sf).writeStream.foreachBatch(handler), spark)
     live.replay_failed(
-        spark, retry, "second", lambda b, i: b.select(PROTOCOL).write.mode("overwrite").parquet(f"{path}/second/batch_id={i}"), missed)
+        spark, retry, "second", lambda b, i: b.select(PROTOCOL).write.mode("overwrite").parquet(f"{path}/second/batch_id={i}"))
     parts = [
         spark.read.parquet(f"{path}/{name}").groupBy(PROTOCOL).agg(F.count(F.lit(1)).alias("n")).withColumn("sink", F.lit(name))
         for name in ("first", "second")

@@ -17,6 +17,7 @@ from plantpulse.operators import alarms, control, drift, policy, prep, regimes
 from plantpulse.operators.alarms import EVENTS
 from plantpulse.params import DEFAULTS
 from plantpulse.schemas import BUFFER, DEVICE, DROP, EPOCH_MS, FRAMES, GAUGES, PROTOCOL, ROW_ID, RTT, TEMP, THROUGHPUT
+from plantpulse.session import remove
 
 FRAME_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FRAMES.fields)
 
@@ -278,10 +279,13 @@ def newest_centroids(spark, path):
     return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
 
 
+WAITING = "waiting-batches"
+
+
 def fan_out(sinks, retry_path, on_error=None):
     """``foreachBatch`` handler: one read of the batch, several consumers ``(batch, batch_id)``. A consumer that
-    fails does not stop the others: the batch is kept for it below ``retry_path`` (see ``replay_failed``). If that
-    fails too, the whole batch fails and is run again."""
+    fails does not stop the others: the batch is kept for it below ``retry_path``, and what went wrong is recorded
+    beside it (see ``waiting_batches`` and ``replay_failed``). If that fails too, the whole batch fails and is run again."""
 
     def handle(batch, batch_id):
         batch.persist()
@@ -291,6 +295,9 @@ def fan_out(sinks, retry_path, on_error=None):
                     sink(batch, batch_id)
                 except Exception as error:
                     batch.write.mode("overwrite").parquet(f"{retry_path}/{name}/batch_id={batch_id}")
+                    note = batch.sparkSession.createDataFrame(
+                        [(name, batch_id, type(error).__name__, str(error)[:1000])], "consumer string, batch_id long, kind string, message string")
+                    note.coalesce(1).write.mode("overwrite").parquet(f"{retry_path}/{WAITING}/{name}-{batch_id}")
                     if on_error:
                         on_error(name, batch_id, error)
         finally:
@@ -299,10 +306,26 @@ def fan_out(sinks, retry_path, on_error=None):
     return handle
 
 
-def replay_failed(spark, retry_path, name, sink, batch_ids):
-    """Give a consumer the batches that it missed; batch ids make a repeated replay harmless."""
+def waiting_batches(spark, retry_path):
+    """Batches that a consumer has missed: ``(consumer, batch_id, kind, message)`` with the error of each."""
+    schema = "consumer string, batch_id long, kind string, message string"
+    try:
+        return spark.read.schema(schema).parquet(f"{retry_path}/{WAITING}/*")
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def replay_failed(spark, retry_path, name, sink, batch_ids=None):
+    """Give a consumer the batches that it missed, in order; batch ids make a repeated replay harmless. Without a list, all
+    that wait; a batch that the consumer has taken waits no more."""
+    if batch_ids is None:
+        waiting = waiting_batches(spark, retry_path).where(F.col("consumer") == name).select("batch_id").distinct()
+        batch_ids = [r.batch_id for r in waiting.orderBy("batch_id").toLocalIterator()]
     for batch_id in batch_ids:
         sink(spark.read.parquet(f"{retry_path}/{name}/batch_id={batch_id}"), batch_id)
+        remove(spark, f"{retry_path}/{WAITING}/{name}-{batch_id}")
 
 
 def persist_stream(frames, path, checkpoint):

@@ -142,7 +142,14 @@ def test_drift_centroids_and_fan_out(spark, frames, folder, tmp_path):
     }
     run(source(spark, folder), spark, tmp_path, handler=live.fan_out(sinks, f"{base}/retry", lambda n, i, e: failed.append((n, i))))
     assert failed == [("broken", 0), ("broken", 1), ("broken", 2)]
+    waiting = lambda: sorted((r.consumer, r.batch_id, r.kind, r.message) for r in live.waiting_batches(spark, f"{base}/retry").collect())
+    assert waiting() == [("broken", i, "RuntimeError", "sink is down") for i in range(3)]
     copy = lambda b, i: b.write.mode("overwrite").parquet(f"{base}/broken/batch_id={i}")
+    with pytest.raises(RuntimeError):
+        live.replay_failed(spark, f"{base}/retry", "broken", broken)
+    assert len(waiting()) == 3
+    live.replay_failed(spark, f"{base}/retry", "broken", copy)
+    assert waiting() == []
     for _ in range(2):  # a second replay changes nothing
         live.replay_failed(spark, f"{base}/retry", "broken", copy, [i for _, i in failed])
     assert spark.read.parquet(f"{base}/broken").count() == frames.count()
