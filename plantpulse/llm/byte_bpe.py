@@ -1,8 +1,10 @@
 """Byte-level BPE: encoding by ranked merges in Spark higher-order functions, decoding by concatenating binary pieces.
 
-The ranks become one literal table: an array of small maps, addressed by the hash of a byte string (in hexadecimal), so a
-look-up costs the same for any vocabulary. ``merged`` folds over the bytes of one word: the state holds the parts and
-the rank of each neighbouring pair; every step joins the leftmost pair of lowest rank and looks up the two new pairs.
+The ranks become a literal table: an array of small maps, addressed by the hash of a pair of ids, so a look-up costs the
+same for any vocabulary. It holds the rank of every pair of tokens whose bytes together are a token. ``merged`` folds over
+the bytes of one word: the state holds the ids of the parts and the rank of each neighbouring pair; every step joins the
+leftmost pair of lowest rank, whose id is that rank, and looks up the two new pairs. A second such table, by bytes in
+hexadecimal, knows words that are a token as they stand.
 
 Words are cut by the tokenizer's pattern. All distinct words are counted over all texts; the most frequent ones, up to
 ``MAX_WORDS``, are folded once, and what a text needs of them (their packed ids and the bytes these decode to) becomes a
@@ -29,7 +31,9 @@ from plantpulse.session import checkpointed
 MAX_WORDS, WORD_SLOTS = 1 << 19, 1 << 17
 # Binary pieces that are joined at once.
 FAN = 64
-RANK_SLOTS = 1 << 13
+RANK_SLOTS, PAIR_SLOTS = 1 << 15, 1 << 16
+# Above every id, so that two ids make one number.
+PAIR = 1 << 32
 NO_RANK = 2147483647
 # Unicode white space as a character class. Java's \s covers ASCII only.
 SPACE_CLASS = "\\t-\\r\\x85\\p{Z}"
@@ -87,22 +91,33 @@ def _bind(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def joins(ranks: dict[bytes, int]) -> list[tuple[int, int]]:
+    """Every pair of tokens whose bytes together are a token, as one number, and the rank of that token."""
+    return [(pair_number(ranks[token[:cut]], ranks[token[cut:]]), rank)
+            for token, rank in ranks.items() for cut in range(1, len(token)) if token[:cut] in ranks and token[cut:] in ranks]
+
+
+def pair_number(left, right):
+    return left * PAIR + right
+
+
 class Codec:
     """Literal tables of one vocabulary, as columns."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         self.pattern = java_pattern(pattern)
         size = max(ranks.values(), default=-1) + 1
-        rows = spark.createDataFrame([(token.hex().upper(), rank) for token, rank in ranks.items()], "token string, rank int")
-        self._ranks = as_literal(lookup_table(rows, "token", "rank", RANK_SLOTS))
+        rows = spark.createDataFrame([(token, rank) for token, rank in ranks.items()], "token binary, rank int")
+        self._ranks = as_literal(lookup_table(rows.select(F.hex("token").alias("token"), "rank"), "token", "rank", RANK_SLOTS))
+        self._joins = as_literal(lookup_table(spark.createDataFrame(joins(ranks), "pair long, rank int"), "pair", "rank", PAIR_SLOTS))
         pieces = [b""] * size
         for token, rank in ranks.items():
             pieces[rank] = token
         numbers = [rank.to_bytes(4, "little") for rank in range(size)]
+        self._bytes = as_literal(spark.createDataFrame([([ranks.get(bytes([code])) for code in range(256)],)], "ids array<int>"))
         self._pieces = as_literal(spark.createDataFrame([(pieces,)], "pieces array<binary>"))
         self._numbers = as_literal(spark.createDataFrame([(numbers,)], "numbers array<binary>"))
-
-        self.literals = [self._ranks, self._pieces, self._numbers]
+        self.literals = [self._ranks, self._joins, self._bytes, self._pieces, self._numbers]
 
     def rank(self, token):
         return look_up(self._ranks, token, RANK_SLOTS)
@@ -111,39 +126,36 @@ class Codec:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def merged(self, word):
-        """Ids of one word, by a fold over its bytes."""
-        rank = lambda token: F.coalesce(self.rank(token), F.lit(NO_RANK))
-        join = F.concat
+        """Ids of one word, by a fold over its bytes. The state holds the ids of the parts, and the rank that each pair of
+        neighbours would get; no rank stands before the first pair and after the last one."""
+        joined = lambda left, right: F.coalesce(look_up(self._joins, pair_number(left.cast("long"), right), PAIR_SLOTS), F.lit(NO_RANK))
+        none = F.array(F.lit(NO_RANK))
+
+        def merge(parts, ranks, lowest, k):
+            """The state after parts k - 1 and k, which have the k-th rank, became one."""
+            around = F.array(joined(F.get(parts, k - 3), lowest), joined(lowest, F.get(parts, k)))
+            return F.struct(
+                F.concat(F.slice(parts, F.lit(1), k - 2), F.array(lowest), F.slice(parts, k + 1, F.size(parts))).alias("parts"),
+                F.concat(F.slice(ranks, F.lit(1), k - 2), around, F.slice(ranks, k + 2, F.size(ranks))).alias("ranks"))
 
-        def merge(state, k):
+        def step(state, _):
             parts, ranks = state["parts"], state["ranks"]
+            lowest = F.array_min(ranks)
+            place = F.array_position(ranks, lowest).cast("int")
+            return F.when(lowest == NO_RANK, state).otherwise(_bind(place, lambda k: merge(parts, ranks, F.get(ranks, k - 1), k)))
 
-            def put(token):
-                n = F.size(parts)
-                before = F.when(k > 1, F.array(rank(join(F.get(parts, k - 2), token)))).otherwise(F.array().cast("array<int>"))
-                after = F.when(k + 1 < n, F.array(rank(join(token, F.get(parts, k + 1))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(parts, F.lit(1), k - 1), F.array(token), F.slice(parts, k + 2, n)).alias("parts"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(k - 2, F.lit(0))), before, after, F.slice(ranks, k + 2, n)).alias("ranks"))
+        def fold(code):
+            single = F.transform(F.split(F.decode(code, "ISO-8859-1"), ""), lambda char: F.get(literal(self._bytes), F.ascii(char)))
 
-            return _bind(join(F.get(parts, k - 1), F.get(parts, k)), put)
+            def many(ids):
+                n = F.size(ids)
+                pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: joined(F.get(ids, i - 1), F.get(ids, i)))
+                start = F.struct(ids.alias("parts"), F.concat(none, pairs, none).alias("ranks"))
+                return F.when(n < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, step, lambda state: state["parts"]))
 
-        def step(state, _):
-            lowest = F.array_min(state["ranks"])
-            done = F.coalesce(lowest == NO_RANK, F.lit(True))
-            return F.when(done, state).otherwise(_bind(F.array_position(state["ranks"], lowest).cast("int"), lambda k: merge(state, k)))
+            return _bind(self.rank(F.hex(code)), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(_bind(single, many)))
 
-        def fold(code):
-            n = (F.length(code) / 2).cast("int")
-            single = lambda i: F.substring(code, i * 2 - 1, F.lit(2))
-            start = F.struct(
-                F.transform(F.sequence(F.lit(1), n), single).alias("parts"),
-                F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(code, i * 2 - 1, F.lit(4)))).alias("ranks"))
-            ids = lambda state: F.transform(state["parts"], self.rank)
-            many = F.aggregate(F.sequence(F.lit(2), n), start, step, ids)
-            return _bind(self.rank(code), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(many))
-
-        return _bind(F.hex(word), fold)
+        return _bind(F.encode(word, "UTF-8"), fold)
 
     def decode(self, ids, levels: int = 3):
         """Bytes of an array of ids."""
