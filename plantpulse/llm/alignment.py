@@ -20,7 +20,7 @@ import hashlib
 import json
 import os
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from plantpulse.llm.common import table
 from plantpulse.session import checkpointed
 
-# Steps of one piece of the merge, and bytes of text that are merged together.
-PIECE, BATCH_BYTES = 1024, 4 << 20
+# Steps of one piece of the merge, and bytes of text that are merged together. Words and token lists of these take many times
+# as much memory.
+PIECE, BATCH_BYTES = 1024, 1 << 20
 # Bound of the pairs that a join may broadcast (about 40 MB).
 MAX_FREQUENT = 400_000
 
-# Distinct words a task remembers before it starts anew.
-MAX_KNOWN = 1_000_000
+# Distinct words a Python worker remembers before it starts anew.
+MAX_KNOWN = 250_000
 # The pattern of byte-level tokenizers, and characters whose classes no version of Unicode has changed.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WELL_KNOWN = re.compile("[\t\n\r -~\u00c0-\u017f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026]*")
@@ -91,16 +92,20 @@ def _by_words(encode, described: dict):
         return encode
     import regex
     pattern = regex.compile(BYTE_LEVEL_PATTERN)
-    known: dict[str, list[int]] = {}
+    known: dict[str, bytes] = {}  # ids as packed integers: a list of numbers takes several times the memory
 
     def cached(texts):
         cut = [pattern.findall(t) if _WELL_KNOWN.fullmatch(t) else None for t in texts]
-        if len(known) > MAX_KNOWN:
+        new = {w for words in cut if words is not None for w in words} - known.keys()
+        if len(known) + len(new) > MAX_KNOWN:
             known.clear()
-        new = list({w for words in cut if words is not None for w in words} - known.keys())
-        known.update(zip(new, encode(new), strict=True))
+            new = {w for words in cut if words is not None for w in words}
+        new = list(new)
+        known.update((w, array("I", ids).tobytes()) for w, ids in zip(new, encode(new), strict=True))
         others = iter(encode([t for t, words in zip(texts, cut, strict=True) if words is None]))
-        return [next(others) if words is None else list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
+        return [next(others) if words is None else array("I", b"".join(map(known.__getitem__, words))).tolist() for words in cut]
+
+    cached.known = known
 
     return cached
 

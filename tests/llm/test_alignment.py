@@ -125,3 +125,15 @@ def test_words_encode_as_whole_texts():
     encode, _ = A.byte_level(PATH_A)
     assert encode(texts) == [model.encode(t, add_special_tokens=False).ids for t in texts]
     assert encode(texts) == encode(texts)
+
+
+def test_remembered_words_stay_few_and_small(monkeypatch):
+    monkeypatch.setattr(A, "MAX_KNOWN", 50)
+    A._loaded.pop(("a", PATH_A), None)
+    encode, _ = A.byte_level(PATH_A)
+    for part in range(20):
+        texts = [" ".join(f"word{chr(97 + part)}{chr(97 + k)}" for k in range(20))] * 2
+        first = encode(texts)
+        assert len(encode.known) <= 50 and all(isinstance(ids, bytes) for ids in encode.known.values())
+        assert encode(texts) == first
+    A._loaded.pop(("a", PATH_A), None)
