@@ -2,7 +2,7 @@
 
 A path of a tree of depth four tests at most four features, so the Shapley sum of a leaf has at most sixteen
 cases: one per combination of "the row passes the path's tests on this feature". These cases are tabulated once
-per leaf; a row then only looks up its case."""
+per leaf, and summed once over leaves whose tests have few joint cases; a row then only looks up one case per sum."""
 
 import itertools
 import math
@@ -93,8 +93,9 @@ def leaf_tables(model, spark):
     return bias, leaves
 
 
-# Looked-up values that a step of ``contributions`` may hold at once.
-STEP_VALUES = 4_000_000
+# Looked-up values that a step of ``contributions`` holds at once (they should stay in a processor's cache), and cases of one
+# look-up table.
+STEP_VALUES, MAX_CASES = 18_000, 1024
 
 
 def grouped(leaves):
@@ -106,18 +107,61 @@ def grouped(leaves):
     return [(list(features), *(np.array([leaf[k] for leaf in group]) for k in range(4))) for features, group in groups.items()]
 
 
+def tabulated(leaves, size):
+    """``(cuts, tables)`` for a list of leaves. ``cuts`` holds the ends of all tests per feature: they part its values into
+    intervals, with one more for missing values. A table serves leaves whose tests together tell at most ``MAX_CASES`` cases
+    apart (one leaf at least): per feature the step of each interval, and one row of contributions per sum of steps."""
+    ends = [set() for _ in range(size)]
+    for features, lows, highs, *_ in leaves:
+        for f, low, high in zip(features, lows, highs, strict=True):
+            ends[f].update(v for v in (low, high) if math.isfinite(v))
+    cuts = [np.array(sorted(e)) for e in ends]
+    low_ends, high_ends = [np.append(-np.inf, c) for c in cuts], [np.append(c, np.inf) for c in cuts]
+    tables, classes, held = [], {}, []
+    for features, lows, highs, missing, table in leaves:
+        passes = [np.append((low_ends[f] >= low) & (high_ends[f] <= high), take)
+                  for f, low, high, take in zip(features, lows, highs, missing, strict=True)]
+        finer = dict(classes)
+        for f, row in zip(features, passes, strict=True):
+            finer[f] = np.unique(finer.get(f, 0) * 2 + row, return_inverse=True)[1]
+        if held and math.prod(int(c.max()) + 1 for c in finer.values()) > MAX_CASES:
+            tables.append(_summed(classes, held, size))
+            held, finer = [], {f: np.unique(row, return_inverse=True)[1] for f, row in zip(features, passes, strict=True)}
+        classes = finer
+        held.append((features, passes, table))
+    if held:
+        tables.append(_summed(classes, held, size))
+    return cuts, tables
+
+
+def _summed(classes, held, size):
+    """Steps per feature and the summed contributions of all held leaves per case."""
+    counts = [int(c.max()) + 1 for c in classes.values()]
+    axis = {f: i for i, f in enumerate(classes)}
+    total = np.zeros((*counts, size))
+    for features, passes, table in held:
+        case = np.zeros([1] * len(counts), dtype=np.int64)
+        for bit, (f, row) in enumerate(zip(features, passes, strict=True)):
+            by_class = np.zeros(counts[axis[f]], dtype=np.int64)
+            by_class[classes[f]] = row
+            case = case + (by_class << bit).reshape([-1 if i == axis[f] else 1 for i in range(len(counts))])
+        total[..., features] += table[case]
+    strides = np.cumprod([1, *counts[:0:-1]])[::-1]
+    return [(f, classes[f] * stride) for f, stride in zip(classes, strides, strict=True)], total.reshape(-1, size)
+
+
 def contributions(x, leaves):
-    """``(rows, features)`` contributions for a feature matrix; ``leaves`` as a list or grouped."""
-    groups = leaves if leaves and leaves[0][1].__class__ is np.ndarray else grouped(leaves)
+    """``(rows, features)`` contributions for a feature matrix; ``leaves`` as a list, grouped or tabulated."""
+    if isinstance(leaves, list) and leaves and leaves[0][1].__class__ is np.ndarray:
+        leaves = [(features, *leaf) for features, *arrays in leaves for leaf in zip(*arrays, strict=True)]
+    cuts, tables = leaves if isinstance(leaves, tuple) else tabulated(leaves, x.shape[1])
     out = np.zeros(x.shape)
-    for features, lows, highs, missing, tables in groups:
-        step = max(1, STEP_VALUES // tables[:, 0].size)
-        bits = 1 << np.arange(len(features))
-        for start in range(0, len(x), step):
-            value = x[start:start + step, None, features]
-            passes = np.where(np.isnan(value), missing, (value > lows) & (value <= highs))
-            cases = passes @ bits
-            out[start:start + step, features] += tables[np.arange(len(tables)), cases].sum(axis=1)
+    step_rows = max(1, STEP_VALUES // x.shape[1])
+    for start in range(0, len(x), step_rows):
+        part = x[start:start + step_rows]
+        at = [np.where(np.isnan(part[:, f]), len(c) + 1, np.searchsorted(c, part[:, f])) for f, c in enumerate(cuts)]
+        for steps, table in tables:
+            out[start:start + step_rows] += table.take(sum(step.take(at[f]) for f, step in steps), axis=0)
     return out
 
 
@@ -129,8 +173,8 @@ def attributions(df, model, inputs=MODEL_FEATURES, out="attributions"):
 
 def explained(df, bias, leaves, inputs=MODEL_FEATURES, out="attributions"):
     """``attributions`` from the leaves of a model whose features stand in the columns ``inputs``."""
-    shared = df.sparkSession.sparkContext.broadcast(grouped(leaves))
     size = len(MODEL_FEATURES)
+    shared = df.sparkSession.sparkContext.broadcast(tabulated(leaves, size))
 
     def explain(batches):
         for batch in batches:

@@ -93,6 +93,17 @@ def test_grouping_and_steps_change_nothing(model, matrix, monkeypatch):
     assert np.allclose(attribution.contributions(matrix, leaves), whole)
 
 
+def test_leaves_with_few_joint_cases_share_a_table(model, matrix, monkeypatch):
+    """A row looks up far fewer tables than there are leaves; the bound on cases changes no value."""
+    _, leaves = model.leaves()
+    cuts, tables = attribution.tabulated(leaves, matrix.shape[1])
+    assert len(tables) < len(leaves) / 2 and all(len(t) <= attribution.MAX_CASES for _, t in tables)
+    whole = attribution.contributions(matrix, (cuts, tables))
+    for most in (1, 8, 10**5):
+        monkeypatch.setattr(attribution, "MAX_CASES", most)
+        assert np.allclose(attribution.contributions(matrix, leaves), whole, atol=1e-12)
+
+
 def test_unknown_features_and_nodes(spark, model):
     with pytest.raises(ValueError, match="does|not given|needs"):
         tree_model.load(spark, model_file.model_path(spark), MODEL_FEATURES[:3])
