@@ -30,7 +30,7 @@ def profile(df, row_id, cols, p=DEFAULTS, label=LABEL):
     labeled = checkpointed(dbscan(df, row_id, cols, p.dbscan_eps, p.dbscan_min_samples, label))
     if labeled.select(label).distinct().limit(2).count() > 1:
         return labeled
-    return kmeans(df, cols, label=label)
+    return kmeans(labeled.drop(label), cols, label=label)  # the written rows, not computed again for every start
 
 
 def silhouette_squared(df, cols, label=LABEL):

@@ -26,6 +26,7 @@ def dbscan(df, row_id, cols, eps, min_samples, label="label"):
 
 class _Run:
     def __init__(self, df, row_id, cols, eps, min_samples):
+        df = checkpointed(df)  # read by nearly every step
         self.df, self.row_id, self.dim, self.need = df, row_id, len(cols), min_samples
         self.eps2 = eps * eps
         self.side = eps / math.sqrt(self.dim)
