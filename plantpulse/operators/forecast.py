@@ -14,7 +14,7 @@ from plantpulse.operators.folds import hash_split, time_series_folds
 from plantpulse.operators.policy import PRED
 from plantpulse.params import DEFAULTS
 from plantpulse.schemas import BUFFER, DROP, GAUGES, LABEL, MODEL_FEATURES, TARGET, TEMP
-from plantpulse.session import ensure_checkpoint_dir
+from plantpulse.session import checkpointed, ensure_checkpoint_dir
 
 # Size of the ensemble.
 TREES, DEPTH, RATE, SEED = 80, 4, 0.07, 42
@@ -38,10 +38,11 @@ def _assemble(df, cols, out):
 
 
 def fit(train, trees=TREES, depth=DEPTH, rate=RATE, seed=SEED):
-    """Fit on a table with the model features and the target. Training reads its input once per level and tree,
-    so give it a written or cached table when it is expensive to compute."""
+    """Fit on a table with the model features and the target. Every level of every tree is a pass over all rows, so they are
+    dealt out evenly over the cores, once; the passes before the first tree read what was dealt and compute nothing again."""
     ensure_checkpoint_dir(train.sparkSession)
-    data = _assemble(train.select(*MODEL_FEATURES, TARGET), MODEL_FEATURES, "features").select("features", TARGET)
+    dealt = train.select(*MODEL_FEATURES, TARGET).repartition(train.sparkSession.sparkContext.defaultParallelism)
+    data = _assemble(dealt, MODEL_FEATURES, "features").select("features", TARGET)
     return GBTRegressor(
         featuresCol="features", labelCol=TARGET, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed,
         checkpointInterval=10,
@@ -66,8 +67,8 @@ def regression_metrics(df, actual=TARGET, predicted="prediction"):
 
 
 def cross_validate(df, splits=5, trees=TREES, p=DEFAULTS):
-    """Scores per expanding fold: ``(fold, rmse, mae, r2)``."""
-    scores = None
+    """Scores per expanding fold: ``(fold, rmse, mae, r2)``. The rows are written once, as every fold reads them."""
+    df, scores = checkpointed(df), None
     for fold, train, test in time_series_folds(df, splits, p=p):
         row = regression_metrics(predict(fit(train, trees), test)).withColumn("fold", F.lit(fold))
         scores = row if scores is None else scores.unionByName(row)
@@ -80,7 +81,7 @@ def mean_scores(scores):
 
 def hold_out_score(df, trees=TREES):
     """Scores on a random fifth of the rows after training on the rest."""
-    train, test = hash_split(df)
+    train, test = hash_split(checkpointed(df))
     return regression_metrics(predict(fit(train, trees), test))
 
 

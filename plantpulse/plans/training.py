@@ -3,6 +3,7 @@
 from plantpulse.operators import clustering, forecast, prep
 from plantpulse.params import DEFAULTS
 from plantpulse.schemas import GAUGES, ROW_ID
+from plantpulse.session import checkpointed
 
 
 def scaled_and_labeled(telemetry, p=DEFAULTS, largest=None):
@@ -16,7 +17,7 @@ def scaled_and_labeled(telemetry, p=DEFAULTS, largest=None):
 def train_batch(telemetry, path, p=DEFAULTS, largest=None, trees=forecast.TREES):
     """Batch variant: clustering labels, scaled target, hold-out score. Stores the model at ``path``."""
     labeled, _ = scaled_and_labeled(telemetry, p, largest)
-    data = forecast.scaled_training_set(labeled, p, largest)
+    data = checkpointed(forecast.scaled_training_set(labeled, p, largest))
     train, test = forecast.hash_split(data)
     model = forecast.fit(train, trees)
     forecast.save(model, path)
@@ -25,7 +26,7 @@ def train_batch(telemetry, path, p=DEFAULTS, largest=None, trees=forecast.TREES)
 
 def train_time_series(frames, path, p=DEFAULTS, largest=None, trees=forecast.TREES):
     """Time-series variant: fold scores, then a final fit on all rows, stored at ``path``."""
-    data = forecast.training_set(frames, p=p, largest=largest)
+    data = checkpointed(forecast.training_set(frames, p=p, largest=largest))
     scores = forecast.cross_validate(data, trees=trees, p=p)
     forecast.save(forecast.fit(data, trees), path)
     return scores
