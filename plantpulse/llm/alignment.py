@@ -11,6 +11,10 @@ Spark counts the linked id pairs over all texts, finds the highest count of each
 pairs of high count meet by broadcast (their number is found from a histogram and bounded by ``MAX_FREQUENT``), all other
 pairs by shuffle. Each text carries its distinct pairs with a multiplicity, so a pair repeats once per text at most.
 
+The words that the pattern of A cuts a text into can also be encoded one by one by B when no piece of B reaches across their
+borders, which its vocabulary shows. Each distinct word of such texts is encoded by both sides and compared with its bytes
+once, as long as it is remembered. The merge runs over the whole texts all the same.
+
 Defined cases: a null or empty text, or one that either tokenizer does not give back byte for byte, has no tokens, groups
 or links, and an empty digest. Special tokens inside texts are plain text. Rows that repeat an id are separate texts and
 each counts. A null id is kept. An empty table gives an empty result. Texts are encoded whole; other columns play no part.
@@ -38,10 +42,18 @@ MAX_FREQUENT = 400_000
 
 # Distinct words a Python worker remembers before it starts anew.
 MAX_KNOWN = 250_000
+# Words that are encoded in a row.
+IN_A_ROW = 4096
 # The pattern of byte-level tokenizers, and characters whose classes no version of Unicode has changed.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WELL_KNOWN = re.compile("[\t\n\r -~\u00c0-\u017f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026]*")
 
+# The same pattern for texts of well-known characters only, where it takes less than half the time.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5"
+_WORD = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+# Spots where pieces of B may reach across words of A: runs of spaces, and letters after what looks like a short form.
+_ACROSS = re.compile(r"  |\r|'(?:[stmd]|re|ve|ll)[^\W\d_]")
+
 _loaded: dict[tuple, object] = {}
 
 
@@ -53,8 +65,8 @@ class Vocabulary:
         self.sizes = np.array([len(p) for p in pieces], dtype=np.int64)
         self.decimals = {sep: np.array([f"{i}{sep}".encode() for i in range(len(pieces))], dtype=object) for sep in ",|;"}
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
 
 
 def byte_letters() -> dict[str, int]:
@@ -90,12 +102,10 @@ def _by_words(encode, described: dict):
     cutter = described.get("pre_tokenizer") or {}
     if described.get("normalizer") or cutter.get("type") != "ByteLevel" or not cutter.get("use_regex") or cutter.get("add_prefix_space"):
         return encode
-    import regex
-    pattern = regex.compile(BYTE_LEVEL_PATTERN)
     known: dict[str, bytes] = {}  # ids as packed integers: a list of numbers takes several times the memory
 
     def cached(texts):
-        cut = [pattern.findall(t) if _WELL_KNOWN.fullmatch(t) else None for t in texts]
+        cut = [_WORD.findall(t) if _WELL_KNOWN.fullmatch(t) else None for t in texts]
         new = {w for words in cut if words is not None for w in words} - known.keys()
         if len(known) + len(new) > MAX_KNOWN:
             known.clear()
@@ -105,8 +115,7 @@ def _by_words(encode, described: dict):
         others = iter(encode([t for t, words in zip(texts, cut, strict=True) if words is None]))
         return [next(others) if words is None else array("I", b"".join(map(known.__getitem__, words))).tolist() for words in cut]
 
-    cached.known = known
-
+    cached.known, cached.each = known, encode
     return cached
 
 
@@ -121,10 +130,116 @@ def pieces_of(path: str):
             return bytes([int(piece[1:-1], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
 
         vocabulary = Vocabulary([content(i) for i in range(model.get_piece_size())])
-        _loaded["b", path] = (lambda texts: model.encode(texts, num_threads=1), vocabulary)
+        def encode(texts):
+            return model.encode(texts, num_threads=1)
+
+        encode.keeps_words = _keeps_words(model)
+        _loaded["b", path] = (encode, vocabulary)
     return _loaded["b", path]
 
 
+def _keeps_words(model) -> bool:
+    """Whether a piece model encodes the words of ``BYTE_LEVEL_PATTERN`` independently in well-known texts without the spots
+    of ``_ACROSS``: it merges pairs, changes no character, and no piece that can occur holds more than spaces and then
+    letters, or numbers, or other marks."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2 as described
+    except (ImportError, TypeError):  # the description needs a package of its own
+        return False
+    import regex
+    proto = described.ModelProto.FromString(model.serialized_model_proto())
+    norm, trainer, kinds = proto.normalizer_spec, proto.trainer_spec, described.ModelProto.SentencePiece
+    plain = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
+    merges = trainer.model_type == described.TrainerSpec.BPE and trainer.byte_fallback and not trainer.treat_whitespace_as_suffix
+    one_word = regex.compile(r" *(?:\p{L}*|\p{N}+|[^\s\p{L}\p{N}]+)")
+    pieces = [p.piece.replace("▁", " ") for p in proto.pieces if p.type == kinds.NORMAL]
+    return bool(plain and merges and not any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in proto.pieces) and all(
+        one_word.fullmatch(p) for p in pieces if "\r" not in p and _WELL_KNOWN.fullmatch(p)))
+
+
+def _spread(ids: list[int], vocabulary: Vocabulary, data: bytes, ends: np.ndarray) -> list[bytes] | None:
+    """Packed ids of each of the words that end at ``ends``; None when the tokens do not spell the words."""
+    if vocabulary.joined(ids) != data:
+        return None
+    ids = np.array(ids, dtype=np.uintc)
+    after = np.cumsum(vocabulary.sizes[ids])
+    last = np.searchsorted(after, ends)
+    if (after[last] != ends).any():
+        return None
+    packed, cuts = ids.tobytes(), ((last + 1) * ids.itemsize).tolist()
+    return [packed[lo:hi] for lo, hi in zip([0, *cuts], cuts)]
+
+
+class Words:
+    """Ids of both sides for texts that share words."""
+
+    def __init__(self, encode_a, a: Vocabulary, encode_b, b: Vocabulary):
+        self.sides = (encode_a, a), (encode_b, b)
+        self.shared = hasattr(encode_a, "each") and getattr(encode_b, "keeps_words", False)
+        self.ids_a: dict[str, bytes] = {}  # packed integers, as in ``_by_words``
+        self.ids_b: dict[str, bytes] = {}
+        self.changed: set[str] = set()  # words that a side does not give back byte for byte
+
+    def learn(self, words: list[str]):
+        """Words that begin with a space and hold other characters are encoded in a row, as they may follow each other."""
+        (encode_a, a), (encode_b, b) = self.sides
+        row = [w for w in words if w[0] == " " and not w[-1].isspace()]
+        for first in range(0, len(row), IN_A_ROW):
+            part = row[first:first + IN_A_ROW]
+            text = "".join(part)
+            data, ends = text.encode(), np.cumsum([len(w.encode()) for w in part])
+            ids_a, ids_b = _spread(encode_a.each([text])[0], a, data, ends), _spread(encode_b([text[1:]])[0], b, data, ends)
+            if ids_a and ids_b:
+                self.ids_a.update(zip(part, ids_a, strict=True))
+                self.ids_b.update(zip(part, ids_b, strict=True))
+        self.learn_each([w for w in words if w not in self.ids_a])
+
+    def learn_each(self, words: list[str]):
+        """A line feed before each word takes the space that B puts before a text; no piece holds both it and a letter."""
+        (encode_a, a), (encode_b, b) = self.sides
+        lead = len(encode_b(["\n"])[0])
+        for word, ids_a, ids_b in zip(words, encode_a.each(words), encode_b(["\n" + w for w in words]), strict=True):
+            ids_b = ids_b[lead:]
+            self.ids_a[word], self.ids_b[word] = array("I", ids_a).tobytes(), array("I", ids_b).tobytes()
+            if not a.joined(ids_a) == b.joined(ids_b) == word.encode():
+                self.changed.add(word)
+
+    def cut(self, texts: list[str]):
+        """Words of each text, with a space before it; None for texts that must be encoded whole."""
+        if not self.shared:
+            return [None] * len(texts)
+        cut = [_WORD.findall(" " + t) if _WELL_KNOWN.fullmatch(t) and not _ACROSS.search(" " + t) else None for t in texts]
+        wanted = set().union(*(words for words in cut if words is not None))
+        new = wanted - self.ids_a.keys()
+        if len(self.ids_a) + len(new) > MAX_KNOWN:
+            self.ids_a, self.ids_b, self.changed, new = {}, {}, set(), wanted
+        self.learn(list(new))
+        return [None if words is None or not self.changed.isdisjoint(words) else words for words in cut]
+
+    def coded(self, texts: list[str]):
+        """(ids of A, ids of B) of each text, or None when a side does not spell it."""
+        (encode_a, a), (encode_b, b) = self.sides
+        cut = self.cut(texts)
+        others = [t for t, words in zip(texts, cut, strict=True) if words is None]
+        whole = zip(others, encode_a([" " + t for t in others]), encode_b(others), strict=True)
+        out = []
+        for words in cut:
+            if words is None:
+                text, ids_a, ids_b = next(whole)
+                same = a.joined(ids_a) == b.joined(ids_b) == b" " + text.encode()
+                out.append((np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)) if same else None)
+            else:
+                out.append(tuple(np.frombuffer(b"".join(map(ids.__getitem__, words)), dtype=np.uintc).astype(np.int64) for ids in (self.ids_a, self.ids_b)))
+        return out
+
+
+def words_of(path_a: str, path_b: str) -> Words:
+    """Remembered words of two tokenizer files, one memory per Python worker."""
+    if ("words", path_a, path_b) not in _loaded:
+        _loaded["words", path_a, path_b] = Words(*byte_level(path_a), *pieces_of(path_b))
+    return _loaded["words", path_a, path_b]
+
+
 def crossings(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
     """How many elements of ``a`` are among the first ``d`` of the merge of ``a`` and ``b``, for each diagonal ``d``. On
     equal values ``a`` goes first."""
@@ -159,15 +274,12 @@ def shared_ends(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.nd
     return np.searchsorted(a, b[second]), second
 
 
-def aligned_batch(texts: list[str | None], encode_a, a: Vocabulary, encode_b, b: Vocabulary, piece: int = PIECE):
+def aligned_batch(texts: list[str | None], encode_a, a: Vocabulary, encode_b, b: Vocabulary, piece: int = PIECE, known: Words | None = None):
     """For each text (n_a, n_b, n_groups, digest, id pairs, multiplicities); id pairs are a * 2**32 + b."""
+    known = known or Words(encode_a, a, encode_b, b)
     out = [(0, 0, 0, "", [], [])] * len(texts)
     given = [k for k, text in enumerate(texts) if text]
-    coded = []
-    for k, ids_a, ids_b in zip(given, encode_a([" " + texts[k] for k in given]), encode_b([texts[k] for k in given]), strict=True):
-        ids_a, ids_b, data = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64), b" " + texts[k].encode()
-        if a.joined(ids_a) == data and b.joined(ids_b) == data:
-            coded.append((k, ids_a, ids_b))
+    coded = [(k, *ids) for k, ids in zip(given, known.coded([texts[k] for k in given]), strict=True) if ids is not None]
     if not coded:
         return out
     places, all_a, all_b = zip(*coded, strict=True)
@@ -203,6 +315,7 @@ def aligned(df: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str)
     def run(batches):
         encode_a, a = byte_level(path_a)
         encode_b, b = pieces_of(path_b)
+        known = words_of(path_a, path_b)
         for batch in batches:
             start, held = 0, 0
             sizes = batch.column(2).to_pylist()
@@ -211,7 +324,7 @@ def aligned(df: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str)
                 if held >= BATCH_BYTES or n == len(sizes) - 1:
                     part = batch.slice(start, n + 1 - start)
                     start, held = n + 1, 0
-                    rows = aligned_batch(part.column(3).to_pylist(), encode_a, a, encode_b, b)
+                    rows = aligned_batch(part.column(3).to_pylist(), encode_a, a, encode_b, b, known=known)
                     counts = [pa.array([r[c] for r in rows], pa.int64()) for c in range(3)]
                     offsets = pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]), pa.int32())
                     flat = [np.concatenate([np.asarray(r[c], dtype=np.int64) for r in rows]) for c in (4, 5)]

@@ -137,3 +137,64 @@ def test_remembered_words_stay_few_and_small(monkeypatch):
         assert len(encode.known) <= 50 and all(isinstance(ids, bytes) for ids in encode.known.values())
         assert encode(texts) == first
     A._loaded.pop(("a", PATH_A), None)
+
+
+def encoded_whole(texts):
+    """Ids of both sides, each text given whole to the libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+    a, b = Tokenizer.from_file(PATH_A), sentencepiece.SentencePieceProcessor(model_file=PATH_B)
+    a.encode_special_tokens = True
+    return [(a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)) for t in texts]
+
+
+def random_texts(parts, seed, n=800):
+    import random
+    rng = random.Random(seed)
+    return ["".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(n)]
+
+
+PARTS = ["'s", "'ll", "'", "don't", "été", "ñandú", "¿", "漢字", "かな", "カナ", "12", "½", "\t", "\n", " ", " ", " ", " a", " of", "the", "  ", "   \n", "!?", "_",
+         "x" * 50, "<|endoftext|>", "“q”", "—", "×", "THE", "the", "\r\n", ");", "\r", "▁", "🙂", "</s>", "<0x0A>", ".", ",", " (", "erlyantion"]
+
+
+def test_words_of_a_serve_both_sides():
+    """Words that are remembered for both sides give what the libraries give for whole texts, odd spots included."""
+    known = A.Words(*A.byte_level(PATH_A), *A.pieces_of(PATH_B))
+    assert known.shared
+    texts = random_texts(PARTS, 3) + random_texts([" ", "a", "'s", "the", "\n", "12", "ing", "é"], 4) + [" ", "\n", " \n", "a ", "'treet", "it'street"]
+    for part in (texts, texts[::-1]):
+        for text, ids, (ids_a, ids_b) in zip(part, known.coded(part), encoded_whole(part), strict=True):
+            if ids is not None or "▁" not in text:
+                assert [list(x) for x in ids] == [ids_a, ids_b]
+    assert len(known.ids_a) > 100
+
+
+def test_each_word_meets_both_tokenizers_once(monkeypatch):
+    calls = []
+    (encode_a, a), (encode_b, b) = A.byte_level(PATH_A), A.pieces_of(PATH_B)
+
+    def counting(texts):
+        calls.extend(texts)
+        return encode_b(texts)
+
+    counting.keeps_words = encode_b.keeps_words
+    known = A.Words(encode_a, a, counting, b)
+    text = "one two three " * 500 + "end"
+    first = A.aligned_batch([text, text], encode_a, a, counting, b, known=known)
+    assert sum(map(len, calls)) < 100
+    again = A.aligned_batch([text], encode_a, a, counting, b, known=known)
+    assert sum(map(len, calls)) < 100 and again[0][:4] == first[0][:4] == first[1][:4]
+    monkeypatch.setattr(A, "MAX_KNOWN", 5)
+    known.coded(["some quite other words here"])
+    assert len(known.ids_a) == len(known.ids_b) == 5
+
+
+def test_the_pattern_of_well_known_texts():
+    import regex
+    pattern = regex.compile(A.BYTE_LEVEL_PATTERN)
+    for text in filter(A._WELL_KNOWN.fullmatch, random_texts(PARTS, 5)):
+        assert A._WORD.findall(text) == pattern.findall(text)
+    for code in range(0x10000):
+        if A._WELL_KNOWN.fullmatch(chr(code)):
+            assert A._WORD.findall(f" {chr(code)}a{chr(code)}1") == pattern.findall(f" {chr(code)}a{chr(code)}1")
