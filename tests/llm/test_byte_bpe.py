@@ -59,3 +59,23 @@ def test_concatenation_keeps_order(spark, n):
 
 def test_empty(docs, ranks):
     assert B.token_digests(docs([]), ranks, tokenizers.PATTERN).count() == 0
+
+
+def test_frequent_words_are_kept_without_a_copy_of_their_bytes(docs, ranks, monkeypatch):
+    kept, build = [], B.lookup_table
+    monkeypatch.setattr(B, "lookup_table", lambda entries, *more: kept.append(entries.dtypes) or build(entries, *more))
+    out = B.token_digests(docs([(1, "common common rare")]), ranks, tokenizers.PATTERN)
+    assert sorted(str(tuple(r)) for r in out.collect()) == expected([(1, "common common rare")], ranks)
+    assert kept[-1] == [("word", "string"), ("coded", "string")]
+
+
+def test_pieces_are_joined_natively(spark):
+    plan = spark.range(1).select(B.concatenated(B.F.array(B.F.lit(b"\xff"), B.F.lit(b"\x00\xc3"))).alias("x"))
+    assert bytes(plan.first().x) == b"\xff\x00\xc3"
+    assert "lambda" not in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_text_that_cannot_be_decoded_is_null(docs):
+    few = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3}
+    out = B.token_digests(docs([(1, "abba"), (2, "abc"), (3, "b")]), few, tokenizers.PATTERN)
+    assert {r.doc_id: r.n_tokens for r in out.collect()} == {1: 2, 2: None, 3: 1}
